@@ -126,7 +126,7 @@ class Words:
         ok = self.size[at] > k
         idx = np.where(ok, where, 0)[:, None] + np.arange(k)
         idx = np.minimum(idx, max(len(self.low) - 1, 0))
-        h = mix((_BYTE[self.low[idx]] * powers(k)[:k]).sum(1, dtype=M64) + M64(salt % 2**64) * _GRAM)
+        h = mix((_BYTE[self.low[idx]] * powers(k)[:k]).sum(1, dtype=M64) + M64(salt * int(_GRAM) % 2**64))
         return np.where(ok, h, M64(0))
 
 

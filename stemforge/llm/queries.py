@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import count_tokens, decontaminate, pack, rans
+from . import count_tokens, decontaminate, html_text, langid, lm, ngram_join, pack, quality, rans, toxicity
 from .shared import scratch
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -20,10 +21,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(mod: int):
+    """crc32 of doc_id as text, modulo ``mod``."""
+    return F.crc32(F.col("doc_id").cast("string")) % mod
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    return toxicity.fit(spark, docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(spark, docs, toxicity_model(spark, sf_dir, docs), remainder(5) == 0)
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(spark, table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, table(spark, sf_dir, "documents"), remainder(7) == 2)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10, k=5)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(spark, docs, langid.fit(docs, remainder(4) != 2), remainder(4) == 2)
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), tokens=2048, end_id=1)
 
@@ -34,11 +62,22 @@ def op7_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_ids(spark, to)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op6_pack, op7_rans, op9_token_counts)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_ngram_jaccard, op3_lm_score, op4_decontaminate, op5_language_id, op6_pack, op7_rans, op8_quality, op9_token_counts, op10_html_text)
+}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLES = {
