@@ -165,24 +165,30 @@ class Filter:
     bucket_bits: int
 
     @staticmethod
-    def places(key: np.ndarray, kind: int, lev, segment: int, hashes: int) -> np.ndarray:
-        """(hashes, n) bit positions within the segment."""
-        h = K.mix(key ^ U(kind * 0x51ED270B) ^ (np.asarray(lev).astype(U) * U(0x9E3779B97F4A7C15)))
-        step = K.mix(h + U(0xABCD)) | U(1)
-        return np.stack([((h + U(i) * step) >> U(16)) % U(segment) for i in range(hashes)])
+    def start(key: np.ndarray, kind: int, lev: int) -> tuple[np.ndarray, np.ndarray]:
+        """First hash of a level's key and the step to its next ones."""
+        h = K.mix(key ^ U((kind * 0x51ED270B + lev * int(K._GRAM)) % 2**64))
+        return h, (h << U(21)) ^ (h >> U(7)) | U(1)
+
+    @staticmethod
+    def place(h: np.ndarray, segment: int) -> np.ndarray:
+        """Bit position within a segment (below 2**32) by multiplication."""
+        return (((h >> U(32)) * U(segment)) >> U(32)).astype(np.int64)
 
     def probe(self, full: np.ndarray, kind: int) -> np.ndarray:
-        """Levels of the n-grams with these 64-bit hashes: probes go on while all bits are set."""
+        """Levels of the n-grams with these 64-bit hashes: probes go on while all bits are set, and stop at the first that is not."""
         base = (full >> U(64 - self.bucket_bits)).astype(np.int64) * self.segment
         key = full & MASK40 if kind == 2 else full
         lev = np.zeros(len(full), np.int64)
         live = np.arange(len(full))
         j = 0
-        while len(live) and j < 128:
+        while len(live) and j < LEVELS:
             j += 1
-            at = base[live] + self.places(key[live], kind, j, self.segment, self.hashes).astype(np.int64)
-            hit = ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
-            live = live[hit]
+            h, step = self.start(key[live], kind, j)
+            for i in range(self.hashes):
+                at = base[live] + self.place(h + U(i) * step, self.segment)
+                hit = np.flatnonzero((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                live, h, step = live[hit], h[hit], step[hit]
             lev[live] = j
         return lev
 
@@ -194,7 +200,9 @@ def _fill(segment: int, hashes: int):
                 key, top = np.frombuffer(keys, "<u8").astype(U), level(np.frombuffer(counts, "<u8").astype(np.int64), kind)
                 bits = np.zeros(segment, bool)
                 for j in range(1, int(top.max(initial=0)) + 1):
-                    bits[Filter.places(key[top >= j], kind, j, segment, hashes).astype(np.int64).ravel()] = True
+                    h, step = Filter.start(key[top >= j], kind, j)
+                    for i in range(hashes):
+                        bits[Filter.place(h + U(i) * step, segment)] = True
                 yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
 
     return run
@@ -240,30 +248,21 @@ GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8,
 
 
 def _calibrate(model):
-    """Sums by level of the predecessor's count: tokens, tokens whose pair is held, and log-likelihoods on GRID with the token itself left out."""
-
-    def run(source):
-        m = model.value
-        sums = np.zeros((2, LEVELS))
-        for batch in K.batches(source):
-            p, pair, before, lev = m.parts(Tokens(batch.column("text")))
-            sums += np.stack([np.bincount(lev, minlength=LEVELS), np.bincount(lev[pair > 0], minlength=LEVELS)])
-        yield pa.record_batch([pa.array(np.arange(LEVELS)), *(pa.array(x) for x in sums)], ["level", "n", "held"])
-
-    return run
-
+    """Sums by level of the predecessor's count: tokens, tokens whose pair is held, the same with the token itself left out, and log-likelihoods on GRID of the latter."""
 
-def _likelihood(model, kept):
     def run(source):
         m = model.value
-        sums = np.zeros((len(GRID), LEVELS))
+        sums = np.zeros((3 + len(GRID), LEVELS))
         for batch in K.batches(source):
             p, pair, before, lev = m.parts(Tokens(batch.column("text")))
-            pair = np.where(pair >= 3, pair - 1, 0) / np.maximum(before - 1, 1)
-            k = kept[lev]
+            more = np.flatnonzero(pair >= 3)
+            sums[0] += np.bincount(lev, minlength=LEVELS)
+            sums[1] += np.bincount(lev[pair > 0], minlength=LEVELS)
+            sums[2] += np.bincount(lev[more], minlength=LEVELS)
+            q, p, at = (pair[more] - 1) / np.maximum(before[more] - 1, 1), p[more], lev[more]
             for i, g in enumerate(GRID):
-                sums[i] += np.bincount(lev, np.log(np.maximum(g * pair + (1 - g * k) * p, 1e-300)), LEVELS)
-        yield pa.record_batch([pa.array(np.arange(LEVELS)), *(pa.array(x) for x in sums)], ["level", *(f"g{i}" for i in range(len(GRID)))])
+                sums[3 + i] += np.bincount(at, np.log(g * q + (1 - g) * p), LEVELS)
+        yield pa.record_batch([pa.array(np.arange(LEVELS)), *(pa.array(x) for x in sums)], ["level", "n", "held", "again", *(f"g{i}" for i in range(len(GRID)))])
 
     return run
 
@@ -288,17 +287,21 @@ def train(spark: SparkSession, docs: DataFrame, *, head: int = 1 << 20, most_bit
         field[bucket] |= np.frombuffer(part, np.uint8)
 
     least = _head_floor(counts, head)
-    top = counts.where("kind = 1").mapInArrow(_head(least), "key long, n long").toPandas()
-    key, n = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    top = counts.where("kind = 1").mapInArrow(_head_blocks(least), "keys binary, counts binary").collect()  # at most ``head`` words
+    key = np.concatenate([np.frombuffer(r[0], "<u8") for r in top] or [np.zeros(0, "<u8")]).astype(U)
+    n = np.concatenate([np.frombuffer(r[1], "<i8") for r in top] or [np.zeros(0, "<i8")])
     order = np.argsort(key)
     model = Model(Filter(field.reshape(-1), segment, hashes, bits), tokens, types, key[order], n[order], least > 1, np.zeros(LEVELS), np.zeros(LEVELS))
+    del field, top, key, n
+    fields = ["n", "held", "again", *(f"g{i}" for i in range(len(GRID)))]
     shared = spark.sparkContext.broadcast(model)
-    for level_, n_, held in texts.mapInArrow(_calibrate(shared), "level long, n double, held double").groupBy("level").agg(F.sum("n"), F.sum("held")).collect():
-        model.kept[level_] = held / n_ if n_ else 0.0
-    fields = [f"g{i}" for i in range(len(GRID))]
-    likely = texts.mapInArrow(_likelihood(shared, model.kept.copy()), "level long, " + ", ".join(f"{f} double" for f in fields))
-    for row in likely.groupBy("level").agg(*(F.sum(f) for f in fields)).collect():
-        model.weight[row[0]] = GRID[int(np.argmax(row[1:]))]
+    sums = texts.mapInArrow(_calibrate(shared), "level long, " + ", ".join(f"{f} double" for f in fields)).groupBy("level").agg(*(F.sum(f) for f in fields)).collect()
+    shared.unpersist()
+    for at, n, held, again, *likely in sums:
+        if n:
+            # tokens whose pair is not held (the token itself left out) have the likelihood of the second part alone
+            model.kept[at] = held / n
+            model.weight[at] = GRID[int(np.argmax(np.array(likely) + (n - again) * np.log(1 - GRID * model.kept[at])))]
     return model, counts
 
 
@@ -321,13 +324,26 @@ def _head_floor(counts: DataFrame, head: int) -> int:
     return 1
 
 
-def _head(least: int, below: bool = False):
+def _head_blocks(least: int):
+    """Words of ``least`` counts or more, packed, a row a bucket."""
+
+    def run(source):
+        for batch in source:
+            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                key, n = np.frombuffer(k, "<u8"), np.frombuffer(c, "<i8")
+                yield pa.record_batch([pa.array([key[n >= least].tobytes()]), pa.array([n[n >= least].tobytes()])], ["keys", "counts"])
+
+    return run
+
+
+def _tail(least: int):
+    """A row for each word of fewer counts."""
+
     def run(source):
         for batch in source:
             for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 key, n = np.frombuffer(k, "<i8"), np.frombuffer(c, "<i8")
-                ok = (n < least) if below else (n >= least)
-                yield pa.record_batch([pa.array(key[ok]), pa.array(n[ok])], ["key", "n"])
+                yield pa.record_batch([pa.array(key[n < least]), pa.array(n[n < least])], ["key", "n"])
 
     return run
 
@@ -380,7 +396,7 @@ def score(spark: SparkSession, docs: DataFrame, held_out: Column, **how) -> Data
     if model.tail:
         scored = saved(scored, "scored")
         least = _head_floor(counts, how.get("head", 1 << 20))
-        tail = counts.where("kind = 1").mapInArrow(_head(least, True), "key long, n long")
+        tail = counts.where("kind = 1").mapInArrow(_tail(least), "key long, n long")
         asked = scored.select("row_id", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row_id", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
         n = F.coalesce("n", F.lit(0))
         floor = float(np.log10(model.tokens + model.types + 1))
