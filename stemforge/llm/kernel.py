@@ -61,7 +61,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def batches(source, column: str = "text", most: int = 4 << 20):
+def batches(source, column: str = "text", most: int = 2 << 20):
     """Record batches cut so that each holds about ``most`` bytes of text, or one text."""
     for batch in source:
         if batch.num_rows == 0:

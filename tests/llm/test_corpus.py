@@ -119,6 +119,13 @@ def test_trie_links(seed):
     assert groups(cross + inner) == groups(want)
 
 
+def test_trie_of_many_levels():
+    base = np.arange(1, 400, dtype=np.uint64) * np.uint64(1000)
+    sets = [np.sort(np.append(np.delete(base, 300), base[i] + np.uint64(1))) for i in range(0, 399, 3)]
+    assert len({j for _, j in ngram_join.trie_links(sets, None, 85)} | {i for i, _ in ngram_join.trie_links(sets, None, 85)}) == len(sets)
+    assert len(ngram_join.Trie(sets).levels) > 64
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(5, 5), (None, 3)]
