@@ -37,6 +37,8 @@ VECTOR = ["word_size", "symbols", "capitals", "marks", "repeats", "same_lines"]
 FLOOR = np.array([0.12, 0.06, 0.08, 0.08, 0.2, 0.2])
 P = len(VECTOR)
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: Groups whose states (about 250 bytes each) are broadcast at most.
+FEW = 50_000
 #: Column of the operator's own values beside the documents' columns.
 Q = "_quality_"
 
@@ -183,8 +185,10 @@ def estimate(rows: DataFrame, *, h: float = 0.75, steps: int = 6, least: int = 1
     langs = sizes.where(F.col("n") < least).groupBy("by_lang").agg(F.sum("n").alias("pooled"))
     pool = F.when(F.col("n") >= least, F.col("grp")).when(F.col("pooled") >= least, F.col("by_lang")).otherwise(F.lit("\1\1\1"))
     pools = saved(sizes.join(langs, "by_lang", "left").select("grp", pool.alias("pool")), "pools")
+    # states of few groups are broadcast; of more they are joined, and a hot group's rows are split by the skew join
+    small = F.broadcast if pools.count() <= FEW else lambda d: d
     values = [f"{Q}{c}" for c in VECTOR]
-    keyed = rows.withColumn("key", _group_key()).join(pools.withColumnRenamed("grp", "key"), "key").select(F.col("pool").alias("grp"), *values)
+    keyed = rows.withColumn("key", _group_key()).join(small(pools.withColumnRenamed("grp", "key")), "key").select(F.col("pool").alias("grp"), *values)
     rest = sizes.join(pools.where("pool = '\1\1\1'"), "grp").agg(F.sum("n")).first()[0]
     if rest is not None and rest < least:  # too few even together: measured against all rows
         keyed = keyed.where("grp <> '\1\1\1'").unionAll(rows.select(F.lit("\1\1\1").alias("grp"), *values))
@@ -193,7 +197,7 @@ def estimate(rows: DataFrame, *, h: float = 0.75, steps: int = 6, least: int = 1
     quantile = lambda c, q: F.percentile_approx(c, q, 2000)
     middle = keyed.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *(quantile(f"{Q}{c}", 0.5).alias(f"m{i}") for i, c in enumerate(VECTOR)))
     middle = saved(middle.where(F.col("n") >= least), "medians")
-    spread = keyed.join(middle, "grp").groupBy("grp").agg(*(quantile(F.abs(F.col(f"{Q}{c}") - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i, c in enumerate(VECTOR)))
+    spread = keyed.join(small(middle), "grp").groupBy("grp").agg(*(quantile(F.abs(F.col(f"{Q}{c}") - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i, c in enumerate(VECTOR)))
     start = []
     for i in range(P):
         start += [F.lit(0.0)] * i + [1 / F.greatest(1.4826 * F.col(f"d{i}"), F.lit(float(FLOOR[i])))]
@@ -202,10 +206,10 @@ def estimate(rows: DataFrame, *, h: float = 0.75, steps: int = 6, least: int = 1
     # the h-part of a normal sample has less scatter than the whole: the factor that makes up for it
     full = h / chi2_below(chi2_quantile(h, P), P + 2)
     for step in range(steps + 1):
-        far = keyed.join(state, "grp").withColumn("d2", _distance())
+        far = keyed.join(small(state), "grp").withColumn("d2", _distance())
         if step < steps:
             radius = far.groupBy("grp").agg(quantile("d2", h).alias("radius"))
-            inside, scale = far.join(radius, "grp").where("d2 <= radius"), full
+            inside, scale = far.join(small(radius), "grp").where("d2 <= radius"), full
         else:  # the reweighting step
             inside, scale = far.where(F.col("d2") <= chi2_quantile(0.975, P)), 1.0
         new = saved(_states(_moments(inside), scale), "state")
