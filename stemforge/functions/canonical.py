@@ -11,11 +11,12 @@ result is a true invariant: every start and orientation is tried.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,21 +92,26 @@ def key_code(key: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def text_code(code: pd.Series) -> pd.Series:
     """Canonical codes of graphs written as string codes."""
-    import re
-
     row = re.compile(r"(\d+)([ijosx])(\d+)")
     return code.map(lambda c: canonical_code((int(a), int(b), e) for a, e, b in row.findall(c)) if c else None)
 
 
-# not to be evaluated twice, nor moved into a filter below a generator
-key_code, text_code = key_code.asNondeterministic(), text_code.asNondeterministic()
-
+def with_codes(rows: DataFrame, graph: Column, name: str = "code") -> DataFrame:
+    """rows with the canonical code of a graph column.
 
-def graph_code(graph: Column) -> Column:
-    """Canonical code of a graph column."""
+    The graph's text is a column of its own below a map over batches: array functions with lambdas are evaluated by
+    Spark there, and never become arguments of a Python function."""
     from .codes import human_encode
 
-    return text_code(human_encode(graph))
+    row = re.compile(r"(\d+)([ijosx])(\d+)")
+
+    def run(source):
+        for p in source:
+            p[name] = [canonical_code((int(a), int(b), e) for a, e, b in row.findall(t)) if t else None for t in p.pop("_graph")]
+            yield p
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())])
+    return rows.withColumn("_graph", human_encode(graph)).mapInPandas(run, schema)
 
 
 def shuffled(edges: list[tuple[int, int, str]], seed: int) -> list[tuple[int, int, str]]:

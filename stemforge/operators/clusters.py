@@ -109,11 +109,14 @@ def leaves(newick: str) -> list[str]:
 def manhattan_step(points: DataFrame, centroids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, cluster, error) and the mean centroids (cluster, c) of one Lloyd step with Manhattan distance.
 
-    points: id, x (array); centroids: cluster, c (array), k rows.  Of equal distances the last cluster wins."""
-    near = F.aggregate(F.zip_with("x", "c", lambda a, b: F.abs(a - b).cast("double")), F.lit(0.0), lambda s, v: s + v)
-    pairs = points.crossJoin(F.broadcast(centroids)).select("id", "x", "cluster", near.alias("d"))
-    best = pairs.groupBy("id").agg(F.min_by(F.struct("cluster", "d"), F.struct("d", -F.col("cluster"))).alias("b")).select("id", F.col("b.cluster").alias("cluster"), F.col("b.d").alias("error"))
-    parts = points.join(best, "id").select("cluster", F.posexplode("x")).groupBy("cluster", "pos").agg(F.avg("col").alias("m"))
+    points: id, x (array); centroids: cluster, c (array), k rows.  Of equal distances the last cluster wins.  The k
+    centroids travel as one row's array, so a point finds its cluster without a shuffle; means are partial sums."""
+    far = lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: F.abs(a - b).cast("double")), F.lit(0.0), lambda s, v: s + v)
+    table = centroids.agg(F.collect_list(F.struct("cluster", "c")).alias("_all"))
+    least = F.array_min(F.transform("_all", lambda z: F.struct(far(z["c"]).alias("d"), (-z["cluster"]).alias("k"))))
+    near = points.crossJoin(F.broadcast(table)).withColumn("_b", least).select("id", "x", (-F.col("_b.k")).alias("cluster"), F.col("_b.d").alias("error"))
+    best = near.select("id", "cluster", "error")
+    parts = near.select("cluster", F.posexplode("x")).groupBy("cluster", "pos").agg(F.avg("col").alias("m"))
     means = parts.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("c"))
     return best, means
 

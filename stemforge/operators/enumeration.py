@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canonical import graph_code, text_code
-from ..functions.codes import human_encode
+from ..functions.canonical import with_codes
 from ..functions.notation import pairs_canonical, pairs_connected, pairs_reverse, pairs_to_graph, serial_canonical, serial_connected, serial_strings, serial_to_graph
 
 
@@ -40,14 +39,13 @@ def motif_table(spark: SparkSession, n: int) -> tuple[DataFrame, DataFrame]:
 
     # enumerated once: the list is read for the motifs and for their parents
     all_ = checkpointed(pairings(spark, n).where("stems > 1"))
-    coded = lambda d, *keep: checkpointed(d.select(*keep, human_encode(serial_to_graph(F.col("serial"))).alias("graph"))).withColumn("code" if "code" not in keep else "parent", text_code("graph"))
-    with_code = checkpointed(coded(all_, "stems", "serial")).where("code is not null")
+    with_code = checkpointed(with_codes(all_, serial_to_graph(F.col("serial")))).where("code is not null")
     motifs = with_code.groupBy("code").agg(F.max("stems").alias("n_stems"))
     one = with_code.groupBy("code").agg(F.min_by("serial", F.array_join("serial", ",")).alias("serial"), F.max("stems").alias("stems"))
     less = one.where("stems > 2").select("code", F.explode(F.array_distinct("serial")).alias("gone"), "serial")
     less = less.select("code", serial_canonical(F.filter("serial", lambda x: x != F.col("gone"))).alias("serial"))
     less = less.where(F.size(serial_connected(F.col("serial"))) == 1)
-    parents = coded(less, "code").select("code", "parent").where("parent is not null").distinct()
+    parents = with_codes(less, serial_to_graph(F.col("serial")), "parent").select("code", "parent").where("parent is not null").distinct()
     return motifs, parents
 
 
@@ -140,4 +138,4 @@ def connected_only(structures: DataFrame) -> DataFrame:
 
 def graph_codes(structures: DataFrame) -> DataFrame:
     """Structures with their graph's canonical code (null where no two stems are linked)."""
-    return structures.withColumn("code", graph_code(pairs_to_graph(F.col("pairs"))))
+    return with_codes(structures, pairs_to_graph(F.col("pairs")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
 from .relations import pseudoknots, stem_overlaps
 
 
@@ -56,8 +57,7 @@ def base_accuracy(bits: DataFrame) -> DataFrame:
 def roc_points(scored: DataFrame, high: bool = True) -> DataFrame:
     """score, pos, neg, tp, fp in order of score: one row for all equal scores, so ties are one step; scored: score, is_pos."""
     g = scored.groupBy("score").agg(F.count_if("is_pos").alias("pos"), F.count_if(~F.col("is_pos")).alias("neg"))
-    w = Window.orderBy(F.desc("score") if high else F.asc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return g.select("score", "pos", "neg", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
+    return running_sums(g, F.desc("score") if high else F.asc("score"), {"pos": "tp", "neg": "fp"})
 
 
 def roc_auc(scored: DataFrame, high: bool = True) -> DataFrame:

@@ -44,8 +44,8 @@ def restrict(fp: DataFrame, motifs: DataFrame) -> DataFrame:
 
 
 def fill_missing(fp: DataFrame) -> DataFrame:
-    """Every structure with every motif that occurs, 0 where it has none (a listed set of motifs: both sides are keys, not rows)."""
-    return fp.select("id").distinct().crossJoin(F.broadcast(fp.select("code").distinct())).join(fp, ["id", "code"], "left").select("id", "code", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
+    """Every structure with every motif that occurs, 0 where it has none: structures times motifs rows by definition, so restrict the motifs first."""
+    return fp.select("id").distinct().crossJoin(fp.select("code").distinct()).join(fp, ["id", "code"], "left").select("id", "code", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
 
 
 def binary_matrix(fp: DataFrame) -> DataFrame:

@@ -156,6 +156,21 @@ def containment_parents(stems: DataFrame) -> DataFrame:
     return stems.select("sid", "v").join(least, ["sid", "v"], "left")
 
 
+def containment_links(stems: DataFrame, center: float | None = None) -> DataFrame:
+    """sid, parent, v: direct containments of the reticulated graph (a stem may have several parents).
+
+    A link is direct when no third stem lies between: the transitive reduction, as an anti-join of the containments
+    with their own composition.  With ``center`` only stems whose middles are at most that far apart are related."""
+    inner, outer = prefixed(stems, "c_"), prefixed(stems, "p_")
+    on = (F.col("c_lbegin") >= F.col("p_lend")) & (F.col("c_rend") <= F.col("p_rbegin")) & (F.col("c_v") != F.col("p_v"))
+    if center is not None:
+        mid = lambda p: (F.col(f"{p}lbegin") + F.col(f"{p}lend") + F.col(f"{p}rbegin") + F.col(f"{p}rend")) / 4
+        on = on & (F.abs(mid("c_") - mid("p_")) <= center)
+    held = inner.join(outer, "sid").where(on).select("sid", F.col("p_v").alias("parent"), F.col("c_v").alias("v"))
+    longer = held.withColumnRenamed("v", "between").join(held.withColumnRenamed("parent", "between"), ["sid", "between"]).select("sid", "parent", "v")
+    return held.join(longer, ["sid", "parent", "v"], "left_anti")
+
+
 def child_counts(parents: DataFrame) -> DataFrame:
     """Children of each stem in the containment forest; parent null are the roots."""
     return parents.groupBy("sid", "parent").agg(F.count(F.lit(1)).alias("children"))

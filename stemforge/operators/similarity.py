@@ -6,9 +6,11 @@ before it where motifs are common; pairs without a common motif have similarity
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
+
 
 def shared(fp: DataFrame) -> DataFrame:
     """id1 < id2, n_both, min_sum of all pairs with a common motif."""
@@ -102,12 +104,10 @@ def feature_coverage(ranked: DataFrame, share: float = 0.9) -> DataFrame:
     A feature counts at its first rank, so the running number of distinct features is a running sum over ranks."""
     first = ranked.groupBy("feature").agg(F.min("rank").alias("rank"))
     new = first.groupBy("rank").agg(F.count(F.lit(1)).alias("new"))
-    steps = ranked.select("rank").distinct().join(new, "rank", "left")
-    w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    total = first.agg(F.count(F.lit(1)).alias("total"))
-    seen = steps.select("rank", F.sum(F.coalesce("new", F.lit(0))).over(w).alias("seen")).crossJoin(F.broadcast(total))
-    before = F.coalesce(F.lag("seen").over(Window.orderBy("rank")), F.lit(0))
-    return seen.withColumn("_before", before).where(F.col("_before") <= share * F.col("total")).select("rank", "seen")
+    steps = ranked.select("rank").distinct().join(new, "rank", "left").select("rank", F.coalesce("new", F.lit(0)).alias("new"))
+    total = first.agg(F.count(F.lit(1)).alias("total"))  # one row
+    seen = running_sums(steps, F.asc("rank"), {"new": "seen"}).crossJoin(F.broadcast(total))
+    return seen.where(F.col("seen") - F.col("new") <= share * F.col("total")).select("rank", "seen")
 
 
 def to_distance(pairs: DataFrame, big: float = 1.0, column: str = "jaccard") -> DataFrame:

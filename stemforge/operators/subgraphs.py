@@ -204,6 +204,47 @@ def sampled_fingerprint(edges: DataFrame, k: int = 7, limit: int = 10_000, cover
     return edges.groupBy("sid").applyInPandas(run, f"sid {sid}, code string, cnt bigint")
 
 
+def sampled_vertices(edges: DataFrame, k: int, count: int, *, weights: dict[str, float] | None = None, forbid_x: bool = True, seed: int = 1) -> DataFrame:
+    """sid, sample, members (ascending): ``count`` grown vertex sets of up to k stems of each structure.
+
+    ``weights`` give each edge type the odds with which a neighbour over it is taken (i, j and o alike by default; a type
+    without a weight is no link); with ``forbid_x`` a stem that excludes a chosen one is out.  Equal seeds, equal rows."""
+    sid = edges.schema["sid"].dataType.simpleString()
+    odds = weights or {"i": 1.0, "j": 1.0, "o": 1.0}
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, list[tuple[int, float]]] = {}
+        barred: dict[int, set[int]] = {}
+        for u, v, e in zip(p["u"].tolist(), p["v"].tolist(), p["etype"].tolist(), strict=True):
+            if odds.get(e, 0) > 0:
+                near.setdefault(u, []).append((v, odds[e]))
+                near.setdefault(v, []).append((u, odds[e]))
+            if e == "x" and forbid_x:
+                barred.setdefault(u, set()).add(v)
+                barred.setdefault(v, set()).add(u)
+        rng = random.Random(f"{seed}:{p['sid'].iloc[0]}")
+        vertices, rows = sorted(near), []
+        for n in range(count if vertices else 0):
+            chosen = {rng.choice(vertices)}
+            out = set().union(*(barred.get(v, set()) for v in chosen))
+            while len(chosen) < k:
+                border: dict[int, float] = {}
+                for v in sorted(chosen):
+                    for w, x in near[v]:
+                        if w not in chosen and w not in out:
+                            border[w] = border.get(w, 0.0) + x
+                if not border:
+                    break
+                names = sorted(border)
+                w = rng.choices(names, [border[b] for b in names])[0]
+                chosen.add(w)
+                out |= barred.get(w, set())
+            rows.append((p["sid"].iloc[0], n, sorted(chosen)))
+        return pd.DataFrame(rows, columns=["sid", "sample", "members"])
+
+    return edges.groupBy("sid").applyInPandas(run, f"sid {sid}, sample int, members array<int>")
+
+
 def embeddings(edges: DataFrame, motif: list[tuple[int, int, str]]) -> DataFrame:
     """All injective placements of a motif's edges in each structure: sid, m0, m1, ..; one equality join for each motif edge."""
     e = _linked(edges)

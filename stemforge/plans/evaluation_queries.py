@@ -126,7 +126,7 @@ def roc_points(spark, sf):
     return V.roc_points(_scored(spark, sf))
 
 
-@query("roc_auc", f"WITH {_ROC}\nSELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg, round(sum((tp - pos / 2) * neg) / (sum(pos) * sum(neg)), 6) AS auc FROM r")
+@query("roc_auc", f"WITH {_ROC}\nSELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg, round(sum((tp - pos / 2) * neg) / nullif(sum(pos) * sum(neg), 0), 6) AS auc FROM r")
 def roc_auc(spark, sf):
     return rounded(V.roc_auc(_scored(spark, sf)), "auc")
 

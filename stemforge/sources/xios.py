@@ -100,6 +100,19 @@ def documents(header: DataFrame, stems_: DataFrame, edges_: DataFrame, version:
     return d.select("structure_id", F.concat(F.lit(f"<XIOS version='{version}'>\n"), body, F.lit("</XIOS>\n")).alias("text"))
 
 
+def graphml(edges_: DataFrame) -> DataFrame:
+    """structure_id, text: each structure's i, j and o edges as a GraphML graph with labelled edges."""
+    e = edges_.where("etype in ('i', 'j', 'o')")
+    edge = F.format_string('<edge source="n%d" target="n%d"><data key="t">%s</data></edge>', "u", "v", "etype")
+    g = e.groupBy("structure_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("u", "v"))))).alias("nodes"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("u", "v", edge.alias("x")))), lambda r: r["x"]), "\n").alias("edges"),
+    )
+    nodes = F.array_join(F.transform("nodes", lambda n: F.format_string('<node id="n%d"/>', n)), "\n")
+    head = '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n<key id="t" for="edge" attr.name="type" attr.type="string"/>\n<graph edgedefault="directed">\n'
+    return g.select("structure_id", F.concat(F.lit(head), nodes, F.lit("\n"), F.col("edges"), F.lit("\n</graph>\n</graphml>\n")).alias("text"))
+
+
 def write(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One text row a structure; the text source splits at lines, so each document is one partitioned file."""
     docs.write.mode(mode).partitionBy("structure_id").option("lineSep", "\n").text(path)

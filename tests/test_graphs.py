@@ -260,6 +260,31 @@ def test_sampling_is_reproducible(spark):
     assert {c for c, _ in run(1)} <= {r.code for r in G.exhaustive_fingerprint(e, k=4, limit=20).collect()}
 
 
+def test_sampled_vertices(spark):
+    rows, e = random_edges(spark, 10, 7)
+    got = G.sampled_vertices(e, 4, 50, seed=4).collect()
+    barred = {frozenset((a, b)) for _, a, b, t in rows if t == "x"}
+    assert len(got) == 50 and all(len(set(r.members)) == len(r.members) <= 4 for r in got)
+    assert not any(frozenset(p) in barred for r in got for p in itertools.combinations(r.members, 2))
+    only_o = G.sampled_vertices(e, 3, 20, weights={"o": 1.0}, forbid_x=False, seed=4).collect()
+    linked = {frozenset((a, b)) for _, a, b, t in rows if t == "o"}
+    assert all(any(frozenset((v, w)) in linked for w in r.members if w != v) for r in only_o for v in r.members if len(r.members) > 1)
+
+
+def test_containment(spark):
+    s = stems(spark, [(1, 2, 50, 51), (5, 6, 40, 41), (10, 11, 20, 21), (25, 26, 30, 31), (60, 61, 70, 71)])
+    assert {(r.parent, r.v) for r in R.containment_links(s).collect()} == {(0, 1), (1, 2), (1, 3)}
+    assert {r.v: r.parent for r in R.containment_parents(s).collect()} == {0: None, 1: 0, 2: 1, 3: 1, 4: None}
+    assert {(r.parent, r.children) for r in R.child_counts(R.containment_parents(s)).collect()} == {(None, 2), (0, 1), (1, 2)}
+    assert R.containment_links(s, center=3).count() < 3
+
+
+def test_brackets_to_stems(spark):
+    d = spark.createDataFrame([("s", "((..((.)).)).."), ("t", "([)]"), ("u", "....")], "sid string, vienna string")
+    got = {(r.sid, r.lbegin, r.lend, r.rbegin, r.rend) for r in S.stems_from_brackets(d).collect()}
+    assert ("s", 1, 6, 8, 12) in got and {g[0] for g in got} == {"s", "t"}
+
+
 def test_segment_sets():
     near = {i: {i, i + 1, max(0, i - 1)} for i in range(9)} | {9: {9, 8}}
     segs = G.segments_of(near, 5)

@@ -219,6 +219,17 @@ def test_xios_round_trip(spark, reference, tmp_path):
     assert rows(xios.edges(again)) == rows(xios.edges(raw))
 
 
+def test_graphml(spark):
+    e = spark.createDataFrame([("a", 0, 1, "i"), ("a", 0, 2, "s"), ("a", 1, 3, "o")], "structure_id string, u int, v int, etype string")
+    text = xios.graphml(e).first().text
+    assert text.count("<node ") == 3 and text.count("<edge ") == 2 and __import__("xml.dom.minidom", fromlist=["x"]).parseString(text)
+
+
+def test_pair_lines(spark):
+    d = spark.createDataFrame([("s", "# x\n 1 9\n2 8\nno\n")], "sid string, value string")
+    assert sorted((r.pos, r.ppos) for r in ct.pairs_from_text(d).collect()) == [(1, 9), (2, 8)]
+
+
 def test_fingerprint_round_trip(spark, tmp_path):
     fp = spark.createDataFrame([("a", "0i1.", 5), ("a", "0o1.", 7), ("b", "0i1.", 1)], "structure_id string, code string, cnt long")
     info = spark.createDataFrame([("a", "Date", "it's now")], "structure_id string, key string, value string")
