@@ -126,10 +126,19 @@ def _labelled(members, types: dict) -> str:
     return "".join(types.get((a, b), ".") for i, a in enumerate(m) for b in m[i + 1 :])
 
 
-def _graph(p: pd.DataFrame) -> tuple[dict[int, set[int]], dict[tuple[int, int], str]]:
+def _packed(edges: DataFrame) -> DataFrame:
+    """sid, edges: a row a structure, so that a batch holds many structures and a call to Python is not made for each."""
+    return edges.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct(F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), "etype"))).alias("edges"))
+
+
+def _triple(edges) -> list[tuple[int, int, str]]:
+    return [(x["u"], x["v"], x["etype"]) for x in edges]
+
+
+def _graph(rows: list[tuple[int, int, str]]) -> tuple[dict[int, set[int]], dict[tuple[int, int], str]]:
     near: dict[int, set[int]] = {}
     types = {}
-    for u, v, e in zip(p["u"].tolist(), p["v"].tolist(), p["etype"].tolist(), strict=True):
+    for u, v, e in rows:
         if e in "ijo" and u != v:
             near.setdefault(u, set()).add(v)
             near.setdefault(v, set()).add(u)
@@ -144,23 +153,29 @@ def exhaustive_fingerprint(edges: DataFrame, k: int = 7, limit: int = 20) -> Dat
     sends counts by labelled key, and codes are computed once for each distinct key.  Edges of x are no links."""
     sid = edges.schema["sid"].dataType.simpleString()
 
-    def split(p: pd.DataFrame) -> pd.DataFrame:
-        near, types = _graph(p)
-        rows = []
-        for n, s in enumerate(segments_of({v: x | {v} for v, x in near.items()}, limit)):
-            inside = set(s)
-            rows += [(p["sid"].iloc[0], n, a, b, e) for (a, b), e in types.items() if a in inside and b in inside]
-        return pd.DataFrame(rows, columns=["sid", "segment", "u", "v", "etype"])
-
-    def count(p: pd.DataFrame) -> pd.DataFrame:
-        near, types = _graph(p)
-        size = max(3, min(len(near) - 1, k))
-        keys = Counter(_labelled(s, types) for s in connected_subsets(near, size))
-        return pd.DataFrame([(p["sid"].iloc[0], key, n) for key, n in keys.items()], columns=["sid", "key", "cnt"])
+    def split(source):
+        for p in source:
+            rows = []
+            for name, edge in zip(p["sid"], p["edges"], strict=True):
+                near, types = _graph(_triple(edge))
+                for n, s in enumerate(segments_of({v: x | {v} for v, x in near.items()}, limit)):
+                    inside = set(s)
+                    rows.append((name, n, [{"u": a, "v": b, "etype": e} for (a, b), e in types.items() if a in inside and b in inside]))
+            yield pd.DataFrame(rows, columns=["sid", "segment", "edges"])
+
+    def count(source):
+        for p in source:
+            rows = []
+            for name, edge in zip(p["sid"], p["edges"], strict=True):
+                near, types = _graph(_triple(edge))
+                size = max(3, min(len(near) - 1, k))
+                rows += [(name, key, n) for key, n in Counter(_labelled(s, types) for s in connected_subsets(near, size)).items()]
+            yield pd.DataFrame(rows, columns=["sid", "key", "cnt"])
 
     linked = edges.where("etype in ('i', 'j', 'o')").select("sid", "u", "v", "etype")
-    parts = linked.groupBy("sid").applyInPandas(split, f"sid {sid}, segment int, u int, v int, etype string")
-    keys = parts.groupBy("sid", "segment").applyInPandas(count, f"sid {sid}, key string, cnt bigint")
+    parts = _packed(linked).mapInPandas(split, f"sid {sid}, segment int, edges array<struct<u:int,v:int,etype:string>>")
+    keys = parts.repartition("sid", "segment").mapInPandas(count, f"sid {sid}, key string, cnt bigint")
+    keys = keys.groupBy("sid", "key").agg(F.sum("cnt").alias("cnt"))
     return code_counts(keys)
 
 
@@ -171,15 +186,15 @@ def sampled_fingerprint(edges: DataFrame, k: int = 7, limit: int = 10_000, cover
     after ``limit`` samples, or as soon as every motif seen has ``coverage`` counts.  Equal seeds give equal samples."""
     sid = edges.schema["sid"].dataType.simpleString()
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        near, types = _graph(p)
+    def one(name, rows: list[tuple[int, int, str]], codes: dict[str, str | None]) -> Counter:
+        near, types = _graph(rows)
         barred: dict[int, set[int]] = {}
-        for u, v, e in zip(p["u"].tolist(), p["v"].tolist(), p["etype"].tolist(), strict=True):
+        for u, v, e in rows:
             if e == "x":
                 barred.setdefault(u, set()).add(v)
                 barred.setdefault(v, set()).add(u)
-        rng = random.Random(f"{seed}:{p['sid'].iloc[0]}")
-        vertices, counts, codes = sorted(near), Counter(), {}
+        rng = random.Random(f"{seed}:{name}")
+        vertices, counts = sorted(near), Counter()
         for n in range(limit if vertices else 0):
             chosen = {rng.choice(vertices)}
             out = set().union(*(barred.get(v, set()) for v in chosen))
@@ -199,9 +214,15 @@ def sampled_fingerprint(edges: DataFrame, k: int = 7, limit: int = 10_000, cover
                 counts[codes[key]] += 1
             if n % 100 == 99 and counts and min(counts.values()) >= coverage:
                 break
-        return pd.DataFrame([(p["sid"].iloc[0], c, n) for c, n in sorted(counts.items())], columns=["sid", "code", "cnt"])
+        return counts
+
+    def run(source):
+        codes: dict[str, str | None] = {}
+        for p in source:
+            rows = [(name, c, n) for name, edge in zip(p["sid"], p["edges"], strict=True) for c, n in sorted(one(name, _triple(edge), codes).items())]
+            yield pd.DataFrame(rows, columns=["sid", "code", "cnt"])
 
-    return edges.groupBy("sid").applyInPandas(run, f"sid {sid}, code string, cnt bigint")
+    return _packed(edges.where("etype <> 's'")).mapInPandas(run, f"sid {sid}, code string, cnt bigint")
 
 
 def sampled_vertices(edges: DataFrame, k: int, count: int, *, weights: dict[str, float] | None = None, forbid_x: bool = True, seed: int = 1) -> DataFrame:
