@@ -16,7 +16,7 @@ MOTIFS = "code string, n_stems int"
 MOTIF_PARENTS = "code string, parent string"
 DISTANCES = "id1 string, id2 string, jaccard double, bray_curtis double, is_pos boolean"
 FASTA = "id string, doc string, sequence string"
-XIOS = "_version string, information struct<sequence:struct<id:string,doc:string,unformatted:string>,comment_list:struct<comment:array<string>>>, stem_list string, edge_list string, adjacency string"
+STRUCTURE_XML = "_version string, information struct<sequence:struct<id:string,doc:string,unformatted:string>,comment_list:struct<comment:array<string>>>, stem_list string, edge_list string, adjacency string"
 #: A labelled graph as a column: edges (v0, v1, e).
 GRAPH = "array<struct<v0:int,v1:int,e:string>>"
 EDGE_TYPES = "ijosx"

@@ -15,7 +15,7 @@ from ..functions.names import base_name
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """structure_id (file name without extension) and the XML's fields, a row a file."""
-    raw = spark.read.format("xml").option("rowTag", "XIOS").schema(schema.XIOS).load(path)
+    raw = spark.read.format("xml").option("rowTag", "XIOS").schema(schema.STRUCTURE_XML).load(path)
     return raw.withColumn("structure_id", base_name(F.col("_metadata.file_name")))
 
 

@@ -15,7 +15,8 @@ from stemforge.operators import fingerprints as P
 from stemforge.operators import relations as R
 from stemforge.operators import similarity as D
 from stemforge.plans import workflow as W
-from stemforge.sources import ct, tables, xios
+from stemforge.sources import ct, tables
+from stemforge.sources import structure_xml as xml
 from stemforge.streaming import incremental as I  # noqa: E741
 
 THREE = {1: {"dummy": 1, "dummier": 1, "dummiest": 5}, 2: {"dummier": 5, "x": 1, "y": 1}, 3: {"dummiest": 5, "x": 1, "dummy": 1}}
@@ -148,9 +149,9 @@ def test_overlap_measures(spark):
     assert base == {"s": (16, 10, 8), "t": (4, 0, 0)}
 
 
-def test_corpus_edges_equal_the_stored_ones(spark, reference):
-    raw = xios.read_raw(spark, f"{reference}/curated_xios/*.xios").cache()
-    stems, stored = xios.stems(raw), xios.edges(raw)
+def test_corpus_edges_equal_the_stored_ones(spark, corpus):
+    raw = xml.read_raw(spark, corpus["xios"]).cache()
+    stems, stored = xml.stems(raw), xml.edges(raw)
     assert raw.count() == 206 and stems.count() == 3844 and stored.count() == 56317
     own = R.edges(stems.withColumnRenamed("structure_id", "sid"))
     same = own.join(stored.select(F.col("structure_id").alias("sid"), "u", "v", F.col("etype").alias("old")), ["sid", "u", "v"])
@@ -159,38 +160,42 @@ def test_corpus_edges_equal_the_stored_ones(spark, reference):
     assert newer.join(stored.select(F.col("structure_id").alias("sid"), "u", "v", F.col("etype").alias("old")), ["sid", "u", "v"]).where("etype = old").count() >= 56311
 
 
-def test_one_motif_structure(spark, reference):
-    raw = xios.read_raw(spark, f"{reference}/curated_xios/tRNA.1QTQ.xios")
-    e = [(r.u, r.v, r.etype) for r in xios.edges(raw).collect() if r.etype in "ijo"]
-    old = tables.read_old_fingerprints(spark, f"{reference}/curated_fingerprint/tRNA.1QTQ.xios.xpt").collect()
-    assert len(old) == 1 and len(e) == 13
-    parse = [(int(a), int(b), t) for a, t, b in __import__("re").findall(r"(\d+)([ijo])(\d+)", old[0].code)]
-    assert C.canonical_code(e) == C.canonical_code(parse)
-
-
-def test_read_files(spark, reference):
-    info = xios.structures(xios.read_raw(spark, f"{reference}/tRNA.1QTQ.xios")).first()
-    assert info.sequence_id == "tRNA.1QTQ.fa" and len(info.comments) == 4 and info.version == "2.1"
-    fasta = tables.read_fasta(spark, f"{reference}/curated_fasta/*.fa")
+def test_structures_with_one_motif(spark, corpus):
+    """Seven stems, all of them in the one motif that an older sampler found: both codes are of one graph."""
+    raw = xml.read_raw(spark, corpus["xios"])
+    seven = xml.stems(raw).groupBy("structure_id").count().where("count = 7").select("structure_id")
+    old = tables.read_old_fingerprints(spark, corpus["xpt"])
+    one = old.join(old.groupBy("structure_id").count().where("count = 1"), "structure_id").join(seven, "structure_id", "left_semi").select("structure_id", "code")
+    graphs: dict[str, list] = {}
+    for r in xml.edges(raw).join(one, "structure_id").where("etype in ('i', 'j', 'o')").collect():
+        graphs.setdefault(r.structure_id, [r.code, []])[1].append((r.u, r.v, r.etype))
+    parse = lambda c: [(int(a), int(b), t) for a, t, b in __import__("re").findall(r"(\d+)([ijo])(\d+)", c)]
+    same = [C.canonical_code(e) == C.canonical_code(parse(code)) for code, e in graphs.values() if len({v for a, b, _ in e for v in (a, b)}) == 7 and len(e) == len(parse(code))]
+    assert same and all(same)
+
+
+def test_read_files(spark, corpus):
+    info = xml.structures(xml.read_raw(spark, corpus["xios"]))
+    assert info.where("sequence is not null and sequence <> ''").count() == 8
+    fasta = tables.read_fasta(spark, corpus["fa"])
     assert fasta.count() == 206 and fasta.agg(F.min(F.length("sequence")), F.max(F.length("sequence"))).first()[:] == (68, 2411)
-    fps = tables.read_fingerprints(spark, f"{reference}/fpt/*.fpt")
+    fps = tables.read_fingerprints(spark, corpus["fpt"])
     assert fps.count() == 3966
-    facts = tables.read_fingerprint_info(spark, f"{reference}/fpt/*.fpt").collect()
+    facts = tables.read_fingerprint_info(spark, corpus["fpt"]).collect()
     assert [r.value for r in facts if r.key == "total"] == ["50001"] * 8
-    old = tables.read_old_fingerprints(spark, f"{reference}/curated_fingerprint/*.xpt")
+    old = tables.read_old_fingerprints(spark, corpus["xpt"])
     assert old.select("structure_id").distinct().count() == 206
-    assert abs(tables.read_old_headers(spark, f"{reference}/curated_fingerprint/*.xpt").agg(F.sum("time_elapsed")).first()[0] - 1389019) < 5
-    d = tables.read_distances(spark, f"{reference}/fingerprint.distance")
+    assert abs(tables.read_old_headers(spark, corpus["xpt"]).agg(F.sum("time_elapsed")).first()[0] - 1389019) < 5
+    d = tables.read_distances(spark, corpus["distance"])
     assert d.count() == 409 and d.agg(F.min("jaccard"), F.max("bray_curtis")).first()[0] >= 0
 
 
-def test_read_ct(spark, reference):
-    b = ct.read(spark, f"{reference}/mr_s129.fold.ct", strict=True).cache()
-    h = ct.headers(b)
-    assert h.count() == 19 and h.agg(F.min("energy"), F.max("energy")).first()[:] == (-49.3, -44.4) and b.count() == 19 * 240
-    assert ct.headers(ct.within_ddg(b, 4.0)).count() == 14 and ct.headers(ct.within_ddg(b, 1.75)).count() == 3
-    assert len(ct.sequences(b).first().sequence) == 240
-    assert ct.headers(ct.read(spark, f"{reference}/mr_s129.probknot.ct")).first().energy is None
+def test_read_ct(spark, corpus):
+    b = ct.read(spark, corpus["ct"], strict=True).cache()
+    h = ct.headers(b).groupBy("sid").agg(F.count("*").alias("n"), F.min("energy").alias("lo"), F.max("energy").alias("hi")).orderBy("n").collect()
+    assert [tuple(r)[1:] for r in h] == [(1, None, None), (19, -49.3, -44.4)] and b.count() == 20 * 240
+    assert ct.headers(ct.within_ddg(b, 4.0)).count() == 14 + 1 and ct.headers(ct.within_ddg(b, 1.75)).count() == 3 + 1
+    assert {len(r.sequence) for r in ct.sequences(b).collect()} == {240}
     assert ct.stems(b).where("sid like '%:0'").count() > 5
 
 
@@ -207,21 +212,21 @@ def test_ct_round_trip(spark, tmp_path):
         ct.read(spark, str(tmp_path / "bad.ct"), strict=True).collect()
 
 
-def test_xios_round_trip(spark, reference, tmp_path):
-    raw = xios.read_raw(spark, f"{reference}/curated_xios/tRNA.*.xios")
-    docs = xios.documents(xios.structures(raw), xios.stems(raw), xios.edges(raw))
+def test_structure_round_trip(spark, corpus, tmp_path):
+    raw = xml.read_raw(spark, corpus["xios"]).where("structure_id < '5'")
+    docs = xml.documents(xml.structures(raw), xml.stems(raw), xml.edges(raw))
     for r in docs.collect():
         (tmp_path / f"{r.structure_id}.xios").write_text(r.text)
-    again = xios.read_raw(spark, f"{tmp_path}/*.xios")
+    again = xml.read_raw(spark, f"{tmp_path}/*.xios")
     cols = ["structure_id", "v", "lbegin", "lend", "rbegin", "rend"]
     rows = lambda d: sorted(map(tuple, d.collect()))
-    assert rows(xios.stems(again).select(cols)) == rows(xios.stems(raw).select(cols))
-    assert rows(xios.edges(again)) == rows(xios.edges(raw))
+    assert rows(xml.stems(again).select(cols)) == rows(xml.stems(raw).select(cols))
+    assert rows(xml.edges(again)) == rows(xml.edges(raw))
 
 
 def test_graphml(spark):
     e = spark.createDataFrame([("a", 0, 1, "i"), ("a", 0, 2, "s"), ("a", 1, 3, "o")], "structure_id string, u int, v int, etype string")
-    text = xios.graphml(e).first().text
+    text = xml.graphml(e).first().text
     assert text.count("<node ") == 3 and text.count("<edge ") == 2 and __import__("xml.dom.minidom", fromlist=["x"]).parseString(text)
 
 
