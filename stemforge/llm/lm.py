@@ -6,10 +6,13 @@ Unigrams are kept exactly; bigrams seen once quantise to nothing (the log-freque
 
 The filter holds, for an n-gram of count c, the pairs (n-gram, 1) .. (n-gram, level of c), levels growing with log2 c.
 A count is read back by probing level after level until one is missing, so an error can only be upwards and its chance
-falls with each level.  It has at most ``most_bits`` bits, whatever the corpus, and is broadcast.
+falls with each level.  It has ``bits_each`` bits an entry whatever the corpus, in a segment a bucket, so the share of
+errors does not grow with the input.  A filter of at most ``most_bits`` bits is broadcast.  A larger one is never in one
+place: the distinct words and pairs of each chunk of texts are sent to their buckets, probed there against the bucket's
+segment, and their levels return to the chunk.  Both ways give the same levels.
 
 Score: log10 of weight * c(v, w) / c(v) + (1 - weight * kept) * p(w), all counts probed; p are unigram probabilities
-where unseen words share the mass V / (N + V).  ``weight`` is chosen for each level of c(v) by the leave-one-out
+where unseen words share the mass V / (N + V), at most N / (N + V) each.  ``weight`` is chosen for each level of c(v) by the leave-one-out
 likelihood of all training texts (one more pass over them), ``kept`` is the share of that level's training pairs
 that the filter holds.
 
@@ -68,6 +71,20 @@ def pack_counts(key: np.ndarray, n: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(raw).tobytes() + out.tobytes()
 
 
+WIDTH = {1: 8, 2: 5}  # bytes of a key: bucket and 40 bits tell a bigram
+
+
+def pack_keys(key: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each key."""
+    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack_keys(block: bytes | pa.Buffer, width: int) -> np.ndarray:
+    raw = np.zeros((memoryview(block).nbytes // width, 8), np.uint8)
+    raw[:, :width] = np.frombuffer(block, np.uint8).reshape(-1, width)
+    return raw.reshape(-1).view("<u8").astype(U)
+
+
 def unpack_counts(block: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(block) // (width + 1)
     raw = np.zeros((n, 8), np.uint8)
@@ -175,9 +192,11 @@ class Filter:
         """Bit position within a segment (below 2**32) by multiplication."""
         return (((h >> U(32)) * U(segment)) >> U(32)).astype(np.int64)
 
-    def probe(self, full: np.ndarray, kind: int) -> np.ndarray:
-        """Levels of the n-grams with these 64-bit hashes: probes go on while all bits are set, and stop at the first that is not."""
-        base = (full >> U(64 - self.bucket_bits)).astype(np.int64) * self.segment
+    def probe(self, full: np.ndarray, kind: int, inside: bool = False) -> np.ndarray:
+        """Levels of the n-grams with these 64-bit hashes: probes go on while all bits are set, and stop at the first that is not.
+
+        With ``inside`` the bits are the one segment that all of them are in."""
+        base = np.zeros(len(full), np.int64) if inside else (full >> U(64 - self.bucket_bits)).astype(np.int64) * self.segment
         key = full & MASK40 if kind == 2 else full
         lev = np.zeros(len(full), np.int64)
         live = np.arange(len(full))
@@ -210,7 +229,7 @@ def _fill(segment: int, hashes: int):
 
 @dataclass
 class Model:
-    filter: Filter
+    filter: Filter | None  # None: it is not in one place
     tokens: int
     types: int
     head_key: np.ndarray  # sorted
@@ -219,31 +238,53 @@ class Model:
     weight: np.ndarray
     kept: np.ndarray
 
-    def parts(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: its unigram probability, its pair's count, its predecessor's count and that count's level."""
-        keys, back = np.unique(t.hash, return_inverse=True)
-        lev = self.filter.probe(keys, 1)
-        c = value(lev, 1)
+    def parts(self, t: Tokens, word: np.ndarray, pairs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: its unigram probability, its pair's count, its predecessor's count and that count's level.
+
+        ``word`` has each token's level, ``pairs`` gives the levels of the pairs at some tokens."""
+        c = VALUES[1][word]
         known = self.tokens / (self.tokens + self.types) if self.tokens else 0.0
-        p = np.where(c > 0, known * c / max(self.tokens, 1), (1 - known) / max(self.types, 1))
-        before, at = np.zeros(len(t.hash), np.int64), np.zeros(len(t.hash), np.int64)
-        at[1:] = back[:-1]
-        before = lev[at]
-        before[t.before == BEGIN] = self.filter.probe(np.array([END]), 1)[0]  # texts begin as often as they end
+        p = np.where(c > 0, known * np.minimum(c / max(self.tokens, 1), 1.0), (1 - known) / max(self.types, 1))
+        before = np.zeros(len(word), np.int64)
+        before[1:] = word[:-1]
+        before[t.first[:-1]] = word[t.first[1:] - 1]  # texts begin as often as they end
         before = np.minimum(before, LEVELS - 1)
         some = np.flatnonzero(before > 2)  # a predecessor seen once or so has no pair of two
-        pair = np.zeros(len(t.hash))
-        pair[some] = value(self.filter.probe(t.pair[some], 2), 2)
-        many = value(before, 1)
-        return p[back], np.minimum(pair, many), many, before
+        pair = np.zeros(len(word))
+        pair[some] = VALUES[2][pairs(some)]
+        many = VALUES[1][before]
+        return p, np.minimum(pair, many), many, before
 
-    def score(self, t: Tokens) -> np.ndarray:
+    def score(self, t: Tokens, word: np.ndarray, pairs) -> np.ndarray:
         """log10 probability of each token given the one before it."""
-        p, pair, before, lev = self.parts(t)
+        p, pair, before, lev = self.parts(t, word, pairs)
         return np.log10(np.maximum(self.weight[lev] * pair / np.maximum(before, 1) + (1 - self.weight[lev] * self.kept[lev]) * p, 1e-300))
 
+    def tokens_of(self, source):
+        """(batch, tokens, level of each token, levels of the pairs at given tokens) of texts, or of chunks that ``_look`` has looked up."""
+        if self.filter is not None:
+            for batch in K.batches(source):
+                t = Tokens(batch.column("text"))
+                keys, back = np.unique(t.hash, return_inverse=True)
+                yield batch, t, self.filter.probe(keys, 1)[back], lambda at, t=t: self.filter.probe(t.pair[at], 2)
+            return
+        for chunk in source:
+            for i in range(chunk.num_rows):
+                parts = pa.ipc.open_stream(chunk.column("texts")[i].as_buffer()).read_all().to_batches()
+                held = [Tokens(b.column("text")) for b in parts]
+                word, pair = (
+                    np.frombuffer(chunk.column(c)[i].as_py(), np.uint8).astype(np.int64)[np.unique(np.concatenate(keys), return_inverse=True)[1]]
+                    for c, keys in (("words", [t.hash for t in held]), ("pairs", [t.pair for t in held]))
+                )
+                lo = 0
+                for batch, t in zip(parts, held, strict=True):
+                    hi = lo + len(t.hash)
+                    yield batch, t, word[lo:hi], lambda at, mine=pair[lo:hi]: mine[at]
+                    lo = hi
+
 
 LEVELS = 96
+VALUES = {kind: value(np.arange(LEVELS + 1), kind) for kind in (1, 2)}
 GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
 
 
@@ -253,8 +294,11 @@ def _calibrate(model):
     def run(source):
         m = model.value
         sums = np.zeros((3 + len(GRID), LEVELS))
-        for batch in K.batches(source):
-            p, pair, before, lev = m.parts(Tokens(batch.column("text")))
+        for batch, t, word, pairs in m.tokens_of(source):
+            learnt = ~batch.column("held_out").to_numpy(zero_copy_only=False)[t.row]
+            if not learnt.any():
+                continue
+            p, pair, before, lev = (x[learnt] for x in m.parts(t, word, pairs))
             more = np.flatnonzero(pair >= 3)
             sums[0] += np.bincount(lev, minlength=LEVELS)
             sums[1] += np.bincount(lev[pair > 0], minlength=LEVELS)
@@ -267,42 +311,145 @@ def _calibrate(model):
     return run
 
 
-def train(spark: SparkSession, docs: DataFrame, *, head: int = 1 << 20, most_bits: int = 1 << 27, bits_each: float = 10.0, block_bytes: int = 6 << 20) -> tuple[Model, DataFrame]:
-    """The model and the saved table of counts (kind, bucket, keys, counts) that its tail join reads."""
-    texts = docs.select("text")
+def _ask(bits: int, chunk_tokens: int = 1_500_000):
+    """Of each chunk of texts: its batches as an Arrow stream (kind 0, bucket -1), and the distinct keys of its words (1) and pairs (2) by bucket."""
+
+    def run(source):
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        held: list[tuple[pa.RecordBatch, Tokens]] = []
+        size = 0
+
+        def out():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0][0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                for batch, _ in held:
+                    stream.write_batch(batch)
+            cols = [-1], [0], [sink.getvalue().to_pybytes()]
+            for kind, keys in (1, [t.hash for _, t in held]), (2, [t.pair for _, t in held]):
+                key = np.unique(np.concatenate(keys))
+                cut = np.searchsorted(key >> U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                for b in np.flatnonzero(np.diff(cut)).tolist():
+                    cols[0].append(b)
+                    cols[1].append(kind)
+                    cols[2].append(pack_keys(key[cut[b] : cut[b + 1]], WIDTH[kind]))
+            return pa.record_batch([pa.array([chunk] * len(cols[0]), pa.int64()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["chunk", "bucket", "kind", "block"])
+
+        for batch in K.batches(source):
+            held.append((batch, Tokens(batch.column("text"))))
+            size += len(held[-1][1].hash)
+            if size >= chunk_tokens:
+                yield out()
+                held, size, chunk = [], 0, chunk + 1
+        if held:
+            yield out()
+
+    return run
+
+
+def _answer(segment: int, hashes: int, bits: int):
+    """Rows sorted by (bucket, chunk), a bucket's segments (chunk -1) before its keys -> the levels of the keys, a byte each."""
+
+    def run(source):
+        now, field = None, np.zeros(segment // 8, np.uint8)
+        for batch in source:
+            cols = [], [], [], []
+            for chunk, bucket, kind, block in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "kind")), batch.column("block"), strict=True):
+                block = block.as_buffer()
+                if bucket != now:
+                    now, field = bucket, np.zeros(segment // 8, np.uint8)
+                if chunk < 0:
+                    field |= np.frombuffer(block, np.uint8)
+                    continue
+                key = unpack_keys(block, WIDTH[kind])
+                lev = Filter(field, segment, hashes, bits).probe(key, kind, inside=True)
+                for col, x in zip(cols, (chunk, bucket, kind, lev.astype(np.uint8).tobytes()), strict=True):
+                    col.append(x)
+            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["chunk", "bucket", "kind", "block"])
+
+    return run
+
+
+def _gather(source):
+    """Rows sorted by (chunk, kind, bucket) -> a row a chunk: its texts, and the levels of its sorted distinct words and pairs."""
+    now, held = None, [[], [], []]
+
+    def out():
+        return pa.record_batch([pa.array([b"".join(x)], pa.binary()) for x in held], ["texts", "words", "pairs"])
+
+    for batch in source:
+        for chunk, kind, block in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "block")), strict=True):
+            if chunk != now:
+                if now is not None:
+                    yield out()
+                now, held = chunk, [[], [], []]
+            held[kind].append(block)
+    if now is not None:
+        yield out()
+
+
+def _look(rows: DataFrame, segments: DataFrame, segment: int, hashes: int, bits: int) -> DataFrame:
+    """A saved row for each chunk of ``rows``, with the levels that the filter's segments hold of its words and pairs."""
+    block = "chunk long, bucket int, kind int, block binary"
+    asked = saved(rows.mapInArrow(_ask(bits), block), "asked")
+    field = segments.select(F.lit(-1).cast("long").alias("chunk"), "bucket", F.lit(0).alias("kind"), F.col("bits").alias("block"))
+    sent = field.unionAll(asked.where("kind > 0")).repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    levels = sent.mapInArrow(_answer(segment, hashes, bits), block)
+    back = levels.unionAll(asked.where("kind = 0")).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
+    out = saved(back.mapInArrow(_gather, "texts binary, words binary, pairs binary"), "looked-up")
+    remove(asked)
+    return out
+
+
+def train(spark: SparkSession, rows: DataFrame, *, head: int = 1 << 20, most_bits: int = 1 << 27, bits_each: float = 10.0, block_bytes: int = 6 << 20) -> tuple[Model, DataFrame, DataFrame]:
+    """The model learnt from the rows (row_id, doc_id, held_out, text) without held_out, the saved table of counts (kind,
+    bucket, keys, counts) that its tail join reads, and what ``Model.tokens_of`` reads of the rows: these or, where the
+    filter has more than ``most_bits`` bits, their saved chunks."""
+    texts = rows.where(~F.col("held_out")).select("text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(size, 1) / block_bytes)), 3, 20))
     blocks = texts.mapInArrow(_count(bits), "kind int, bucket int, block binary")
     merged = blocks.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_merge, "kind int, bucket int, types long, total long, levels long, keys binary, counts binary")
     counts = saved(merged, "ngrams")
+    del blocks, merged
+    spark.sparkContext._jvm.System.gc()  # the shuffle of the counts goes before the next one comes
     sums = {r[0]: r[1:] for r in counts.groupBy("kind").agg(F.sum("types"), F.sum("total"), F.sum("levels")).collect()}
     types, tokens = (int(v or 0) for v in sums.get(1, (0, 0, 0))[:2])
     entries = sum(int(v[2] or 0) for v in sums.values())
 
-    total = int(min(most_bits, max(1 << 16, entries * bits_each)))
+    total = int(max(1 << 16, entries * bits_each))
     segment = -(-total // (1 << bits) // 8) * 8 + 64
     hashes = int(np.clip(round(0.69 * segment * (1 << bits) / max(entries, 1)), 1, 8))
-    field = np.zeros(((1 << bits), segment // 8), np.uint8)
-    for bucket, part in counts.mapInArrow(_fill(segment, hashes), "bucket int, bits binary").toLocalIterator():
-        field[bucket] |= np.frombuffer(part, np.uint8)
+    segments = counts.mapInArrow(_fill(segment, hashes), "bucket int, bits binary")
+    held = None
+    if total <= most_bits:
+        field = np.zeros(((1 << bits), segment // 8), np.uint8)
+        for bucket, part in segments.toLocalIterator():
+            field[bucket] |= np.frombuffer(part, np.uint8)
+        held = Filter(field.reshape(-1), segment, hashes, bits)
+        del field
+    else:
+        rows = _look(rows, segments, segment, hashes, bits)
 
     least = _head_floor(counts, head)
     top = counts.where("kind = 1").mapInArrow(_head_blocks(least), "keys binary, counts binary").collect()  # at most ``head`` words
     key = np.concatenate([np.frombuffer(r[0], "<u8") for r in top] or [np.zeros(0, "<u8")]).astype(U)
     n = np.concatenate([np.frombuffer(r[1], "<i8") for r in top] or [np.zeros(0, "<i8")])
     order = np.argsort(key)
-    model = Model(Filter(field.reshape(-1), segment, hashes, bits), tokens, types, key[order], n[order], least > 1, np.zeros(LEVELS), np.zeros(LEVELS))
-    del field, top, key, n
+    model = Model(held, tokens, types, key[order], n[order], least > 1, np.zeros(LEVELS), np.zeros(LEVELS))
+    del held, top, key, n
     fields = ["n", "held", "again", *(f"g{i}" for i in range(len(GRID)))]
     shared = spark.sparkContext.broadcast(model)
-    sums = texts.mapInArrow(_calibrate(shared), "level long, " + ", ".join(f"{f} double" for f in fields)).groupBy("level").agg(*(F.sum(f) for f in fields)).collect()
+    learnt = rows if model.filter is None else rows.where(~F.col("held_out")).select("held_out", "text")
+    sums = learnt.mapInArrow(_calibrate(shared), "level long, " + ", ".join(f"{f} double" for f in fields)).groupBy("level").agg(*(F.sum(f) for f in fields)).collect()
     shared.unpersist()
     for at, n, held, again, *likely in sums:
         if n:
             # tokens whose pair is not held (the token itself left out) have the likelihood of the second part alone
             model.kept[at] = held / n
             model.weight[at] = GRID[int(np.argmax(np.array(likely) + (n - again) * np.log(1 - GRID * model.kept[at])))]
-    return model, counts
+    return model, counts, rows
 
 
 def _head_floor(counts: DataFrame, head: int) -> int:
@@ -355,10 +502,9 @@ def _score(model):
     def run(source):
         m = model.value
         floor = float(np.log10(m.tokens + m.types + 1))
-        for batch in K.batches(source):
-            t = Tokens(batch.column("text"))
+        for batch, t, word, pairs in m.tokens_of(source):
             rows = batch.num_rows
-            p = m.score(t)
+            p = m.score(t, word, pairs)
             if len(m.head_key):
                 at = np.minimum(np.searchsorted(m.head_key, t.hash), len(m.head_key) - 1)
                 c = np.where(m.head_key[at] == t.hash, m.head_count[at], 0)
@@ -389,8 +535,8 @@ def _score(model):
 def score(spark: SparkSession, docs: DataFrame, held_out: Column, **how) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; rows with held_out are not learnt from."""
     flag = F.coalesce(held_out, F.lit(False))
-    model, counts = train(spark, docs.where(~flag), **how)
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), flag.alias("held_out"), "text")
+    model, counts, rows = train(spark, rows, **how)
     scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), PART)
     base, known = F.col("base_score"), F.col("n_known")
     if model.tail:

@@ -249,6 +249,15 @@ def test_lm_without_training(spark):
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got) == [(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)]
 
 
+def test_lm_filter_grows(spark):
+    """A filter beyond the size that is broadcast keeps its bits an entry: the scores are the same, held out or not."""
+    rng = random.Random(10)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(rng.randint(0, 400)))) for i in range(300)] + [(300, None), (301, "w1 zzz"), (301, "w1 zzz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    get = lambda **how: sorted((r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(spark, docs, Q.remainder(7) == 2, **how).collect())
+    assert get() == get(most_bits=1 << 12) == get(most_bits=1 << 12, head=8)
+
+
 def test_lm_filter_levels():
     n = np.array([1, 2, 3, 4, 7, 8, 100, 10_000])
     for kind in (1, 2):
