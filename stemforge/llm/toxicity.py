@@ -3,13 +3,13 @@
 Training (a bounded sample of labelled rows): for words, and for 4- to 7-byte beginnings of the others, the log-odds of being in a
 toxic document against a clean one, with a Dirichlet prior in proportion to the overall rate; units whose log-odds are
 beyond ``z`` standard deviations and ``least`` make the model, at most ``units`` of them.  A word's weight is that of its most
-certain unit where it comes first in its text, else a small negative drift.
+certain unit wherever it comes, else a small negative drift.
 
 Scoring: the linear-time scan for all maximal scoring segments finds the passages of a text.  Segment scores are
 calibrated by extreme-value theory: lambda is the root of sum p e^(lambda s) = 1 over the clean words' weights, K the
 likeliest constant of the Gumbel law of the clean texts' best segments; s' = lambda s - ln(K n) is a passage's
 normalised score and e^(-s') its expected number in a clean text of n words.  A document's evidence is the sum of the
-positive s'; two logistic coefficients, fitted on the sample, turn it into a probability.
+positive s' of its different passages (a passage that is repeated word for word is found each time and counts once); two logistic coefficients, fitted on the sample, turn it into a probability.
 
 Defined results: null, empty and word-free texts have no passage and get the score of no evidence; labels other than
 0 and 1 are not learnt from; of several labels of one doc_id the largest counts; without labels of both kinds every
@@ -53,13 +53,7 @@ class Model:
             at = np.minimum(np.searchsorted(self.unit, h), len(self.unit) - 1)
             ok = (self.unit[at] == h) & (self.certainty[at] > sure)
             out[ok], sure[ok] = self.weight[at[ok]], self.certainty[at[ok]]
-        out = out[back]
-        marked = np.flatnonzero(out != -self.drift)  # the odds are of presence: a word counts where it comes first in its text
-        once = np.unique(K.mix(w.hash[marked] + w.doc[marked].astype(np.uint64)), return_index=True)[1]
-        again = np.ones(len(marked), bool)
-        again[once] = False
-        out[marked[again]] = -self.drift
-        return out
+        return out[back]
 
     def normalised(self, scores: np.ndarray, n) -> np.ndarray:
         return self.scale * scores - self.log_k - np.log(np.maximum(n, 1))
@@ -87,6 +81,12 @@ def segments(w: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s[0], s[1], s[3] - s[2]) for s in stack]
 
 
+def first_copies(found: list[tuple[int, int, float]], h: np.ndarray) -> np.ndarray:
+    """Of each segment of the words ``h``, whether no earlier one has the same words."""
+    seen: set[bytes] = set()
+    return np.array([not (k in seen or seen.add(k)) for k in (h[s:t].tobytes() for s, t, _ in found)], bool)
+
+
 def _units(chosen):
     """Documents of each class that hold a unit, summed within the batch: words, or beginnings of the words that are not ``chosen``."""
 
@@ -111,7 +111,7 @@ def _units(chosen):
 
 
 def _training(model):
-    """For each sampled document: its size, its words' weights but for the drift, its segments' scores."""
+    """For each sampled document: its size, its words' weights but for the drift, its different segments' scores."""
 
     def run(source):
         m = model.value
@@ -122,7 +122,8 @@ def _training(model):
             for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
                 mine = x[a:b]
                 marks.append(mine[mine != -m.drift])
-                found.append([s[2] for s in segments(mine)] if (mine > 0).any() else [])
+                here = segments(mine) if (mine > 0).any() else []
+                found.append([v[2] for v, new in zip(here, first_copies(here, w.hash[a:b]), strict=True) if new])
             yield pa.record_batch([batch.column("toxic"), pa.array(w.count.astype(np.int64)), pa.array(marks, pa.list_(pa.float64())), pa.array(found, pa.list_(pa.float64()))], ["toxic", "n", "marks", "found"])
 
     return run
@@ -231,9 +232,10 @@ def _score(model):
             n = np.zeros(batch.num_rows, np.int32)
             e = np.zeros(batch.num_rows)
             for r in np.unique(w.doc[x > 0]).tolist():
-                s = np.array([v[2] for v in segments(x[w.first[r] : w.first[r + 1]])])
-                good = m.normalised(s, w.count[r])
-                n[r], e[r] = (good > 0).sum(), np.maximum(good, 0).sum()
+                a, b = w.first[r], w.first[r + 1]
+                here = segments(x[a:b])
+                good = m.normalised(np.array([v[2] for v in here]), w.count[r])
+                n[r], e[r] = (good > 0).sum(), np.maximum(good, 0)[first_copies(here, w.hash[a:b])].sum()
             yield batch, n, e, 1 / (1 + np.exp(-np.clip(m.a + m.b * np.log1p(e), -60, 60))) if len(m.unit) else np.zeros(batch.num_rows)
 
     return run

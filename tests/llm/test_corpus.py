@@ -227,6 +227,23 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(spark, docs, nothing, F.lit(False)).collect()} == {0.0}
 
 
+def test_toxicity_of_repeated_words(spark):
+    """Words that came before in harmless context, or in an equal passage, count again."""
+    unit = {w: K.Words(pa.array([w]), K.ALNUM).hash[0] for w in ("vile", "scum", "filth")}
+    h = np.sort(np.array(list(unit.values())))
+    m = toxicity.Model(h, np.full(3, 2.0), np.full(3, 9.0), 0.25, scale=1.0, log_k=0.0, a=-3.0, b=3.0)
+    calm = lambda n: " ".join(["calm"] * n)
+    passage = "vile scum filth vile scum filth"
+    scattered = " ".join([calm(60), "vile", calm(60), "scum", calm(60), "filth", calm(60), passage, calm(60)])
+    twice = " ".join([calm(5), passage, calm(200), passage, calm(5)])
+    docs = spark.createDataFrame([(1, scattered), (2, twice), (3, " ".join([calm(216), passage]))], "doc_id long, text string")
+    found = sorted((r.doc_id, r.text) for r in toxicity.passages(spark, docs, m).collect())
+    assert found == [(1, passage), (2, passage), (2, passage), (3, passage)]
+    got = {r.doc_id: r for r in toxicity.score(spark, docs, m, F.lit(False)).collect()}
+    assert [got[i].predicted for i in (1, 2, 3)] == [1, 1, 1] and [got[i].n_passages for i in (1, 2, 3)] == [1, 2, 1]
+    assert abs(got[2].evidence - got[3].evidence) < 1e-9  # both have 222 words
+
+
 @pytest.mark.parametrize("head", [1 << 20, 8])
 def test_lm(spark, head):
     rng = random.Random(9)
