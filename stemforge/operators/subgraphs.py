@@ -92,7 +92,9 @@ def merged_sets(candidates: list[set[int]], limit: int) -> list[set[int]]:
 
 
 def segments_of(near: dict[int, set[int]], limit: int) -> list[list[int]]:
-    """Vertex sets of at most ``limit`` that cover a graph: largest neighbour sets first while they cover something new, then merged."""
+    """Vertex sets of at most ``limit``: largest neighbour sets first while they cover something new, then merged.
+
+    A neighbour set of more than ``limit`` is skipped; a vertex that is only in such sets is in no segment."""
     free, chosen = set(near), []
     for v in sorted(near, key=lambda v: (len(near[v]), v), reverse=True):
         if not free:
@@ -150,7 +152,10 @@ def exhaustive_fingerprint(edges: DataFrame, k: int = 7, limit: int = 20) -> Dat
     """sid, code, cnt of all connected subgraphs of max(3, min(segment - 1, k)) stems of each segment.
 
     Structures become segments of at most ``limit`` stems, a row each, so a large structure spreads over tasks; a task
-    sends counts by labelled key, and codes are computed once for each distinct key.  Edges of x are no links."""
+    sends counts by labelled key, and codes are computed once for each distinct key.  Edges of x are no links.
+
+    Not counted: subgraphs with stems of which every neighbour set (a stem and all linked to it) has more than ``limit``
+    stems, as no segment holds them; and subgraphs whose stems are not together in one segment."""
     sid = edges.schema["sid"].dataType.simpleString()
 
     def split(source):

@@ -365,9 +365,9 @@ def greedy_by_energy(spark, sf):
 
 @query("exhaustive_fingerprint")
 def exhaustive_fingerprint(spark, sf):
-    return G.exhaustive_fingerprint(R.edges(B.stems(spark, sf)), k=5, limit=12)
+    return G.exhaustive_fingerprint(R.edges(B.stems(spark, sf)), k=7, limit=20)
 
 
 @query("sampled_fingerprint")
 def sampled_fingerprint(spark, sf):
-    return G.sampled_fingerprint(R.edges(B.stems(spark, sf)), k=5, limit=300, coverage=3, seed=11)
+    return G.sampled_fingerprint(R.edges(B.stems(spark, sf)), k=7, limit=10_000, coverage=3, seed=11)

@@ -329,3 +329,18 @@ def test_random_structures(spark):
     a = E.random_structures(spark, 50, 4, seed=2)
     assert a.collect() == E.random_structures(spark, 50, 4, seed=2).collect()
     assert all(sorted(r.pairs) == list(range(8)) for r in a.collect())
+
+
+def test_registered_fingerprints_are_whole(spark, sf, monkeypatch):
+    """The registered fingerprints have the operators' own sizes and limits."""
+    import inspect
+
+    from stemforge.plans import graph_queries
+
+    asked = []
+    for name in ("exhaustive_fingerprint", "sampled_fingerprint"):
+        f = getattr(G, name)
+        monkeypatch.setattr(graph_queries.G, name, lambda edges, f=f, **how: asked.append((f.__name__, how, inspect.signature(f))))
+        getattr(graph_queries, name)(spark, sf)
+    assert [n for n, _, _ in asked] == ["exhaustive_fingerprint", "sampled_fingerprint"]
+    assert all(how[x] == own.parameters[x].default for _, how, own in asked for x in ("k", "limit"))
