@@ -287,7 +287,7 @@ def cluster_trees(spark, sf):
 
 @query("wpgma_tree")
 def wpgma_tree(spark, sf):
-    pairs = D.measures(B.motifs(spark, sf).where("id <= 30"))
+    pairs = D.measures(B.motifs(spark, sf))
     return C.trees(D.to_distance(pairs).withColumn("cluster", F.lit(1)))
 
 
@@ -324,7 +324,7 @@ def cooccurrence(spark, sf):
 
 @query("consensus_clusters")
 def consensus_clusters(spark, sf):
-    e = table(spark, sf, "embeddings").where("vec_id < 200")
+    e = table(spark, sf, "embeddings")
     runs = e.select(F.explode(F.array(F.lit(2), F.lit(3), F.lit(5))).alias("run"), F.col("vec_id").alias("id"), "label").select("run", "id", (F.col("label") % F.col("run")).alias("cluster"))
     return C.consensus_clusters(runs, 2)
 

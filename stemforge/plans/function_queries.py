@@ -190,7 +190,7 @@ def serial_graph_edges(spark, sf):
 
 @query("brackets_round_trip")
 def brackets_round_trip(spark, sf):
-    p = serials(spark, sf).select("sid", T.serial_to_pairs(F.col("serial")).alias("p")).where("size(p) <= 24")
+    p = serials(spark, sf).select("sid", T.serial_to_pairs(F.col("serial")).alias("p"))
     p = p.withColumn("vienna", T.pairs_to_brackets("p")).where("vienna is not null")
     return p.select("sid", "vienna", (T.brackets_to_pairs("vienna") == F.col("p")).alias("same"))
 

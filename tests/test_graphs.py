@@ -344,3 +344,17 @@ def test_registered_fingerprints_are_whole(spark, sf, monkeypatch):
         getattr(graph_queries, name)(spark, sf)
     assert [n for n, _, _ in asked] == ["exhaustive_fingerprint", "sampled_fingerprint"]
     assert all(how[x] == own.parameters[x].default for _, how, own in asked for x in ("k", "limit"))
+
+
+def test_queries_without_sql_take_whole_tables(spark, sf, monkeypatch):
+    """Trees of more than 30 structures, all embeddings, structures of more than 12 stems."""
+    from stemforge.plans import fingerprint_queries, function_queries
+
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    assert max(ids) >= 200 and {r.id for r in fingerprint_queries.consensus_clusters(spark, sf).collect()} == ids
+    motifs = spark.createDataFrame([(i, i % 7 + j, 1) for i in range(1, 41) for j in range(7)], "id long, code long, cnt long")
+    monkeypatch.setattr(fingerprint_queries.B, "motifs", lambda *_: motifs)
+    assert [r.n for r in fingerprint_queries.wpgma_tree(spark, sf).collect()] == [40]
+    serial = [x for i in range(1, 15) for x in (i, i)]
+    monkeypatch.setattr(function_queries, "serials", lambda *_: spark.createDataFrame([(1, serial)], "sid long, serial array<int>"))
+    assert [(r.sid, r.same) for r in function_queries.brackets_round_trip(spark, sf).collect()] == [(1, True)]
