@@ -5,7 +5,8 @@ Byte-level BPE is compiled to two deterministic transducers.  The first cuts cod
 side by side.  The second reads a pretoken's bytes and emits on each transition by how many tokens the encoding of
 what was read grows.  Its states are determinised on demand: a state holds, for each position inside the longest read
 suffix that may still grow into a vocabulary entry, the last token of the encoding up to there and the token count
-relative to here; two prefixes with equal states count alike for ever.  The last token at a position is the only
+relative to here; two prefixes with equal states count alike for ever.  Long pretokens are cut into chunks whose state maps are
+composed, so that their chunks run side by side too.  The last token at a position is the only
 vocabulary entry that ends there and is compatible with the last token before it (two tokens are compatible when BPE
 keeps them apart).
 
@@ -16,6 +17,7 @@ in the library; repeated rows give repeated results; texts of any length are cou
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +65,8 @@ class Bpe:
     def apart(self, a: bytes, b: bytes) -> bool:
         got = self.memo.get((a, b))
         if got is None:
+            if len(self.memo) > 2_000_000:
+                self.memo.clear()
             got = self.memo[a, b] = self.encode(a + b) == ([a, b] if a else [b])
         return got
 
@@ -104,53 +108,67 @@ class Transitions:
 
 
 class Counter:
-    """The counting transducer over bytes, its transitions made when first met; it starts anew if it outgrows ``most`` states."""
+    """The counting transducer over bytes, its transitions made when first met; it starts anew if it outgrows ``most`` states.
 
-    def __init__(self, bpe: Bpe, most: int = 400_000):
+    A state is (tail, past): the read suffix that may still grow into a token, and for each position inside it, from its
+    end back, the last token there (times 4096) and 2048 plus how many tokens fewer than here its encoding has."""
+
+    #: Longer pretokens are cut into chunks, whose state maps are composed; bytes that a chunk's likely start state is read from; bytes of a section.
+    LONG, CHUNK, WARM, SECTION = 1024, 256, 64, 1 << 16
+
+    def __init__(self, bpe: Bpe, most: int = 200_000):
         self.bpe, self.most = bpe, most
-        self.tokens = sorted(bpe.vocab)
-        self.id = {t: i for i, t in enumerate(self.tokens)}
+        self.tokens = [b"", *sorted(bpe.vocab)]
+        self.id = {t: i for i, t in enumerate(self.tokens) if i}
         self.reset()
 
     def reset(self):
         self.table = Transitions()
-        self.states: list[bytes] = []
-        self.number: dict[bytes, int] = {}
-        self.add(b"", [(-1, 0)])
+        self.states: list[tuple[bytes, tuple[int, ...]]] = []
+        self.number: dict[tuple[bytes, tuple[int, ...]], int] = {}
+        self.known: dict[int, tuple[int, int]] = {}
+        self.add((b"", (2048,)))
 
-    def add(self, tail: bytes, past: list[tuple[int, int]]) -> int:
-        key = bytes([len(tail)]) + tail + np.array(past, np.int32).tobytes()
-        i = self.number.get(key)
+    def add(self, state: tuple[bytes, tuple[int, ...]]) -> int:
+        i = self.number.get(state)
         if i is None:
-            i = self.number[key] = len(self.states)
-            self.states.append(key)
+            i = self.number[state] = len(self.states)
+            self.states.append(state)
         return i
 
-    def compile(self, s: int, byte: int) -> tuple[int, int]:
-        """tail: the read suffix that may still grow; past[o]: (last token, tokens relative to here) at o bytes before here."""
-        key = self.states[s]
-        tail = key[1 : 1 + key[0]]
-        past = np.frombuffer(key[1 + key[0] :], np.int32).reshape(-1, 2).tolist()
-        text = tail + bytes([byte])
-        for n in range(len(text), 0, -1):
+    def compile(self, key: int) -> tuple[int, int]:
+        """(state, tokens emitted) of a key: state * 256 + byte."""
+        tail, past = self.states[key >> 8]
+        text = tail + bytes([key & 255])
+        for n in range(min(len(text), len(past)), 0, -1):
             token = text[-n:]
-            if n - 1 < len(past) and token in self.id and self.bpe.apart(self.tokens[past[n - 1][0]] if past[n - 1][0] >= 0 else b"", token):
-                grown = past[n - 1][1] + 1
-                break
+            if token in self.id:
+                last, fewer = past[n - 1] >> 12, (past[n - 1] & 4095) - 2048
+                if self.bpe.apart(self.tokens[last], token):
+                    grown = 1 - fewer
+                    break
         else:
             raise ValueError("no token of the vocabulary ends here")
         while text and text not in self.bpe.starts:
             text = text[1:]
-        now = [(self.id[token], 0), *((t, c - grown) for t, c in past[: len(text)])]
-        return self.add(text, now), grown
+        return self.add((text, (self.id[token] << 12 | 2048, *(p + grown for p in past[: len(text)])))), grown
 
     def count(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Tokens of each data[start : start + size], all in lockstep, the longest first."""
+        """Tokens of each data[start : start + size]."""
         if len(self.states) > self.most:
             self.reset()
+        short = size <= self.LONG
+        out = np.empty(len(start), np.int64)
+        out[short] = self.lanes(data, start[short], size[short], np.zeros(int(short.sum()), np.int64))[1]
+        for i in np.flatnonzero(~short).tolist():
+            out[i] = self.long(data[start[i] : start[i] + size[i]])
+        return out
+
+    def lanes(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(end state, tokens emitted) of each data[start : start + size] from its own state, all in lockstep, the longest first."""
         order = np.argsort(-size, kind="stable")
-        start, size = start[order], size[order]
-        state, total = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        start, size, state = start[order], size[order], state[order]
+        total = np.zeros(len(start), np.int64)
         live = len(start)
         for j in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(-size[:live], -j, "left"))
@@ -159,13 +177,60 @@ class Counter:
             miss = np.flatnonzero(self.table.key[at] != key)
             if len(miss):
                 new = np.unique(key[miss])
-                self.table.put(new, *np.array([self.compile(k >> 8, k & 255) for k in new.tolist()]).T)
+                self.table.put(new, *np.array([self.compile(k) for k in new.tolist()]).T)
                 at = self.table.slot(key)
             total[:live] += self.table.grow[at]
             state[:live] = self.table.to[at]
-        out = np.empty(len(start), np.int64)
-        out[order] = total
-        return out
+        ends, out = np.empty_like(state), np.empty_like(total)
+        ends[order], out[order] = state, total
+        return ends, out
+
+    def long(self, data: np.ndarray) -> int:
+        """Tokens of one long pretoken, section by section; between sections the transducer may start anew."""
+        state, total = 0, 0
+        for lo in range(0, len(data), self.SECTION):
+            if len(self.states) > self.most:
+                now = self.states[state]
+                self.reset()
+                state = self.add(now)
+            state, n = self.section(data[lo : lo + self.SECTION], state)
+            total += n
+        return total
+
+    def section(self, data: np.ndarray, state: int) -> tuple[int, int]:
+        """(end state, tokens emitted) of a section, by the composition of its chunks' maps.
+
+        A chunk's map is evaluated where it is needed: first, for all chunks in lockstep, at the state that the bytes before it lead
+        to from the beginning, which is nearly always the true one.  Where every chunk starts as the one before it ends, the
+        composition is the sum; else the chunks are composed in order, and missing entries of a map are added (equal chunks share theirs)."""
+        first = np.arange(0, len(data), self.CHUNK)
+        size = np.minimum(self.CHUNK, len(data) - first)
+        warm = np.minimum(first, self.WARM)
+        begin = self.lanes(data, first - warm, warm, np.zeros(len(first), np.int64))[0]
+        begin[0] = state
+        end, n = self.lanes(data, first, size, begin)
+        if (begin[1:] == end[:-1]).all():
+            return int(end[-1]), int(n.sum())
+        chunks = [data[a : a + s].tobytes() for a, s in zip(first.tolist(), size.tolist(), strict=True)]
+        maps = dict(zip(zip(chunks, begin.tolist(), strict=True), zip(end.tolist(), n.tolist(), strict=True), strict=True))
+        total = 0
+        for c in chunks:
+            got = maps.get((c, state))
+            if got is None:
+                got = maps[c, state] = self.walk(c, state)
+            state, total = got[0], total + got[1]
+        return state, total
+
+    def walk(self, chunk: bytes, state: int) -> tuple[int, int]:
+        """One entry of a chunk's map."""
+        total = 0
+        for b in chunk:
+            key = state * 256 + b
+            got = self.known.get(key)
+            if got is None:
+                got = self.known[key] = self.compile(key)
+            state, total = got[0], total + got[1]
+        return state, total
 
 
 class TextCounter:
@@ -175,11 +240,30 @@ class TextCounter:
         self.bpe = Bpe(path)
         self.cut, self.counter = P.Transducer(), Counter(self.bpe)
         self.memo, self.known = K.Memo(), np.zeros(0, np.int32)
+        # the library reads special strings from left to right, the longest first
+        self.mark = re.compile(b"|".join(re.escape(m.encode()) for m in sorted(self.bpe.marks, key=len, reverse=True))) if self.bpe.marks else None
 
     def rows(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text: those of what lies between special strings, and one for each of these."""
+        data, off = K.flat(texts)
+        raw = data.tobytes()
+        if self.mark is None or self.mark.search(raw) is None:
+            return self.plain(texts)
+        parts: list[bytes] = []
+        owner, extra = [], np.zeros(len(off) - 1, np.int64)
+        for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+            for m in self.mark.finditer(raw, a, b):  # within the text, not across texts
+                parts.append(raw[a : m.start()])
+                owner.append(i)
+                extra[i] += 1
+                a = m.end()
+            parts.append(raw[a:b])
+            owner.append(i)
+        return extra + np.bincount(owner, self.plain(pa.array(parts, pa.large_binary()).cast(pa.large_string())), len(extra)).astype(np.int64)
+
+    def plain(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of texts without special strings."""
         data, _ = K.flat(texts)
-        if any(m.encode() in data.tobytes() for m in self.bpe.marks):
-            return self._marked(texts)
         cp, off = P.code_points(texts)
         start = P.gpt_starts(self.cut, cp, off)
         if not len(start):
@@ -201,18 +285,6 @@ class TextCounter:
         total = np.concatenate([[0], np.cumsum(self.known[pos][back])])
         return np.diff(total[np.searchsorted(start, off)])
 
-    def _marked(self, texts: pa.Array) -> np.ndarray:
-        parts, owner, extra = [], [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts.to_pylist()):
-            t = t or ""
-            for m in self.bpe.marks:
-                extra[i] += t.count(m)
-                t = t.replace(m, "\0\0mark\0\0")
-            for p in t.split("\0\0mark\0\0"):
-                parts.append(p)
-                owner.append(i)
-        return extra + np.bincount(owner, self.rows(pa.array(parts, pa.large_string())), len(texts)).astype(np.int64)
-
 
 _made: dict[str, TextCounter] = {}
 
