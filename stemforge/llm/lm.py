@@ -1,26 +1,30 @@
-"""Language-model scoring with a log-frequency Bloom filter.
-
-Counting covers every training text.  Tasks send packed blocks of n-gram hashes and counts, one block a bucket of the
-hash range; each bucket is merged on its own, its size bounded by the number of buckets, which follows the input.
-Unigrams are kept exactly; bigrams seen once quantise to nothing (the log-frequency code starts at two).
-
-The filter holds, for an n-gram of count c, the pairs (n-gram, 1) .. (n-gram, level of c), levels growing with log2 c.
-A count is read back by probing level after level until one is missing, so an error can only be upwards and its chance
-falls with each level.  It has ``bits_each`` bits an entry whatever the corpus, in a segment a bucket, so the share of
-errors does not grow with the input.  A filter of at most ``most_bits`` bits is broadcast.  A larger one is never in one
-place: the distinct words and pairs of each chunk of texts are sent to their buckets, probed there against the bucket's
-segment, and their levels return to the chunk.  Both ways give the same levels.
-
-Score: log10 of weight * c(v, w) / c(v) + (1 - weight * kept) * p(w), all counts probed; p are unigram probabilities
-where unseen words share the mass V / (N + V), at most N / (N + V) each.  ``weight`` is chosen for each level of c(v) by the leave-one-out
-likelihood of all training texts (one more pass over them), ``kept`` is the share of that level's training pairs
-that the filter holds.
+"""Language-model scoring with a log-frequency Bloom filter of words, pairs and triples.
+
+Counting covers every training text, in two passes: words and pairs; then triples, of which only those are sent whose two
+pairs were seen twice (no other triple can have been).  Tasks send packed blocks of n-gram hashes and counts, one block a
+bucket of the hash range; each bucket is merged on its own, its size bounded by the number of buckets, which follows the
+input.  Words are held whatever their count, pairs and triples from a count of two (``LEAST``): those seen once are pruned.
+
+The filter holds, for an n-gram of count c, the keys (n-gram, 1) .. (n-gram, level of c), levels growing with log2 c, and
+for a context the sum of the held counts of its continuations, bit by bit (twelve leading bits).  Counts and sums are read
+back by probing: levels one after another until one is missing, bits each.  An n-gram has four bits of one 64-bit word a
+key.  Each bucket has a segment of its own, and every segment has ``bits_each`` bits a key whatever the corpus, so the
+share of errors (about 1 % of probes at 12 bits) does not grow with the input.  A filter of at most ``most_bits`` bits is
+broadcast.  A larger one is never in one place: the distinct n-grams of each chunk of texts are sent to their buckets,
+read there from the bucket's segment, and the answers return to the chunk.  Both ways give the same scores.
+
+Score: P(w | context) = t q(w) / m + (1 - t k / m) P(w | shorter context), where q is the n-gram's quantised count, k the
+sum of q over the context's held continuations, m the larger of k and the context's own quantised count, and t the share
+of all tokens after contexts of that count level whose n-gram is held.  Where nothing is held after a context, the shorter
+one decides.  It ends at P(w) = N / (N + V) q(w) / (sum of q) for known words, and V / (N + V) for all unknown words
+together, one V-th of it each.  So the probabilities of all words after a context sum to one but for the filter's errors.
 
 Base: add-one unigrams from exact counts.  The ``head`` most frequent words are broadcast (a bounded table); the other
 words of each text are joined with their counts by hash, and summed by row.
 
-Defined results: a null or empty text is the end token alone; repeated rows are scored each; without training texts
-N = V = 0, and the base gives every token probability 1.
+Defined results: a null or empty text is the end token alone; repeated rows are scored each; rows with a null doc_id are
+scored and learnt from (their held_out is false); extra columns are ignored; without training texts N = V = 0, and base
+and model give every token probability 1; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -37,12 +41,24 @@ from .shared import remove, saved
 
 U = np.uint64
 END = U(0x5EED0FE4D0000001)
-BEGIN = U(0x5EED0FBE61400003)
-MASK40 = U((1 << 40) - 1)
+LEAST = {1: 1, 2: 2, 3: 2}
+LEVELS = 96
+#: Bits of a key that name the word; the others name its context.
+WORD = U(28)
+
+
+def key_of(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of an n-gram: 36 bits of its context's name, 28 of its last word's hash."""
+    return (context >> WORD << WORD) | (word >> (U(64) - WORD))
+
+
+def name(key: np.ndarray, order: int) -> np.ndarray:
+    """Evenly spread name of an n-gram, by which it is dealt to buckets and is a context of longer ones."""
+    return key if order == 1 else K.mix(key)
 
 
 class Tokens:
-    """Word and end-token hashes of a batch in order, with the hash of each and of its predecessor's pair with it."""
+    """Word and end-token hashes of a batch in order, with the keys of the pairs and triples that end at each."""
 
     def __init__(self, texts: pa.Array):
         w = K.Words(texts)
@@ -50,46 +66,49 @@ class Tokens:
         self.count = w.count + 1
         self.first = np.concatenate([[0], np.cumsum(self.count)])
         self.hash = np.full(int(self.first[-1]), END)
-        at = np.arange(len(w)) + w.doc
-        self.hash[at] = w.hash
-        before = np.empty_like(self.hash)
-        if len(before):
-            before[1:] = self.hash[:-1]
-            before[self.first[:-1]] = BEGIN
-        self.before = before
-        self.pair = K.mix(before * U(0x9E3779B97F4A7C15) + self.hash)
+        self.hash[np.arange(len(w)) + w.doc] = w.hash
+        self.start = np.zeros(len(self.hash), bool)
+        self.start[self.first[:-1]] = True
+        self.pair = key_of(self.before(self.hash, END), self.hash)
+        self.triple = key_of(K.mix(self.before(self.pair, END)), self.hash)
         self.row = np.repeat(np.arange(rows), self.count)
 
+    def before(self, x: np.ndarray, at_start) -> np.ndarray:
+        """x of the token before, ``at_start`` where there is none (the first word follows an end)."""
+        out = np.empty_like(x)
+        if len(x):
+            out[1:] = x[:-1]
+            out[self.start] = at_start
+        return out
 
-def pack_counts(key: np.ndarray, n: np.ndarray, width: int) -> bytes:
-    """Sorted keys of ``width`` bytes, then counts of one byte; a larger count repeats its key."""
-    more = -(-n // 255)
-    key, last = np.repeat(key, more), n - 255 * (more - 1)
-    out = np.full(len(key), 255, np.uint8)
-    out[np.cumsum(more) - 1] = last
-    raw = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return np.ascontiguousarray(raw).tobytes() + out.tobytes()
 
+def level(n: np.ndarray, order: int) -> np.ndarray:
+    """Highest filter level of a count: 1 for the least held one, then two more for each doubling."""
+    return 1 + np.floor(2 * np.log2(np.maximum(n, LEAST[order]) / LEAST[order]) + 1e-9).astype(np.int64)
 
-WIDTH = {1: 8, 2: 5}  # bytes of a key: bucket and 40 bits tell a bigram
 
+def value(levels: np.ndarray, order: int) -> np.ndarray:
+    """Count that a level stands for: the middle of its range (0 for level 0), a whole number."""
+    lo = np.ceil(LEAST[order] * 2.0 ** ((levels - 1) / 2) - 1e-9)
+    hi = np.ceil(LEAST[order] * 2.0 ** (levels / 2) - 1e-9) - 1
+    return np.where(levels <= 0, 0.0, np.floor((lo + np.maximum(lo, hi)) / 2))
 
-def pack_keys(key: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each key."""
-    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
+VALUES = {order: value(np.arange(LEVELS + 1), order) for order in LEAST}
 
-def unpack_keys(block: bytes | pa.Buffer, width: int) -> np.ndarray:
-    raw = np.zeros((memoryview(block).nbytes // width, 8), np.uint8)
-    raw[:, :width] = np.frombuffer(block, np.uint8).reshape(-1, width)
-    return raw.reshape(-1).view("<u8").astype(U)
+
+def pack_counts(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Keys of 8 bytes, then counts of one byte; a larger count repeats its key."""
+    more = -(-n // 255)
+    key, last = np.repeat(key, more), n - 255 * (more - 1)
+    out = np.full(len(key), 255, np.uint8)
+    out[np.cumsum(more) - 1] = last
+    return key.astype("<u8").tobytes() + out.tobytes()
 
 
-def unpack_counts(block: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    n = len(block) // (width + 1)
-    raw = np.zeros((n, 8), np.uint8)
-    raw[:, :width] = np.frombuffer(block, np.uint8, n * width).reshape(n, width)
-    return raw.reshape(-1).view("<u8").astype(U), np.frombuffer(block, np.uint8, n, n * width).astype(np.int64)
+def unpack_counts(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(block) // 9
+    return np.frombuffer(block, "<u8", n).astype(U), np.frombuffer(block, np.uint8, n, n * 8).astype(np.int64)
 
 
 def merge_counts(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,218 +120,305 @@ def merge_counts(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key[first], np.add.reduceat(n, first)
 
 
-def _count(bits: int, batch_tokens: int = 1_500_000):
-    """Blocks (kind, bucket, block): kind 1 unigrams with 8-byte keys, kind 2 bigrams with 5-byte keys (bucket and 40 bits tell a bigram)."""
+def _by_bucket(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of sorted bucket numbers."""
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    return list(zip(bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True))
+
+
+BLOCK = "kind int, bucket int, block binary"
+
+
+def _count(bits: int, sieve=None, batch_tokens: int = 1_500_000):
+    """Blocks (kind, bucket, block) of words and pairs; with ``sieve`` (a broadcast filter of the held pairs, or of None) of triples."""
 
     def run(source):
-        held: list[Tokens] = []
+        held: dict[int, list[np.ndarray]] = {1: [], 2: []} if sieve is None else {3: []}
         size = 0
 
         def out():
             cols = [], [], []
-            for kind, width, keys in (1, 8, [t.hash for t in held]), (2, 5, [t.pair for t in held]):
+            for kind, keys in held.items():
                 key, n = np.unique(np.concatenate(keys), return_counts=True)
-                cut = np.searchsorted(key >> U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                for b in range(1 << bits):
-                    if cut[b] < cut[b + 1]:
-                        cols[0].append(kind)
-                        cols[1].append(b)
-                        cols[2].append(pack_counts(key[cut[b] : cut[b + 1]] & (MASK40 if width == 5 else U(2**64 - 1)), n[cut[b] : cut[b + 1]], width))
+                bucket = (name(key, kind) >> U(64 - bits)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                key, n, bucket = key[order], n[order], bucket[order]
+                for b, lo, hi in _by_bucket(bucket):
+                    cols[0].append(kind)
+                    cols[1].append(b)
+                    cols[2].append(pack_counts(key[lo:hi], n[lo:hi]))
+                keys.clear()
             return pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["kind", "bucket", "block"])
 
         for batch in K.batches(source):
-            held.append(Tokens(batch.column("text")))
-            size += len(held[-1].hash)
+            t = Tokens(batch.column("text"))
+            if sieve is None:
+                held[1].append(t.hash)
+                held[2].append(t.pair)
+            else:
+                ok = ~t.start
+                if sieve.value is not None:
+                    pair = sieve.value.has(2, t.pair, 1)
+                    ok &= pair & t.before(pair, False)
+                held[3].append(t.triple[ok])
+            size += len(t.hash)
             if size >= batch_tokens:
                 yield out()
-                held, size = [], 0
+                size = 0
+        if size:
+            yield out()
+
+    return run
+
+
+TABLE = "kind int, bucket int, part int, types long, total long, keys binary, counts binary"
+
+
+def _merge(bits: int):
+    """Rows sorted by (kind, bucket) -> of each the held keys and counts (part 0), and the sums of held counts by context, dealt to the contexts' buckets (part 1)."""
+
+    def run(source):
+        now, held, size = None, [], 0
+
+        def out():
+            kind, bucket = now
+            key, n = merge_counts(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            types, total = len(key), int(n.sum())
+            key, n = key[n >= LEAST[kind]], n[n >= LEAST[kind]]
+            rows = [(kind, bucket, 0, types, total, key.astype("<u8").tobytes(), n.astype("<u8").tobytes())]
+            if kind > 1 and len(key):
+                context = key >> WORD
+                first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+                context, total = context[first], np.add.reduceat(VALUES[kind][level(n, kind)], first).astype(np.int64)
+                for b, lo, hi in _by_bucket((context >> (U(64 - bits) - WORD)).astype(np.int64)):
+                    rows.append((kind - 1, b, 1, 0, 0, context[lo:hi].astype("<u8").tobytes(), total[lo:hi].astype("<u8").tobytes()))
+            types_ = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types_, strict=True)], [f.split()[0] for f in TABLE.split(", ")])
+
+        for batch in source:
+            for kind, bucket, block in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "block")), strict=True):
+                if (kind, bucket) != now:
+                    if held:
+                        yield out()
+                    now, held, size = (kind, bucket), [], 0
+                held.append(unpack_counts(block))
+                size += len(held[-1][0])
+                if size > 4_000_000:  # keep what is held near the number of distinct keys
+                    held = [merge_counts(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    size = 0
         if held:
             yield out()
 
     return run
 
 
-def _merge(source):
-    """Rows sorted by (kind, bucket) -> one row each: keys and counts (of bigrams those of 2 and more), and totals."""
-    now, held, size = None, [], 0
+SETTLED = "kind int, bucket int, entries long, keys binary, counts binary, sums binary, tokens array<double>, followed array<double>"
+
+
+def _settle(source):
+    """Rows sorted by (kind, bucket, part) -> a row a bucket: its keys, counts and the held sums after them; quantised tokens by count level, and of those after them the held ones."""
+    now, table, sums = None, None, []
 
     def out():
         kind, bucket = now
-        key, n = merge_counts(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        types, total = len(key), int(n.sum())
-        if kind == 2:
-            key, n = key[n > 1], n[n > 1]
-        levels = int(level(n, kind).sum())
-        return pa.record_batch([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([types], pa.int64()), pa.array([total], pa.int64()), pa.array([levels], pa.int64()), pa.array([key.astype("<u8").tobytes()], pa.binary()), pa.array([n.astype("<u8").tobytes()], pa.binary())], ["kind", "bucket", "types", "total", "levels", "keys", "counts"])
+        key, n = table
+        total = np.zeros(len(key), np.int64)
+        if sums and len(key):
+            context, s = merge_counts(*(np.concatenate(x) for x in zip(*sums, strict=True)))
+            x = name(key, kind) >> WORD
+            at = np.minimum(np.searchsorted(context, x), len(context) - 1)
+            total = np.where(context[at] == x, s[at], 0)
+        lev = level(n, kind) if len(n) else np.zeros(0, np.int64)
+        tokens, followed = (np.bincount(lev, w, LEVELS) for w in (VALUES[kind][lev], np.minimum(total, VALUES[kind][lev])))
+        entries = int(lev.sum()) + sum(len(k) for k, _ in _sum_entries(key, total))
+        return pa.record_batch(
+            [pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([entries], pa.int64()), *(pa.array([x.astype("<u8").tobytes()], pa.binary()) for x in (key, n, total)), pa.array([tokens]), pa.array([followed])],
+            [f.split()[0] for f in SETTLED.split(", ")],
+        )
 
     for batch in source:
-        for kind, bucket, block in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "block")), strict=True):
+        for kind, bucket, part, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "part", "keys", "counts")), strict=True):
             if (kind, bucket) != now:
-                if held:
+                if table is not None:
                     yield out()
-                now, held, size = (kind, bucket), [], 0
-            held.append(unpack_counts(block, 8 if kind == 1 else 5))
-            size += len(held[-1][0])
-            if size > 4_000_000:  # keep what is held near the number of distinct keys
-                held = [merge_counts(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                size = 0
-    if held:
+                now, table, sums = (kind, bucket), None, []
+            x = np.frombuffer(keys, "<u8").astype(U), np.frombuffer(counts, "<u8").astype(np.int64)
+            if part == 0:
+                table = x
+            else:
+                sums.append(x)
+    if table is not None:
         yield out()
 
 
-def level(n: np.ndarray, kind: int) -> np.ndarray:
-    """Highest filter level of a count: 1 for ``kind`` (1 of unigrams, 2 of bigrams), then two more for each doubling."""
-    return 1 + np.floor(2 * np.log2(np.maximum(n, kind) / kind) + 1e-9).astype(np.int64)
+DIGITS = 12
+
+
+def _rounded(total: np.ndarray) -> np.ndarray:
+    """Sums rounded to their DIGITS leading bits."""
+    shift = np.maximum(np.floor(np.log2(np.maximum(total, 1))).astype(np.int64) + 1 - DIGITS, 0)
+    return ((total + (1 << shift >> 1)) >> shift) << shift
 
 
-def value(levels: np.ndarray, kind: int) -> np.ndarray:
-    """Count that a level stands for: the middle of its range (0 for level 0)."""
-    lo = np.ceil(kind * 2.0 ** ((levels - 1) / 2) - 1e-9)
-    hi = np.ceil(kind * 2.0 ** (levels / 2) - 1e-9) - 1
-    return np.where(levels <= 0, 0.0, (lo + np.maximum(lo, hi)) / 2)
+def _sum_entries(key: np.ndarray, total: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """(keys, salt) of the entries of sums: 200 there is one, 201 it has more than DIGITS bits, 202 + i its bit i."""
+    key, total = key[total > 0], _rounded(total[total > 0])
+    out = [(key, 200), (key[total >= 1 << DIGITS], 201)]
+    return out + [(key[(total >> i) & 1 == 1], 202 + i) for i in range(int(total.max(initial=0)).bit_length())]
 
 
 @dataclass
 class Filter:
-    """The Bloom filter in segments, one for each bucket, so that buckets fill theirs independently."""
+    """The Bloom filter, in segments: one for each kind and bucket, so that buckets fill theirs independently."""
 
-    bits: np.ndarray  # uint8
-    segment: int  # bits of a segment
-    hashes: int
-    bucket_bits: int
+    words: dict[int, np.ndarray]  # by kind, all its segments
+    segment: dict[int, int]  # 64-bit words of a segment
+    bits: int
 
     @staticmethod
-    def start(key: np.ndarray, kind: int, lev: int) -> tuple[np.ndarray, np.ndarray]:
-        """First hash of a level's key and the step to its next ones."""
-        h = K.mix(key ^ U((kind * 0x51ED270B + lev * int(K._GRAM)) % 2**64))
-        return h, (h << U(21)) ^ (h >> U(7)) | U(1)
-
-    @staticmethod
-    def place(h: np.ndarray, segment: int) -> np.ndarray:
-        """Bit position within a segment (below 2**32) by multiplication."""
-        return (((h >> U(32)) * U(segment)) >> U(32)).astype(np.int64)
-
-    def probe(self, full: np.ndarray, kind: int, inside: bool = False) -> np.ndarray:
-        """Levels of the n-grams with these 64-bit hashes: probes go on while all bits are set, and stop at the first that is not.
-
-        With ``inside`` the bits are the one segment that all of them are in."""
-        base = np.zeros(len(full), np.int64) if inside else (full >> U(64 - self.bucket_bits)).astype(np.int64) * self.segment
-        key = full & MASK40 if kind == 2 else full
-        lev = np.zeros(len(full), np.int64)
-        live = np.arange(len(full))
-        j = 0
-        while len(live) and j < LEVELS:
+    def spot(key: np.ndarray, salt: int, segment: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place within a segment (below 2**32 words) and four bits there."""
+        h = K.mix(key ^ U((salt * 0x9E3779B97F4A7C15 + 0x51ED270B) % 2**64))
+        mask = U(1) << (h & U(63))
+        for i in (6, 12, 18):
+            mask |= U(1) << ((h >> U(i)) & U(63))
+        return (((h >> U(32)) * U(segment)) >> U(32)).astype(np.int64), mask
+
+    def has(self, kind: int, key: np.ndarray, salt: int, base: np.ndarray | int | None = None) -> np.ndarray:
+        """Whether the entries (key, salt) are held; ``base``: where their segments begin."""
+        if base is None:
+            base = self.base(kind, key)
+        at, mask = self.spot(key, salt, self.segment[kind])
+        return (self.words[kind][base + at] & mask) == mask
+
+    def base(self, kind: int, key: np.ndarray) -> np.ndarray | int:
+        return (name(key, kind) >> U(64 - self.bits)).astype(np.int64) * self.segment[kind] if len(self.words[kind]) > self.segment[kind] else 0
+
+    def levels(self, kind: int, key: np.ndarray) -> np.ndarray:
+        """Levels of n-grams: probes go on until one fails."""
+        lev = np.zeros(len(key), np.int64)
+        live, j = np.arange(len(key)), 0
+        while len(live) and j < LEVELS - 1:
             j += 1
-            h, step = self.start(key[live], kind, j)
-            for i in range(self.hashes):
-                at = base[live] + self.place(h + U(i) * step, self.segment)
-                hit = np.flatnonzero((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-                live, h, step = live[hit], h[hit], step[hit]
+            live = live[self.has(kind, key[live], j)]
             lev[live] = j
         return lev
 
-
-def _fill(segment: int, hashes: int):
+    def sums(self, kind: int, key: np.ndarray) -> np.ndarray:
+        """Sums of the held counts after contexts."""
+        out = np.zeros(len(key), np.int64)
+        live = np.flatnonzero(self.has(kind, key, 200))
+        some = key[live]
+        big = np.flatnonzero(self.has(kind, some, 201))
+        for i in range(DIGITS):
+            out[live] |= self.has(kind, some, 202 + i).astype(np.int64) << i
+        for i in range(DIGITS, 48 if len(big) else 0):
+            out[live[big]] |= self.has(kind, some[big], 202 + i).astype(np.int64) << i
+        return out
+
+    def entry(self, kind: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Levels, and the sums after the n-grams that have one."""
+        lev = self.levels(kind, key)
+        total, some = np.zeros(len(key), np.int64), np.flatnonzero(lev)
+        total[some] = self.sums(kind, key[some])
+        return lev, total
+
+
+def _fill(segment: dict[int, int]):
     def run(source):
         for batch in source:
-            for kind, bucket, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "keys", "counts")), strict=True):
-                key, top = np.frombuffer(keys, "<u8").astype(U), level(np.frombuffer(counts, "<u8").astype(np.int64), kind)
-                bits = np.zeros(segment, bool)
-                for j in range(1, int(top.max(initial=0)) + 1):
-                    h, step = Filter.start(key[top >= j], kind, j)
-                    for i in range(hashes):
-                        bits[Filter.place(h + U(i) * step, segment)] = True
-                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
+            for kind, bucket, *columns in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "keys", "counts", "sums")), strict=True):
+                key, n, total = (np.frombuffer(c, "<u8") for c in columns)
+                key, lev, word = key.astype(U), level(n.astype(np.int64), kind) if len(n) else np.zeros(0, np.int64), np.zeros(segment[kind], U)
+                entries = [(key[lev >= j], j) for j in range(1, int(lev.max(initial=0)) + 1)] + _sum_entries(key, total.astype(np.int64))
+                for k, salt in entries:
+                    np.bitwise_or.at(word, *Filter.spot(k, salt, segment[kind]))
+                yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([word.astype("<u8").tobytes()], pa.binary())], ["kind", "bucket", "bits"])
 
     return run
 
 
+def _segments(entries: dict[int, int], bits: int, bits_each: float) -> dict[int, int]:
+    """64-bit words of a segment of each kind."""
+    return {kind: int(entries.get(kind, 0) * bits_each / (64 << bits)) + 4 for kind in LEAST}
+
+
+def _filter(rows: DataFrame, segment: dict[int, int], bits: int, kinds) -> Filter:
+    """The filter in one place, from the rows (kind, bucket, bits)."""
+    words = {kind: np.zeros(segment[kind] << bits, U) for kind in kinds}
+    for kind, bucket, part in rows.toLocalIterator():
+        words[kind][bucket * segment[kind] : (bucket + 1) * segment[kind]] |= np.frombuffer(part, "<u8")
+    return Filter(words, segment, bits)
+
+
 @dataclass
 class Model:
     filter: Filter | None  # None: it is not in one place
     tokens: int
     types: int
+    mass: float  # sum of the words' quantised counts
+    share: dict[int, np.ndarray]  # by kind of context and count level: share of the tokens after it that are held
     head_key: np.ndarray  # sorted
     head_count: np.ndarray
     tail: bool  # whether trained words beyond the head exist
-    weight: np.ndarray
-    kept: np.ndarray
-
-    def parts(self, t: Tokens, word: np.ndarray, pairs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: its unigram probability, its pair's count, its predecessor's count and that count's level.
 
-        ``word`` has each token's level, ``pairs`` gives the levels of the pairs at some tokens."""
-        c = VALUES[1][word]
+    def look(self, t: Tokens) -> tuple[np.ndarray, ...]:
+        """Of each token: the levels of its word, pair and triple, and the sums after its word and its pair."""
+        f = self.filter
+        word, back = np.unique(t.hash, return_inverse=True)
+        word = [x[back] for x in f.entry(1, word)]
+        pair, back = np.unique(t.pair, return_inverse=True)
+        pair = [x[back] for x in f.entry(2, pair)]
+        triple = np.zeros(len(t.hash), np.int64)
+        some = np.flatnonzero((pair[0] > 0) & (t.before(pair[1], 0) > 0))
+        triple[some] = f.levels(3, t.triple[some])
+        return word[0], pair[0], triple, word[1], pair[1]
+
+    def score(self, t: Tokens, seen: tuple[np.ndarray, ...]) -> np.ndarray:
+        """log10 probability of each token given the two before it."""
+        word, pair, triple, after_word, after_pair = seen
         known = self.tokens / (self.tokens + self.types) if self.tokens else 0.0
-        p = np.where(c > 0, known * np.minimum(c / max(self.tokens, 1), 1.0), (1 - known) / max(self.types, 1))
-        before = np.zeros(len(word), np.int64)
-        before[1:] = word[:-1]
-        before[t.first[:-1]] = word[t.first[1:] - 1]  # texts begin as often as they end
-        before = np.minimum(before, LEVELS - 1)
-        some = np.flatnonzero(before > 2)  # a predecessor seen once or so has no pair of two
-        pair = np.zeros(len(word))
-        pair[some] = VALUES[2][pairs(some)]
-        many = VALUES[1][before]
-        return p, np.minimum(pair, many), many, before
-
-    def score(self, t: Tokens, word: np.ndarray, pairs) -> np.ndarray:
-        """log10 probability of each token given the one before it."""
-        p, pair, before, lev = self.parts(t, word, pairs)
-        return np.log10(np.maximum(self.weight[lev] * pair / np.maximum(before, 1) + (1 - self.weight[lev] * self.kept[lev]) * p, 1e-300))
+        c = VALUES[1][word]
+        p = np.where(c > 0, known * c / max(self.mass, 1), (1 - known) / max(self.types, 1))
+        # texts begin as often as they end: the first word's context is an end
+        end = t.first[1:] - 1
+        for kind, lev, total, q in (1, word, after_word, VALUES[2][pair]), (2, pair, after_pair, VALUES[3][triple]):
+            lev, total = (t.before(x, x[end] if kind == 1 else 0) for x in (lev, total))
+            most = np.maximum(np.maximum(total, VALUES[kind][lev]), 1)
+            share = self.share[kind][lev]
+            p = np.where(total > 0, share * np.minimum(q, total) / most + (1 - share * total / most) * p, p)
+        return np.log10(np.maximum(p, 1e-300))
 
     def tokens_of(self, source):
-        """(batch, tokens, level of each token, levels of the pairs at given tokens) of texts, or of chunks that ``_look`` has looked up."""
+        """(batch, tokens, what ``look`` gives) of texts, or of chunks that ``_look`` has looked up."""
         if self.filter is not None:
             for batch in K.batches(source):
                 t = Tokens(batch.column("text"))
-                keys, back = np.unique(t.hash, return_inverse=True)
-                yield batch, t, self.filter.probe(keys, 1)[back], lambda at, t=t: self.filter.probe(t.pair[at], 2)
+                yield batch, t, self.look(t)
             return
         for chunk in source:
             for i in range(chunk.num_rows):
                 parts = pa.ipc.open_stream(chunk.column("texts")[i].as_buffer()).read_all().to_batches()
                 held = [Tokens(b.column("text")) for b in parts]
-                word, pair = (
-                    np.frombuffer(chunk.column(c)[i].as_py(), np.uint8).astype(np.int64)[np.unique(np.concatenate(keys), return_inverse=True)[1]]
-                    for c, keys in (("words", [t.hash for t in held]), ("pairs", [t.pair for t in held]))
-                )
+                seen = [[], [], []], [[], []]
+                for kind, of in enumerate((lambda t: t.hash, lambda t: t.pair, lambda t: t.triple)):
+                    keys = np.concatenate([of(t) for t in held])
+                    back = np.unique(K.mix(keys), return_inverse=True)[1] if kind else np.unique(keys, return_inverse=True)[1]
+                    answer = chunk.column(("words", "pairs", "triples")[kind])[i].as_py()
+                    x = np.frombuffer(answer, np.dtype([("level", "u1"), ("sum", "<u4")])) if kind < 2 else np.frombuffer(answer, np.dtype([("level", "u1")]))
+                    seen[0][kind] = x["level"].astype(np.int64)[back]
+                    if kind < 2:
+                        seen[1][kind] = x["sum"].astype(np.int64)[back]
+                seen[0][2][seen[0][1] == 0] = 0  # a triple is held with its pair only
                 lo = 0
                 for batch, t in zip(parts, held, strict=True):
                     hi = lo + len(t.hash)
-                    yield batch, t, word[lo:hi], lambda at, mine=pair[lo:hi]: mine[at]
+                    yield batch, t, tuple(x[lo:hi] for x in (*seen[0], *seen[1]))
                     lo = hi
 
 
-LEVELS = 96
-VALUES = {kind: value(np.arange(LEVELS + 1), kind) for kind in (1, 2)}
-GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
-
-
-def _calibrate(model):
-    """Sums by level of the predecessor's count: tokens, tokens whose pair is held, the same with the token itself left out, and log-likelihoods on GRID of the latter."""
-
-    def run(source):
-        m = model.value
-        sums = np.zeros((3 + len(GRID), LEVELS))
-        for batch, t, word, pairs in m.tokens_of(source):
-            learnt = ~batch.column("held_out").to_numpy(zero_copy_only=False)[t.row]
-            if not learnt.any():
-                continue
-            p, pair, before, lev = (x[learnt] for x in m.parts(t, word, pairs))
-            more = np.flatnonzero(pair >= 3)
-            sums[0] += np.bincount(lev, minlength=LEVELS)
-            sums[1] += np.bincount(lev[pair > 0], minlength=LEVELS)
-            sums[2] += np.bincount(lev[more], minlength=LEVELS)
-            q, p, at = (pair[more] - 1) / np.maximum(before[more] - 1, 1), p[more], lev[more]
-            for i, g in enumerate(GRID):
-                sums[3 + i] += np.bincount(at, np.log(g * q + (1 - g) * p), LEVELS)
-        yield pa.record_batch([pa.array(np.arange(LEVELS)), *(pa.array(x) for x in sums)], ["level", "n", "held", "again", *(f"g{i}" for i in range(len(GRID)))])
-
-    return run
-
-
 def _ask(bits: int, chunk_tokens: int = 1_500_000):
-    """Of each chunk of texts: its batches as an Arrow stream (kind 0, bucket -1), and the distinct keys of its words (1) and pairs (2) by bucket."""
+    """Of each chunk of texts: its batches as an Arrow stream (kind 0, bucket -1), and the distinct keys of its words (1), pairs (2) and triples (3) by bucket."""
 
     def run(source):
         from pyspark import TaskContext
@@ -327,13 +433,14 @@ def _ask(bits: int, chunk_tokens: int = 1_500_000):
                 for batch, _ in held:
                     stream.write_batch(batch)
             cols = [-1], [0], [sink.getvalue().to_pybytes()]
-            for kind, keys in (1, [t.hash for _, t in held]), (2, [t.pair for _, t in held]):
+            for kind, keys in (1, [t.hash for _, t in held]), (2, [t.pair for _, t in held]), (3, [t.triple for _, t in held]):
                 key = np.unique(np.concatenate(keys))
-                cut = np.searchsorted(key >> U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                for b in np.flatnonzero(np.diff(cut)).tolist():
+                at = name(key, kind)
+                order = np.argsort(at, kind="stable")  # in order of names, so that the buckets' answers follow each other
+                for b, lo, hi in _by_bucket((at[order] >> U(64 - bits)).astype(np.int64)):
                     cols[0].append(b)
                     cols[1].append(kind)
-                    cols[2].append(pack_keys(key[cut[b] : cut[b + 1]], WIDTH[kind]))
+                    cols[2].append(key[order[lo:hi]].astype("<u8").tobytes())
             return pa.record_batch([pa.array([chunk] * len(cols[0]), pa.int64()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["chunk", "bucket", "kind", "block"])
 
         for batch in K.batches(source):
@@ -348,23 +455,28 @@ def _ask(bits: int, chunk_tokens: int = 1_500_000):
     return run
 
 
-def _answer(segment: int, hashes: int, bits: int):
-    """Rows sorted by (bucket, chunk), a bucket's segments (chunk -1) before its keys -> the levels of the keys, a byte each."""
+def _answer(segment: dict[int, int], bits: int):
+    """Rows sorted by (kind, bucket, chunk), a bucket's segment (chunk -1) before its keys -> levels of the keys, and the sums after them."""
 
     def run(source):
-        now, field = None, np.zeros(segment // 8, np.uint8)
+        now, f = None, None
         for batch in source:
             cols = [], [], [], []
             for chunk, bucket, kind, block in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "kind")), batch.column("block"), strict=True):
                 block = block.as_buffer()
-                if bucket != now:
-                    now, field = bucket, np.zeros(segment // 8, np.uint8)
+                if (kind, bucket) != now:
+                    now, f = (kind, bucket), Filter({kind: np.zeros(segment[kind], U)}, segment, bits)
                 if chunk < 0:
-                    field |= np.frombuffer(block, np.uint8)
+                    f = Filter({kind: np.frombuffer(block, "<u8").astype(U)}, segment, bits)
                     continue
-                key = unpack_keys(block, WIDTH[kind])
-                lev = Filter(field, segment, hashes, bits).probe(key, kind, inside=True)
-                for col, x in zip(cols, (chunk, bucket, kind, lev.astype(np.uint8).tobytes()), strict=True):
+                key = np.frombuffer(block, "<u8").astype(U)
+                if kind == 3:
+                    got = f.levels(3, key).astype(np.uint8)
+                else:
+                    got = np.zeros(len(key), np.dtype([("level", "u1"), ("sum", "<u4")]))
+                    got["level"], total = f.entry(kind, key)
+                    got["sum"] = np.minimum(total, 2**32 - 1)
+                for col, x in zip(cols, (chunk, bucket, kind, got.tobytes()), strict=True):
                     col.append(x)
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["chunk", "bucket", "kind", "block"])
 
@@ -372,87 +484,104 @@ def _answer(segment: int, hashes: int, bits: int):
 
 
 def _gather(source):
-    """Rows sorted by (chunk, kind, bucket) -> a row a chunk: its texts, and the levels of its sorted distinct words and pairs."""
-    now, held = None, [[], [], []]
+    """Rows sorted by (chunk, kind, bucket) -> a row a chunk: its texts, and the answers for its words, pairs and triples in order of their names."""
+    now, held = None, [[], [], [], []]
 
     def out():
-        return pa.record_batch([pa.array([b"".join(x)], pa.binary()) for x in held], ["texts", "words", "pairs"])
+        return pa.record_batch([pa.array([b"".join(x)], pa.binary()) for x in held], ["texts", "words", "pairs", "triples"])
 
     for batch in source:
         for chunk, kind, block in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "block")), strict=True):
             if chunk != now:
                 if now is not None:
                     yield out()
-                now, held = chunk, [[], [], []]
+                now, held = chunk, [[], [], [], []]
             held[kind].append(block)
     if now is not None:
         yield out()
 
 
-def _look(rows: DataFrame, segments: DataFrame, segment: int, hashes: int, bits: int) -> DataFrame:
-    """A saved row for each chunk of ``rows``, with the levels that the filter's segments hold of its words and pairs."""
+def _look(rows: DataFrame, segments: DataFrame, segment: dict[int, int], bits: int) -> DataFrame:
+    """A saved row for each chunk of ``rows``, with what the filter's segments hold of its n-grams."""
     block = "chunk long, bucket int, kind int, block binary"
     asked = saved(rows.mapInArrow(_ask(bits), block), "asked")
-    field = segments.select(F.lit(-1).cast("long").alias("chunk"), "bucket", F.lit(0).alias("kind"), F.col("bits").alias("block"))
-    sent = field.unionAll(asked.where("kind > 0")).repartition("bucket").sortWithinPartitions("bucket", "chunk")
-    levels = sent.mapInArrow(_answer(segment, hashes, bits), block)
-    back = levels.unionAll(asked.where("kind = 0")).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
-    out = saved(back.mapInArrow(_gather, "texts binary, words binary, pairs binary"), "looked-up")
+    field = segments.select(F.lit(-1).cast("long").alias("chunk"), "bucket", "kind", F.col("bits").alias("block"))
+    sent = field.unionAll(asked.where("kind > 0")).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk")
+    answers = sent.mapInArrow(_answer(segment, bits), block)
+    back = answers.unionAll(asked.where("kind = 0")).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
+    out = saved(back.mapInArrow(_gather, "texts binary, words binary, pairs binary, triples binary"), "looked-up")
     remove(asked)
     return out
 
 
-def train(spark: SparkSession, rows: DataFrame, *, head: int = 1 << 20, most_bits: int = 1 << 27, bits_each: float = 10.0, block_bytes: int = 6 << 20) -> tuple[Model, DataFrame, DataFrame]:
-    """The model learnt from the rows (row_id, doc_id, held_out, text) without held_out, the saved table of counts (kind,
-    bucket, keys, counts) that its tail join reads, and what ``Model.tokens_of`` reads of the rows: these or, where the
-    filter has more than ``most_bits`` bits, their saved chunks."""
+def train(spark: SparkSession, rows: DataFrame, *, head: int = 1 << 20, most_bits: int = 1 << 31, bits_each: float = 12.0, block_bytes: int = 6 << 20) -> tuple[Model, DataFrame, DataFrame]:
+    """The model learnt from the rows (row_id, doc_id, held_out, text) without held_out, the saved table of words (keys,
+    counts) that its tail join reads, and what ``Model.tokens_of`` reads of the rows: these or, where the filter has more
+    than ``most_bits`` bits, their saved chunks."""
     texts = rows.where(~F.col("held_out")).select("text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(size, 1) / block_bytes)), 3, 20))
-    blocks = texts.mapInArrow(_count(bits), "kind int, bucket int, block binary")
-    merged = blocks.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_merge, "kind int, bucket int, types long, total long, levels long, keys binary, counts binary")
-    counts = saved(merged, "ngrams")
-    del blocks, merged
-    spark.sparkContext._jvm.System.gc()  # the shuffle of the counts goes before the next one comes
-    sums = {r[0]: r[1:] for r in counts.groupBy("kind").agg(F.sum("types"), F.sum("total"), F.sum("levels")).collect()}
-    types, tokens = (int(v or 0) for v in sums.get(1, (0, 0, 0))[:2])
-    entries = sum(int(v[2] or 0) for v in sums.values())
 
-    total = int(max(1 << 16, entries * bits_each))
-    segment = -(-total // (1 << bits) // 8) * 8 + 64
-    hashes = int(np.clip(round(0.69 * segment * (1 << bits) / max(entries, 1)), 1, 8))
-    segments = counts.mapInArrow(_fill(segment, hashes), "bucket int, bits binary")
+    def counted(sieve=None) -> DataFrame:
+        blocks = texts.mapInArrow(_count(bits, sieve), BLOCK).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+        out = saved(blocks.mapInArrow(_merge(bits), TABLE), "ngrams")
+        spark.sparkContext._jvm.System.gc()  # the shuffle of the counts goes before the next one comes
+        return out
+
+    short = counted()
+    pairs = short.where("kind = 2 and part = 0")
+    sums = {r[0]: r[1:] for r in short.where("part = 0").groupBy("kind").agg(F.sum("types"), F.sum("total"), F.sum(F.octet_length("keys") / 8)).collect()}
+    types, tokens = (int(v or 0) for v in sums.get(1, (0, 0, 0))[:2])
+    segment = _segments({2: int(sums.get(2, (0, 0, 0))[2] or 0)}, bits, bits_each)
+    sieve = None
+    if 64 * segment[2] << bits <= most_bits:
+        there = pairs.select("kind", "bucket", "keys", F.lit(b"").alias("counts"), F.lit(b"").alias("sums")).mapInArrow(_present(segment), "kind int, bucket int, bits binary")
+        sieve = _filter(there, segment, bits, (2,))
+    sieve = spark.sparkContext.broadcast(sieve)
+    triples = counted(sieve)
+    sieve.unpersist()
+    every = short.select("kind", "bucket", "part", "keys", "counts").unionAll(triples.select("kind", "bucket", "part", "keys", "counts"))
+    settled = saved(every.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "part").mapInArrow(_settle, SETTLED), "model")
+    remove(short)
+    remove(triples)
+
+    entries = {r[0]: int(r[1]) for r in settled.groupBy("kind").agg(F.sum("entries")).collect()}
+    at = settled.select("kind", F.posexplode(F.arrays_zip("tokens", "followed"))).groupBy("kind", "pos").agg(F.sum("col.tokens"), F.sum("col.followed")).collect()
+    by = {kind: np.zeros((2, LEVELS)) for kind in LEAST}
+    for kind, pos, n, followed in at:
+        by[kind][:, pos] = n, followed
+    share = {kind: np.minimum(by[kind][1] / np.maximum(by[kind][0], 1), 0.99) for kind in (1, 2)}
+    segment = _segments(entries, bits, bits_each)
+    segments = settled.mapInArrow(_fill(segment), "kind int, bucket int, bits binary")
     held = None
-    if total <= most_bits:
-        field = np.zeros(((1 << bits), segment // 8), np.uint8)
-        for bucket, part in segments.toLocalIterator():
-            field[bucket] |= np.frombuffer(part, np.uint8)
-        held = Filter(field.reshape(-1), segment, hashes, bits)
-        del field
+    if 64 * sum(segment.values()) << bits <= most_bits:
+        held = _filter(segments, segment, bits, LEAST)
     else:
-        rows = _look(rows, segments, segment, hashes, bits)
+        rows = _look(rows, segments, segment, bits)
 
-    least = _head_floor(counts, head)
-    top = counts.where("kind = 1").mapInArrow(_head_blocks(least), "keys binary, counts binary").collect()  # at most ``head`` words
+    words = settled.where("kind = 1").select("keys", "counts")
+    least = _head_floor(words, head)
+    top = words.mapInArrow(_head_blocks(least), "keys binary, counts binary").collect()  # at most ``head`` words
     key = np.concatenate([np.frombuffer(r[0], "<u8") for r in top] or [np.zeros(0, "<u8")]).astype(U)
     n = np.concatenate([np.frombuffer(r[1], "<i8") for r in top] or [np.zeros(0, "<i8")])
     order = np.argsort(key)
-    model = Model(held, tokens, types, key[order], n[order], least > 1, np.zeros(LEVELS), np.zeros(LEVELS))
-    del held, top, key, n
-    fields = ["n", "held", "again", *(f"g{i}" for i in range(len(GRID)))]
-    shared = spark.sparkContext.broadcast(model)
-    learnt = rows if model.filter is None else rows.where(~F.col("held_out")).select("held_out", "text")
-    sums = learnt.mapInArrow(_calibrate(shared), "level long, " + ", ".join(f"{f} double" for f in fields)).groupBy("level").agg(*(F.sum(f) for f in fields)).collect()
-    shared.unpersist()
-    for at, n, held, again, *likely in sums:
-        if n:
-            # tokens whose pair is not held (the token itself left out) have the likelihood of the second part alone
-            model.kept[at] = held / n
-            model.weight[at] = GRID[int(np.argmax(np.array(likely) + (n - again) * np.log(1 - GRID * model.kept[at])))]
-    return model, counts, rows
-
-
-def _head_floor(counts: DataFrame, head: int) -> int:
+    return Model(held, tokens, types, float(by[1][0].sum()), share, key[order], n[order], least > 1), settled, rows
+
+
+def _present(segment: dict[int, int]):
+    """Filter segments that hold the least level of the keys alone."""
+
+    def run(source):
+        for batch in source:
+            for kind, bucket, keys in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "keys")), strict=True):
+                word = np.zeros(segment[kind], U)
+                np.bitwise_or.at(word, *Filter.spot(np.frombuffer(keys, "<u8").astype(U), 1, segment[kind]))
+                yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([word.astype("<u8").tobytes()], pa.binary())], ["kind", "bucket", "bits"])
+
+    return run
+
+
+def _head_floor(words: DataFrame, head: int) -> int:
     """The least count that at most ``head`` words reach, from a histogram of counts by powers of two."""
 
     def run(source):
@@ -462,7 +591,7 @@ def _head_floor(counts: DataFrame, head: int) -> int:
                 h += np.bincount(np.log2(np.frombuffer(c, "<u8").astype(float)).astype(np.int64), minlength=64)
         yield pa.record_batch([pa.array(np.arange(64, dtype=np.int32)), pa.array(h)], ["power", "n"])
 
-    by = dict(counts.where("kind = 1").mapInArrow(run, "power int, n long").groupBy("power").agg(F.sum("n")).collect())
+    by = dict(words.mapInArrow(run, "power int, n long").groupBy("power").agg(F.sum("n")).collect())
     total = 0
     for p in range(63, -1, -1):
         total += by.get(p, 0)
@@ -502,9 +631,9 @@ def _score(model):
     def run(source):
         m = model.value
         floor = float(np.log10(m.tokens + m.types + 1))
-        for batch, t, word, pairs in m.tokens_of(source):
+        for batch, t, seen in m.tokens_of(source):
             rows = batch.num_rows
-            p = m.score(t, word, pairs)
+            p = m.score(t, seen)
             if len(m.head_key):
                 at = np.minimum(np.searchsorted(m.head_key, t.hash), len(m.head_key) - 1)
                 c = np.where(m.head_key[at] == t.hash, m.head_count[at], 0)
@@ -536,13 +665,14 @@ def score(spark: SparkSession, docs: DataFrame, held_out: Column, **how) -> Data
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; rows with held_out are not learnt from."""
     flag = F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), flag.alias("held_out"), "text")
-    model, counts, rows = train(spark, rows, **how)
+    model, settled, rows = train(spark, rows, **how)
     scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), PART)
     base, known = F.col("base_score"), F.col("n_known")
     if model.tail:
         scored = saved(scored, "scored")
-        least = _head_floor(counts, how.get("head", 1 << 20))
-        tail = counts.where("kind = 1").mapInArrow(_tail(least), "key long, n long")
+        words = settled.where("kind = 1").select("keys", "counts")
+        least = _head_floor(words, how.get("head", 1 << 20))
+        tail = words.mapInArrow(_tail(least), "key long, n long")
         asked = scored.select("row_id", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row_id", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
         n = F.coalesce("n", F.lit(0))
         floor = float(np.log10(model.tokens + model.types + 1))
@@ -550,5 +680,5 @@ def score(spark: SparkSession, docs: DataFrame, held_out: Column, **how) -> Data
         scored = scored.drop("keys", "times").join(found, "row_id", "left")
         base, known = base + F.coalesce("more", F.lit(0.0)), known + F.coalesce("more_known", F.lit(0)).cast("long")
     else:
-        remove(counts)
+        remove(settled)
     return scored.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

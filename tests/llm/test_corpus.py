@@ -275,16 +275,115 @@ def test_lm_filter_grows(spark):
     assert get() == get(most_bits=1 << 12) == get(most_bits=1 << 12, head=8)
 
 
+def small_corpus(n=200, seed=12):
+    rng = random.Random(seed)
+    return [(i, " ".join(rng.choice(["the", "of", "and", f"w{int(rng.paretovariate(0.7)) % 40}"]) for _ in range(rng.randint(0, 60)))) for i in range(n)]
+
+
+def brute_lm(train):
+    """log10 P(token | two before) by dictionaries: quantised counts of words, of pairs and triples seen twice or more."""
+    grams = [collections.Counter() for _ in range(4)]
+    for t in train:
+        w = [*words(t), "\0"]
+        for i, x in enumerate(w):
+            grams[1][(x,)] += 1
+            grams[2][(w[i - 1] if i else "\0", x)] += 1
+            if i:
+                grams[3][(w[i - 2] if i > 1 else "\0", w[i - 1], x)] += 1
+    n, v = sum(grams[1].values()), len(grams[1])
+    q = [None] + [{g: int(lm.VALUES[k][int(lm.level(np.array([c]), k)[0])]) for g, c in grams[k].items() if c >= lm.LEAST[k]} for k in (1, 2, 3)]
+    after = [None, collections.Counter(), collections.Counter()]
+    for k in (1, 2):
+        for g, c in q[k + 1].items():
+            after[k][g[:-1]] += c
+    share = [None]
+    for k in (1, 2):
+        held, total = collections.Counter(), collections.Counter()
+        for g, c in q[k].items():
+            total[c] += c
+            held[c] += min(after[k][g], c)
+        share.append({c: min(held[c] / total[c], 0.99) for c in total})
+
+    def p(x, *context):
+        if not context:
+            return n / (n + v) * q[1][(x,)] / sum(q[1].values()) if (x,) in q[1] else v / (n + v) / v
+        low, k = p(x, *context[1:]), len(context)
+        total = after[k][context]
+        if not total:
+            return low
+        c = q[k].get(context, 0)
+        t, most = share[k].get(c, 0.0), max(total, c)
+        return t * q[k + 1].get((*context, x), 0) / most + (1 - t * total / most) * low
+
+    def score(text):
+        w = [*words(text), "\0"]
+        return sum(math.log10(p(x, *((w[i - 2] if i > 1 else "\0", w[i - 1]) if i else ("\0",)))) for i, x in enumerate(w))
+
+    return p, score, [g[0] for g in q[1]], v, q
+
+
+def test_lm_score_is_the_model(spark):
+    """The probed score is that of the model by dictionaries, for known and unknown words."""
+    rows = small_corpus() + [(300, None), (301, "zzz the of"), (301, "zzz the of"), (302, "the of w1 zzz w2")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string").repartition(4)
+    got = lm.score(spark, docs, Q.remainder(7) == 2, bits_each=400).collect()
+    _, score, *_ = brute_lm([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2])
+    assert sorted((r.doc_id, round(r.score, 6)) for r in got) == sorted((i, round(score(t), 6)) for i, t in rows)
+
+
+def test_lm_sums_to_one(spark):
+    """After any context the probabilities of all known words and of the unknown ones together sum to one, in the filter as in the model."""
+    rows = small_corpus()
+    p, _, known, v, q = brute_lm([t for _, t in rows])
+    for context in [(), ("the",), ("w1",), ("zzz",), ("\0",), ("the", "of"), ("of", "w1"), ("zzz", "the"), *list(q[2])[:40]]:
+        assert abs(sum(p(x, *context) for x in known) + v * p("unknown word", *context) - 1) < 1e-9
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    flat = docs.select(F.col("doc_id").alias("row_id"), "doc_id", F.lit(False).alias("held_out"), "text")
+    for bits_each, near in (400.0, 1e-6), (12.0, 0.05):
+        model, _, _ = lm.train(spark, flat, bits_each=bits_each)
+        for context in ["the of", "w1", "of w2", "zzz zzz", "and the"]:
+            t = lm.Tokens(pa.array([f"{context} {x}" for x in [*(x for x in known if x != "\0"), "unknownword"]] + [context]))
+            logs = model.score(t, model.look(t))
+            at = len(context.split())
+            each = 10 ** np.array([logs[a + at] for a in t.first[:-1].tolist()])
+            each[-2] *= v
+            assert abs(each.sum() - 1) < near
+
+
+def test_lm_tells_copies_apart(spark):
+    """Texts that come twice are likelier by the token than nearly all texts that come once."""
+    rng = random.Random(13)
+    text = lambda: " ".join(f"w{int(rng.paretovariate(0.6)) % 2000}" for _ in range(rng.randint(40, 120)))
+    once = [text() for _ in range(400)]
+    twice = [text() for _ in range(60)]
+    rows = list(enumerate(once + twice + twice))
+    got = {r.doc_id: r.score / r.n_tokens for r in lm.score(spark, spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()}
+    limit = np.quantile([got[i] for i in range(400)], 0.95)
+    assert np.mean([got[i] > limit for i in range(400, 520)]) > 0.9
+
+
 def test_lm_filter_levels():
     n = np.array([1, 2, 3, 4, 7, 8, 100, 10_000])
-    for kind in (1, 2):
+    for kind in (1, 2, 3):
         v = lm.value(lm.level(n, kind), kind)
-        assert (np.abs(v - np.maximum(n, kind)) <= 0.25 * np.maximum(n, kind)).all()
+        assert (np.abs(v - np.maximum(n, lm.LEAST[kind])) <= 0.25 * np.maximum(n, lm.LEAST[kind])).all()
     key, count = np.array([5, 9], np.uint64), np.array([600, 3])
-    back = lm.merge_counts(*lm.unpack_counts(lm.pack_counts(key, count, 5), 5))
+    back = lm.merge_counts(*lm.unpack_counts(lm.pack_counts(key, count)))
     assert back[0].tolist() == [5, 9] and back[1].tolist() == [600, 3]
 
 
+def test_lm_sums_are_read_back():
+    rng = np.random.default_rng(3)
+    key = K.mix(np.arange(1, 500, dtype=np.uint64))
+    total = np.concatenate([np.arange(0, 400), rng.integers(0, 1 << 30, 99)])
+    entries = lm._sum_entries(key, total)
+    f = lm.Filter({1: np.zeros(1 << 17, np.uint64)}, {1: 1 << 17}, 3)
+    for k, salt in entries:
+        np.bitwise_or.at(f.words[1], *lm.Filter.spot(k, salt, 1 << 17))
+    got = f.sums(1, key)
+    assert (got[:400] == total[:400]).all() and (np.abs(got - total) <= total / 4000).all()
+
+
 def test_langid(spark):
     rng = random.Random(10)
     syl = {"aa": ["ka", "ro", "mi"], "bb": ["xt", "zq", "wv"], "cc": ["é", "ñu", "oç"]}
