@@ -68,6 +68,37 @@ def test_counts_like_the_library():
     assert own.rows(pa.array(x)).tolist() == [len(lib.encode(t or "", add_special_tokens=False).ids) for t in x]
 
 
+def test_special_strings_and_long_words_like_the_library(spark):
+    """Special strings within a text only, whatever else it holds; pretokens of any length; all through the query's own operator."""
+    from tokenizers import Tokenizer
+
+    path, rng = public.path("byte_bpe_50k.json"), random.Random(2)
+    lib = Tokenizer.from_file(path)
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(of) for _ in range(n))
+    x = ["<|endof", "text|>", "<|endof<|endoftext|>text|>", "a\0\0mark\0\0b <|endoftext|>", "<|endoftext|>" * 3 + "x", None, "", "<|endoftext|>", letters(5000), "a" * 100_000, " " * 70_000, "ab" * 40_000 + "c", "the" * 30_001]
+    x += ["日本" * 20_000, "=" * 77_777 + "-" * 10_001, letters(66_000, "thernig"), "".join(rng.choice(["th", "er", "ing", "un", "ness"]) for _ in range(20_000)), "word " * 20_000]
+    rows = [(i, t, True) for i, t in enumerate(x)] + [(None, "null id", True), (3, "again", True), (3, "again", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens boolean").repartition(2)
+    got = sorted((tuple(r) for r in count_tokens.count_tokens(docs, path, limit=512).collect()), key=str)
+    n = lambda t: len(lib.encode(t or "", add_special_tokens=False).ids)
+    assert got == sorted(((i, len((t or "").encode()), n(t), n(t) > 512) for i, t, _ in rows), key=str)
+
+
+def test_token_counts_of_nothing(spark):
+    assert count_tokens.count_tokens(frame(spark, []), public.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_chunk_maps_compose():
+    """However a long pretoken is cut, its count is that of one walk."""
+    own = count_tokens.TextCounter(public.path("byte_bpe_50k.json")).counter
+    rng = np.random.default_rng(4)
+    for data in (rng.choice(list(b"etaoin"), 3000), np.tile(list(b"abc"), 900), np.full(2000, 0x61), rng.integers(0, 256, 2500)):
+        data = data.astype(np.uint8)
+        want = own.walk(data.tobytes(), 0)[1]
+        for own.CHUNK, own.WARM, own.SECTION in (256, 64, 1 << 16), (64, 0, 500), (100, 3, 1000):
+            assert own.long(data) == want
+
+
 def test_counting_survives_a_restart_of_the_transducer():
     path = public.path("byte_bpe_50k.json")
     own = count_tokens.TextCounter(path)
@@ -203,6 +234,39 @@ def test_decontamination(spark, block):
     assert kept == {i for i, r in enumerate(want) if not r[4]}
 
 
+@pytest.mark.parametrize("block", [1 << 24, 300])
+def test_decontamination_of_repeats(spark, block):
+    """Repeated words against repeated words, very long texts, clashing columns, repeated rows and null ids."""
+    items = [("i1", "ab cd " * 400), ("i2", "x " * 500), ("i3", "ab"), (None, "null id here"), ("i1", "second text of the same id with ten words or more in it")]
+    docs = ["ab cd " * 600, "cd ab " * 30, "x " * 3000, "y x " * 100, "null id here", "x " * 9 + "y"]
+    rows = [(i, t, "q", 1) for i, t in enumerate(docs)] + [(1, docs[1], "q", 1), (None, "x " * 20, "q", 1), (50, None, "q", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, item_id string, n_hit int").repartition(3)
+    b = spark.createDataFrame(items, "item_id string, text string")
+    got = sorted((tuple(r) for r in decontaminate.decontaminate(spark, df, b, block_bytes=block).collect()), key=str)
+    want = brute_hits([r[1] for r in rows], [(i, t) for i, t in items if i is not None])
+    hidden = brute_hits(["null id here"], [("z", "null id here")])[0]
+    want[4] = (*hidden[:2], 0, hashlib.sha256(b"").hexdigest(), True)  # marked, with no id to report
+    assert got == sorted(((r[0], *v) for r, v in zip(rows, want, strict=True)), key=str)
+    kept = decontaminate.clean_documents(spark, df, b, block_bytes=block)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r, v in zip(rows, want, strict=True) if not v[4])
+
+
+def test_decontamination_of_long_repeats_is_fast():
+    import time
+
+    ix = decontaminate.Index(["1"], ["ab " * 20_000], 10, 5)
+    begin = time.time()
+    start, end, row, item = ix.hits(K.Words(pa.array(["ab " * 20_000]), K.ALNUM))
+    assert (int(start.min()), int(end.max()), len(row)) == (0, 20_000, 1) and time.time() - begin < 5
+
+
+def test_sieve_has_no_false_negative():
+    h = K.mix(np.arange(1, 5000, dtype=np.uint64))
+    sieve = decontaminate.Sieve(5000 * 16 // 64)
+    sieve.add(h)
+    assert sieve.has(h).all() and sieve.has(K.mix(np.arange(10_000, 60_000, dtype=np.uint64))).mean() < 0.01
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(spark, frame(spark, ["a b"]), none).collect()[0].n_hit == 0
@@ -231,6 +295,57 @@ def test_html_degenerate():
     assert html_text.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<p title=it's>first</p><p>don't stop</p><p>it's > end</p>", "first\ndon't stop\nit's > end"),
+        ("<p a='x > y' b=\"<p>\" c>one</p><P\nclass=z >two</P >", "one\ntwo"),
+        ("<p a='never ends>one</p><p>two</p>", "one\ntwo"),
+        ("<p>a<svg><path d='x'><text>label</text><p>rest of the page</p><p>more</p>", "a\nrest of the page\nmore"),
+        ("<p>a <svg><style/><title>t</title><foreignObject><div>in</div></foreignObject></svg> b</p>", "a b"),
+        ("<p>Let <math><mi>x</mi><mo>+</mo><mi>y</mi><annotation>x+y</annotation></math> be.</p>", "Let x+y be."),
+        ("<p>a<!-- b --!>c<!-->d<!--->e<!-- -- > -->f<!doctype x><?php y ?></ z>g", "acdefg"),
+        ("<p>x <![CDATA[ y ]]> z</p><p><math><![CDATA[<b>]]></math></p>", "x z\n<b>"),
+        ("<script>var x = '</scr' + 'ipt><p>no</p>'; </SCRIPT\n>ok<style>p</style></p><p>2", "ok\n2"),
+        ("<xmp><b>raw</b></xmp><p>1 < 2 and 3 <4 &amp;amp; &lt;b&gt; &copy &#x41;", "<b>raw</b>\n1 < 2 and 3 <4 &amp; <b> © A"),
+        ("<p>a <button>press</button> b<hr>c</p><p>last <i", "a b\nc\nlast"),
+        ("<ul><li>one<ul><li>deep</ul><li>two</ul><dl><dt>t<dd>d<dt>u</dl><table><tr><td>1<td>2<tr><th>3</table>", "one\ndeep\ntwo\nt\nd\nu\n1\n2\n3"),
+    ],
+)
+def test_html_by_the_standard(page, text):
+    assert html_text.main_text(f"<body>{page}") == text
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>@</p></article><div class="sidebar"><p>x</p></div>', "Title\n@"),
+        ("<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>@</p><footer>tags</footer></article>", "Title\n@"),
+        ('<div class="page-with-sidebar"><h1>T</h1><p>@</p></div><div id="site-header">x</div><div class="ads">y</div>', "T\n@"),
+        ('<div class="widget-page"><h1>T</h1><p>@</p><p>@</p></div><div class="post-comments"><p>@</p></div>', "T\n@\n@"),
+    ],
+)
+def test_html_names(page, text):
+    assert html_text.main_text(page.replace("@", LONG)) == text.replace("@", LONG.strip())
+
+
+@pytest.mark.parametrize("part", ["<a x", "<p a='", "<!--", "<", "<title></p", "<script></b", "<a =", "&amp", "<div>", "<div><p>a, b</p>", "<li>", "<td>x<div>", "<div><li>x", "<table><tr><td>", "</p><div></section>", "<svg>", "<![CDATA["])
+def test_html_in_linear_time(part):
+    import time
+
+    begin = time.time()
+    html_text.main_text(part * (300_000 // len(part)) + '"')
+    assert time.time() - begin < 10
+
+
+def test_html_edges(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+    page = "<article>" + f"<p>{LONG}</p>" * 10_000 + "</article>"
+    got = html_text.extract(spark.createDataFrame([(None, None, page, "clash", "clash")], schema)).first()
+    assert (got.page_id, got.url, got.text, got.n_chars) == (None, None, "\n".join([LONG.strip()] * 10_000), len(got.text))
+
+
 def test_html_query(spark):
     rows = [(1, "u", "<p>a b</p>"), (2, None, None), (2, None, None)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
