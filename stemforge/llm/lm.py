@@ -514,7 +514,7 @@ def _look(rows: DataFrame, segments: DataFrame, segment: dict[int, int], bits: i
     return out
 
 
-def train(spark: SparkSession, rows: DataFrame, *, head: int = 1 << 20, most_bits: int = 1 << 31, bits_each: float = 12.0, block_bytes: int = 6 << 20) -> tuple[Model, DataFrame, DataFrame]:
+def train(spark: SparkSession, rows: DataFrame, *, head: int = 1 << 20, most_bits: int = 1 << 31, bits_each: float = 12.0, block_bytes: int = 2 << 20) -> tuple[Model, DataFrame, DataFrame]:
     """The model learnt from the rows (row_id, doc_id, held_out, text) without held_out, the saved table of words (keys,
     counts) that its tail join reads, and what ``Model.tokens_of`` reads of the rows: these or, where the filter has more
     than ``most_bits`` bits, their saved chunks."""

@@ -1,29 +1,37 @@
 """Quality rules: robust multivariate outliers per language and source.
 
-Each text becomes a vector of transformed statistics (``VECTOR``).  For every (lang, source) group the minimum
-covariance determinant estimate of location and scatter is found by concentration steps: from a start at the medians
-and median absolute deviations, the h rows of least Mahalanobis distance give new moments, again and again; a last
-reweighting step uses all rows inside the 97.5 % ellipsoid.  A document is rejected when its squared distance is
-beyond the chi-square quantile ``quantile``, or when it fails the base rules.
+Each text becomes a vector of transformed statistics (``VECTOR``).  For every (lang, source) group, and for every
+language, the minimum covariance determinant is sought: among subsets of a share h of the group's rows, the one whose
+covariance has the least determinant.  Concentration steps - the h rows of least Mahalanobis distance give new moments,
+whose determinant is never larger - lead to it from several deterministic starts (classical, by medians, by ranks, by
+normal scores, by hyperbolic tangents, by spatial signs, by the inner half, by the neighbours of up to 24 rows).  The starts run to their end, and the best of them
+on by exchanges of single rows, on about
+``sample`` rows of a group; the two best then go on over all its rows until no determinant falls any more, and the least
+one counts.  A last reweighting step uses all rows inside the 97.5 % ellipsoid.  A document is rejected when its squared
+distance is beyond the chi-square quantile ``quantile``, or when it fails the base rules.
 
 All estimates cover all rows that pass the base rules, in DataFrame aggregates with partial sums and quantile
-sketches, so a group of any share of the rows is never gathered.  Groups of fewer than ``least`` such rows are pooled
-by language, and pools that are still small with each other; should those be fewer than ``least`` together, all rows
-stand in for them.  Variances get a floor (``FLOOR``): a statistic that is
-constant in a group must not reject by a hair.
+sketches, so a group of any share of the rows is never gathered (the sketch's ranks are exact in groups of up to about
+2000 rows, and within 0.05 % in larger ones).  A group of few rows is not set apart: every group's estimate is averaged
+with ``prior`` rows' worth of its language's, and a language's with the mean of all languages', so it moves from the
+common one to the group's own as the group grows.  Variances get a floor (``FLOOR``): a statistic that is constant in
+a group must not reject by a hair.
 
 Defined results: a null text has no words and fails the base rules; a null lang or source is a group of its own; equal
-rows get equal verdicts; where no group can be estimated (fewer rows than ``least`` overall), the base rules decide.
+rows get equal verdicts, and ties in distance are all inside; rows with a null doc_id are judged like others; extra
+columns, whatever their names, take no part (``good_documents`` keeps them); texts of any length are read whole; an
+empty table gives no row.
 """
 
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,84 +155,201 @@ def _distance(state: str = "state") -> F.Column:
     return total
 
 
-def _states(moments: DataFrame, scale: float) -> DataFrame:
-    """(grp, state) from counts, sums and sums of products: mean and inverse Cholesky factor, row by row."""
-    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+MOMENTS = ["n", *(f"s{i}" for i in range(P)), *(f"p{i}_{j}" for i, j in PAIRS)]
+
+
+def _square(lower: np.ndarray) -> np.ndarray:
+    out = np.zeros((P, P))
+    for v, (i, j) in zip(lower, PAIRS, strict=True):
+        out[i, j] = out[j, i] = v
+    return out
+
+
+def _factor(cov: np.ndarray) -> np.ndarray:
+    """Cholesky factor with the floor; rounding may leave a variance just below 0, the floor is far above that."""
+    return np.linalg.cholesky(cov + np.diag(FLOOR**2))
+
+
+def _state(mean: np.ndarray, cov: np.ndarray) -> tuple[list[float], float]:
+    """(mean and inverse factor, log-determinant)."""
+    factor = _factor(cov)
+    inv = np.linalg.inv(factor)
+    return [*mean.tolist(), *(float(inv[i, j]) for i, j in PAIRS)], 2 * float(np.log(np.diag(factor)).sum())
+
+
+def _concentrated(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, h: float, scale: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log-determinant, mean, covariance) where concentration steps end."""
+    k, least = math.ceil(h * len(x)), math.inf
+    while True:
+        z = np.linalg.solve(_factor(cov), (x - mean).T)
+        inner = x[np.argsort((z * z).sum(0), kind="stable")[:k]]
+        new, spread = inner.mean(0), np.cov(inner.T, bias=True) * scale
+        det = 2 * float(np.log(np.diag(_factor(spread))).sum())
+        if not det < least - 1e-10:
+            return least, mean, cov
+        least, mean, cov = det, new, spread
+
+
+def _exchanged(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, h: float, scale: float, edge: int = 24) -> tuple[float, np.ndarray, np.ndarray]:
+    """As ``_concentrated``, gone on by exchanges: of the ``edge`` farthest rows inside and nearest outside, the pair whose exchange
+    lowers the determinant most changes sides, until none does."""
+    k = math.ceil(h * len(x))
+    found = _concentrated(x, mean, cov, h, scale)
+    for _ in range(10 * edge):
+        z = np.linalg.solve(_factor(found[2]), (x - found[1]).T)
+        order = np.argsort((z * z).sum(0), kind="stable")
+        inside, out, into = x[order[:k]], x[order[max(0, k - edge) : k]], x[order[k : k + edge]]
+        if not len(into):
+            break
+        # sums and products of every exchange
+        total = inside.sum(0) - out[:, None] + into[None]
+        products = inside.T @ inside - np.einsum("ai,aj->aij", out, out)[:, None] + np.einsum("bi,bj->bij", into, into)[None]
+        m = total / k
+        c = (products / k - np.einsum("abi,abj->abij", m, m)) * scale
+        det = np.linalg.slogdet(c + np.diag(FLOOR**2))[1]
+        a, b = np.unravel_index(int(det.argmin()), det.shape)
+        if not det[a, b] < found[0] - 1e-9:
+            break
+        better = _concentrated(x, m[a, b], c[a, b], h, scale)
+        found = better if better[0] < det[a, b] else (float(det[a, b]), m[a, b], c[a, b])
+    return found
+
+
+def starts(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(centre, scatter) guesses for a group's rows."""
+    middle = np.median(x, 0)
+    width = np.maximum(1.4826 * np.median(np.abs(x - middle), 0), FLOOR)
+    z = (x - middle) / width
+    norm = np.sqrt((z * z).sum(1))
+    rank = (np.argsort(np.argsort(z, 0, kind="stable"), 0, kind="stable") + 0.5) / len(x)
+    normal = np.vectorize(NormalDist().inv_cdf)(rank)
+    inner = z[np.argsort(norm, kind="stable")[: -(-len(x) // 2)]]
+    near = [x[np.argsort(((z - z[i]) ** 2).sum(1), kind="stable")[: max(2, -(-len(x) // 2))]] for i in np.linspace(0, len(x) - 1, min(len(x), 24)).astype(int)]
+    shapes = [np.eye(P), *(np.cov(y.T, bias=True) for y in (np.tanh(z), rank * math.sqrt(12), normal, z / np.maximum(norm, 1e-12)[:, None], inner))]
+    return [*((y.mean(0), np.cov(y.T, bias=True)) for y in (x, *near)), *((middle, y * np.outer(width, width)) for y in shapes)]
+
+
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    x = [F.col(f"{Q}{c}") for c in VECTOR]
+    sums = [F.sum(x[i]).alias(f"s{i}") for i in range(P)]
+    products = [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in PAIRS]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), *sums, *products)
+
+
+def _estimates(moments: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """(*keys, est, state, logdet) from moments, row by row; est: mean and lower half of the covariance times ``scale``."""
+    schema = moments.select(*keys).schema
 
     def run(source):
         for m in source:
             out = []
-            for row in m.to_numpy():
-                n = max(float(row[1]), 1.0)
-                mean = row[2 : 2 + P].astype(float) / n
-                cov = np.zeros((P, P))
-                for v, (i, j) in zip(row[2 + P :].astype(float), pairs, strict=True):
-                    cov[i, j] = cov[j, i] = v / n - mean[i] * mean[j]
-                inv = np.linalg.inv(np.linalg.cholesky(cov * scale + np.diag(FLOOR**2)))
-                out.append([*mean, *(inv[i, j] for i, j in pairs)])
-            yield pd.DataFrame({"grp": m["grp"], "state": out})
+            for row in m[MOMENTS].to_numpy(float):
+                n = max(row[0], 1.0)
+                mean = row[1 : 1 + P] / n
+                cov = (_square(row[1 + P :]) / n - np.outer(mean, mean)) * scale
+                out.append(([*mean.tolist(), *(float(cov[i, j]) for i, j in PAIRS)], *_state(mean, cov)))
+            est, state, dets = zip(*out, strict=True) if out else ([], [], [])
+            yield pd.DataFrame({**{k: m[k] for k in keys}, "est": est, "state": state, "logdet": dets})
 
-    return moments.mapInPandas(run, "grp string, state array<double>")
+    return moments.mapInPandas(run, _with_state(schema.add("est", ARRAY)))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    x = [F.col(f"{Q}{c}") for c in VECTOR]
-    sums = [F.sum(x[i]).alias(f"s{i}") for i in range(P)]
-    products = [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(P) for j in range(i + 1)]
-    return rows.groupBy("grp").agg(F.count(F.lit(1)).cast("double").alias("n"), *sums, *products)
+ARRAY = T.ArrayType(T.DoubleType())
+
 
+def _with_state(schema: T.StructType) -> T.StructType:
+    return schema.add("state", ARRAY).add("logdet", T.DoubleType())
 
-def _group_key(pooled: str = "") -> F.Column:
+
+def _group_key() -> F.Column:
+    """Of a row: its language and source, and its language alone."""
     lang, source = F.coalesce(F.col("lang").cast("string"), F.lit("\0")), F.coalesce(F.col("source").cast("string"), F.lit("\0"))
-    return {"": F.concat(lang, F.lit("\1"), source), "lang": F.concat(lang, F.lit("\1\1")), "all": F.lit("\1\1\1")}[pooled]
+    return F.array(F.concat(lang, F.lit("\1"), source), F.concat(lang, F.lit("\1\1")))
 
 
-def estimate(rows: DataFrame, *, h: float = 0.75, steps: int = 6, least: int = 100) -> DataFrame:
-    """(grp, pool, state): for each (lang, source) key the pool that was estimated and its state; rows: saved, of those that pass the base rules."""
-    sizes = rows.groupBy(_group_key().alias("grp"), _group_key("lang").alias("by_lang")).agg(F.count(F.lit(1)).alias("n"))
-    langs = sizes.where(F.col("n") < least).groupBy("by_lang").agg(F.sum("n").alias("pooled"))
-    pool = F.when(F.col("n") >= least, F.col("grp")).when(F.col("pooled") >= least, F.col("by_lang")).otherwise(F.lit("\1\1\1"))
-    pools = saved(sizes.join(langs, "by_lang", "left").select("grp", pool.alias("pool")), "pools")
-    # states of few groups are broadcast; of more they are joined, and a hot group's rows are split by the skew join
-    small = F.broadcast if pools.count() <= FEW else lambda d: d
-    values = [f"{Q}{c}" for c in VECTOR]
-    keyed = rows.withColumn("key", _group_key()).join(small(pools.withColumnRenamed("grp", "key")), "key").select(F.col("pool").alias("grp"), *values)
-    rest = sizes.join(pools.where("pool = '\1\1\1'"), "grp").agg(F.sum("n")).first()[0]
-    if rest is not None and rest < least:  # too few even together: measured against all rows
-        keyed = keyed.where("grp <> '\1\1\1'").unionAll(rows.select(F.lit("\1\1\1").alias("grp"), *values))
-    keyed = saved(keyed, "vectors")
-
-    quantile = lambda c, q: F.percentile_approx(c, q, 2000)
-    middle = keyed.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *(quantile(f"{Q}{c}", 0.5).alias(f"m{i}") for i, c in enumerate(VECTOR)))
-    middle = saved(middle.where(F.col("n") >= least), "medians")
-    spread = keyed.join(small(middle), "grp").groupBy("grp").agg(*(quantile(F.abs(F.col(f"{Q}{c}") - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i, c in enumerate(VECTOR)))
-    start = []
-    for i in range(P):
-        start += [F.lit(0.0)] * i + [1 / F.greatest(1.4826 * F.col(f"d{i}"), F.lit(float(FLOOR[i])))]
-    state = saved(middle.join(spread, "grp").select("grp", F.array(*(F.col(f"m{i}") for i in range(P)), *start).alias("state")), "state")
+def _candidates(keyed: DataFrame, sizes: DataFrame, small, h: float, scale: float, sample: float) -> DataFrame:
+    """(grp, start, state): the two best ends of concentration on about ``sample`` rows of each group (whole groups of up to that many)."""
+
+    def search(p: pd.DataFrame) -> pd.DataFrame:
+        x = p[[f"{Q}{c}" for c in VECTOR]].to_numpy(float)
+        ends = sorted((_concentrated(x, m, c, h, scale) for m, c in starts(x)), key=lambda e: e[0])[:6]
+        ends = sorted((_exchanged(x, m, c, h, scale) for _, m, c in ends), key=lambda e: e[0])
+        two = [ends[0], *(e for e in ends[1:] if e[0] > ends[0][0] + 1e-9)][:2]
+        rows = [(p["grp"].iloc[0], i, _state(m, c)[0]) for i, (_, m, c) in enumerate(two)]
+        return pd.DataFrame(rows, columns=["grp", "start", "state"])
+
+    some = keyed.join(small(sizes.select("grp", "size")), "grp").where(F.rand(7) * F.col("size") <= sample).drop("size")
+    return some.groupBy("grp").applyInPandas(search, T.StructType().add("grp", T.StringType()).add("start", T.IntegerType()).add("state", ARRAY))
+
 
+def estimate(rows: DataFrame, *, h: float = 0.5, steps: int = 30, prior: float = 50.0, sample: float = 600.0) -> tuple[DataFrame, DataFrame]:
+    """((grp, state), (grp, logdet)): the final estimate of each (lang, source) key, and of every key (those of languages end in two
+    \\1) the least log-determinant found; rows: saved, of those that pass the base rules."""
+    keyed = rows.select(F.explode(_group_key()).alias("grp"), *(f"{Q}{c}" for c in VECTOR))
+    sizes = saved(keyed.groupBy("grp").agg(F.count(F.lit(1)).cast("double").alias("size")).select("grp", "size", F.substring_index("grp", "\1", 1).alias("lang"), F.col("grp").endswith("\1\1").alias("wide")), "sizes")
+    # states of few groups are broadcast; of more they are joined, and a hot group's rows are split by the skew join
+    small = F.broadcast if sizes.count() <= FEW else lambda d: d
     # the h-part of a normal sample has less scatter than the whole: the factor that makes up for it
     full = h / chi2_below(chi2_quantile(h, P), P + 2)
-    for step in range(steps + 1):
-        far = keyed.join(small(state), "grp").withColumn("d2", _distance())
-        if step < steps:
-            radius = far.groupBy("grp").agg(quantile("d2", h).alias("radius"))
-            inside, scale = far.join(small(radius), "grp").where("d2 <= radius"), full
-        else:  # the reweighting step
-            inside, scale = far.where(F.col("d2") <= chi2_quantile(0.975, P)), 1.0
-        new = saved(_states(_moments(inside), scale), "state")
+    state = saved(_candidates(keyed, sizes, small, h, full, sample), "state")
+    key, best = ["grp", "start"], None
+    for _ in range(steps):
+        far = keyed.join(small(state.select(*key, "state")), "grp").withColumn("d2", _distance())
+        radius = far.groupBy(*key).agg(F.percentile_approx("d2", h, 2000).alias("radius"))
+        new = saved(_estimates(_moments(far.join(small(radius), key).where("d2 <= radius"), key), key, full), "state")
         remove(state)
-        state = new
-    remove(keyed)
-    return pools.join(state.withColumnRenamed("grp", "pool"), "pool").select("grp", "pool", "state")
+        if best is not None:  # the least determinant of each start so far; those that do not fall any more are at their end
+            before = best.select(*key, F.struct("logdet", "est", "state").alias("was"))
+            both = saved(new.join(before, key).withColumn("fell", F.col("logdet") < F.col("was.logdet") - 1e-9), "state")
+            fell = both.where("fell").select(*key, "est", "state", "logdet")
+            over = best.join(fell.select(*key), key, "left_anti").unionAll(fell)
+            kept = saved(over, "state")
+            state = saved(fell, "state")
+            for d in (best, new, both):
+                remove(d)
+            best = kept
+            if not state.count():
+                break
+        else:
+            best, state = new, saved(new, "state")
+    rank = F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))
+    least = saved(best.withColumn("rank", rank).where("rank = 1").select("grp", "est", "logdet"), "mcd")
+    remove(best)
+
+    # the reweighting step, from averaged estimates, which are averaged again after it
+    far = keyed.join(small(_averaged(least, sizes, prior)), "grp").withColumn("d2", _distance())
+    final = saved(_estimates(_moments(far.where(F.col("d2") <= chi2_quantile(0.975, P)), ["grp"]), ["grp"], 1.0), "mcd")
+    missing = least.join(final, "grp", "left_anti").select("grp", "est")  # no row of theirs is inside
+    out = _averaged(final.select("grp", "est").unionAll(missing), sizes, prior).where("not wide")
+    return out.select("grp", "state"), least.select("grp", "logdet")
+
+
+def _averaged(own: DataFrame, sizes: DataFrame, prior: float) -> DataFrame:
+    """(grp, wide, state): a group's estimate with ``prior`` rows of its language's, a language's with as many of the mean of all."""
+    each = own.join(sizes, "grp").select("grp", "lang", "wide", "size", "est")
+    mean = each.where("wide").agg(F.array(*(F.sum(F.col("est")[i] * F.col("size")) / F.sum("size") for i in range(P + len(PAIRS)))).alias("wider"))
+    with_prior = F.zip_with("est", "wider", lambda a, b: (a * F.col("size") + b * prior) / (F.col("size") + prior))
+    langs = each.where("wide").join(F.broadcast(mean)).select("grp", "lang", "wide", with_prior.alias("est"))
+    groups = each.where("not wide").join(langs.select("lang", F.col("est").alias("wider")), "lang").select("grp", "lang", "wide", with_prior.alias("est"))
+
+    def run(source):
+        for m in source:
+            states = [_state(np.array(e[:P]), _square(e[P:]))[0] for e in m["est"]]
+            yield pd.DataFrame({"grp": m["grp"], "wide": m["wide"], "state": states})
+
+    return langs.unionAll(groups).select("grp", "wide", "est").mapInPandas(run, "grp string, wide boolean, state array<double>")
 
 
-def verdicts(docs: DataFrame, *, quantile: float = 0.999, least: int = 100) -> DataFrame:
+def verdicts(docs: DataFrame, *, quantile: float = 0.999, **how) -> DataFrame:
     """docs with their statistics, squared distance (``d2``) and ``kept``; no document moves unless the states are too many to broadcast."""
     with_all = with_statistics(docs)
     slim = with_statistics(docs.select("text", "lang", "source")).where(~F.col(f"{Q}base_failed")).drop("text")
-    states = saved(estimate(saved(slim, "statistics"), least=least), "mcd")
-    far = with_all.withColumn(f"{Q}grp", _group_key()).join(states.select(F.col("grp").alias(f"{Q}grp"), F.col("state").alias(f"{Q}state")), f"{Q}grp", "left")
+    vectors = saved(slim, "statistics")
+    states = saved(estimate(vectors, **how)[0], "mcd")
+    remove(vectors)
+    few = F.broadcast if states.count() <= FEW else lambda d: d
+    far = with_all.withColumn(f"{Q}grp", _group_key()[0]).join(few(states.select(F.col("grp").alias(f"{Q}grp"), F.col("state").alias(f"{Q}state"))), f"{Q}grp", "left")
     d2 = _distance(f"{Q}state")
     limit = chi2_quantile(quantile, P)
     return far.withColumn(f"{Q}d2", d2).withColumn(f"{Q}kept", ~F.col(f"{Q}base_failed") & (F.coalesce(F.col(f"{Q}d2"), F.lit(0.0)) <= limit))
@@ -238,4 +363,5 @@ def quality(docs: DataFrame, **how) -> DataFrame:
 
 def good_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
-    return verdicts(docs, **how).where(f"{Q}kept").select(*docs.columns)
+    names = [c if c in ("text", "lang", "source") else f"_{i}" for i, c in enumerate(docs.columns)]
+    return verdicts(docs.toDF(*names), **how).where(f"{Q}kept").select(*names).toDF(*docs.columns)

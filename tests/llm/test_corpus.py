@@ -18,6 +18,7 @@ from stemforge.llm import kernel as K
 from stemforge.llm import langid, lm, ngram_join, quality, toxicity
 from stemforge.llm import queries as Q
 from stemforge.llm.components import components
+from stemforge.llm.shared import saved
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -174,6 +175,61 @@ def test_quality(spark, sf):
     assert sum(clean) >= 0.99 * len(clean) and sum(junk) <= 0.1 * len(junk)
 
 
+def exhaustive_mcd(x, h=0.5):
+    """The least log-determinant over all subsets of ceil(h n) rows, scaled and floored as the operator's."""
+    import itertools
+
+    k = math.ceil(h * len(x))
+    full = h / quality.chi2_below(quality.chi2_quantile(h, quality.P), quality.P + 2)
+    least = math.inf
+    for rows in itertools.combinations(range(len(x)), k):
+        y = x[list(rows)]
+        least = min(least, np.linalg.slogdet(np.cov(y.T, bias=True) * full + np.diag(quality.FLOOR**2))[1])
+    return least
+
+
+def test_quality_finds_the_minimum_determinant(spark):
+    """Against all subsets of small groups: with far rows in it, and without any."""
+    rng = np.random.default_rng(6)
+    groups = {}
+    for g in range(7):
+        a = rng.normal(size=(quality.P, quality.P)) / 3
+        x = rng.normal(size=(12, quality.P)) @ a
+        if g < 4:
+            x[: g + 2] += rng.normal(size=quality.P) * 2 + 4
+        groups[f"s{g}"] = x
+    rows = [("en", s, *map(float, v)) for s, x in groups.items() for v in x]
+    df = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{quality.Q}{c} double" for c in quality.VECTOR))
+    _, dets = quality.estimate(saved(df, "test"))
+    got = {r.grp.split("\1")[1]: r.logdet for r in dets.collect()}
+    want = {s: exhaustive_mcd(x) for s, x in groups.items()}
+    assert all(got[s] >= want[s] - 1e-6 for s in want)  # none can be less
+    assert sum(abs(got[s] - want[s]) < 1e-6 for s in want) >= 5 and all(got[s] < want[s] + 0.5 for s in want)
+
+
+def test_quality_estimate_moves_with_the_size_of_a_group(spark):
+    """A few rows of another kind stay near the common estimate, many have their own; nothing flips between."""
+    rng = np.random.default_rng(7)
+    rows = [("en", "a", *map(float, v)) for v in rng.normal(0, 0.1, (1500, quality.P))]
+    for n in (5, 20, 80, 320):
+        rows += [("en", f"n{n:03}", *map(float, v)) for v in rng.normal(1.0, 0.1, (n, quality.P))]
+    df = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{quality.Q}{c} double" for c in quality.VECTOR))
+    states, _ = quality.estimate(saved(df, "test"))
+    mean = {r.grp.split("\1")[1]: r.state[0] for r in states.collect()}
+    assert set(mean) == {"a", "n005", "n020", "n080", "n320"}
+    at = [mean[f"n{n:03}"] for n in (5, 20, 80, 320)]
+    assert at == sorted(at) and at[0] < 0.7 and at[-1] > 0.9
+
+
+def test_quality_of_clashing_columns_and_repeats(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, _quality_kept string, _1 int, grp int"
+    df = spark.createDataFrame([(1, text, None, None, 1, "x", "k", 1, 2), (1, text, None, None, 1, "x", "k", 1, 2), (None, text, "en", None, 1, "y", "k", 1, 2), (4, "few", "en", "s", 1, "y", "k", 1, 2), (5, text * 3000, "en", "s", 1, "y", "k", 1, 2)], schema)
+    got = quality.good_documents(df)
+    assert got.columns == df.columns and sorted((r.doc_id or 0, r["a.b"]) for r in got.collect()) == [(0, "y"), (1, "x"), (1, "x")]
+    assert sorted((r.doc_id or 0, r.n_words, r.kept) for r in quality.quality(df).collect())[-1] == (5, 79 * 3000 + 1, False)
+
+
 def test_quality_edges(spark):
     empty = spark.createDataFrame([], DOC)
     assert quality.quality(empty).count() == 0 and quality.good_documents(empty).columns == empty.columns
