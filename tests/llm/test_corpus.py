@@ -91,11 +91,34 @@ def test_ngram_join(spark, n, percent, most):
 
 def test_ngram_join_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert ngram_join.ngram_join(spark, empty).count() == 0
-    df = spark.createDataFrame([(3, "a b c d e f", "x"), (3, "a b c d e f", "y"), (7, "a b c d e f", "z"), (1, "", "q")], "doc_id long, text string, component_id string")
-    got = sorted((r.doc_id, r.component_id) for r in ngram_join.ngram_join(spark, df).collect())
-    assert got == [(1, 1), (3, 3), (3, 3), (7, 3)]
-    assert sorted(r.doc_id for r in ngram_join.one_of_each(spark, df).collect()) == [1, 3, 3]
+    assert ngram_join.ngram_join(spark, empty).count() == 0 and ngram_join.one_of_each(spark, empty).count() == 0
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, "a b c d e f"), (3, "a b c d e f"), (7, "a b c d e f"), (1, ""), (1, ""), (None, None), (None, near), (None, near + " x"), (9, near + " y"), (3, near), (None, "alone and without id here"), (None, "alone and without id here")]
+    df = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], "doc_id long, text string, component_id string, `set.hash` int").repartition(3)
+    got = sorted(((r.doc_id, r.component_id) for r in ngram_join.ngram_join(spark, df).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (3, 3), (3, 3), (3, 3), (7, 3), (9, 3), (None, 3), (None, 3), (None, None), (None, None), (None, None)], key=str)
+    kept = ngram_join.one_of_each(spark, df)
+    assert kept.columns == df.columns
+    kept = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert kept == sorted([(1, ""), (1, ""), (None, None), (3, "a b c d e f"), (3, near), (None, "alone and without id here")], key=str)
+
+
+@pytest.mark.parametrize("n", [30, 90, 400, 513, 900, 3000, 20_000])
+def test_matching_sets_always_meet(n):
+    """Pairs at the very threshold, of all sizes and with common n-grams, share a meeting point."""
+    rng = np.random.default_rng(n)
+    for percent in (80, 85):
+        for trial in range(20 if n < 1000 else 3):
+            x = np.unique(K.mix(rng.integers(0, 2**62, n).astype(np.uint64)))
+            gone = len(x) * (100 - percent) // 100
+            y = np.delete(x, rng.choice(len(x), gone, replace=False))
+            if trial % 2:  # as many new as gone, at the threshold
+                swap = (len(x) - ngram_join.needed(len(x), len(x), percent)) * 1
+                y = np.unique(np.concatenate([np.delete(x, rng.choice(len(x), swap, replace=False)), K.mix(rng.integers(0, 2**62, swap).astype(np.uint64))]))
+            both = len(np.intersect1d(x, y))
+            assert 100 * both >= percent * (len(x) + len(y) - both)
+            common = np.sort(rng.choice(x, len(x) * (trial % 5) // 5, replace=False))
+            assert len(np.intersect1d(ngram_join.signatures(x, percent, common), ngram_join.signatures(y, percent, common)))
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -218,7 +241,7 @@ def test_quality_estimate_moves_with_the_size_of_a_group(spark):
     mean = {r.grp.split("\1")[1]: r.state[0] for r in states.collect()}
     assert set(mean) == {"a", "n005", "n020", "n080", "n320"}
     at = [mean[f"n{n:03}"] for n in (5, 20, 80, 320)]
-    assert at == sorted(at) and at[0] < 0.7 and at[-1] > 0.9
+    assert at == sorted(at) and all(abs(a - n / (n + 50)) < 0.05 for a, n in zip(at, (5, 20, 80, 320), strict=True))
 
 
 def test_quality_of_clashing_columns_and_repeats(spark):
