@@ -11,7 +11,8 @@ vocabulary entry that ends there and is compatible with the last token before it
 keeps them apart).
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); special strings inside a text count as one token, as
-in the library; repeated rows give repeated results; texts of any length are counted whole.
+in the library; repeated rows and rows with a null doc_id give a row each; texts of any length are counted whole; extra
+columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import saved
+from .shared import renamed, saved
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -308,21 +308,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, bench: DataFrame, *, spa
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, bench: DataFrame, *, span: int = 10, k: int = 5, block_bytes: int = 16 << 20, filter_bits: int = 16, most_bits: int = 1 << 31) -> DataFrame:
-    """The rows of ``docs`` without a hit word, all columns kept; nothing is shuffled where the benchmark is broadcast.
-
-    Beyond that, rows are known by their place among their task's rows: the same files must be read alike twice, as saved tables are."""
-    items = _items(bench)
+    """The rows of ``docs`` without a hit word, all columns kept; nothing is shuffled where the benchmark is broadcast (beyond that they are saved once, numbered)."""
+    items, plain = _items(bench), renamed(docs, "text")
     index = _index(spark, items, span, k, block_bytes)
     if index is not None:
-        return docs.mapInArrow(_keep(index), docs.schema)
-    names = docs.columns
-    own = "_row_id_"
-    while own in names:
-        own += "_"
-    kept = saved(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
-    asked = kept.select(F.col(own).alias("row_id"), F.lit(None).cast("long").alias("doc_id"), F.col("text"))
-    dirty = _joined(spark, asked, items, span, k, filter_bits, most_bits).where(F.size("spans") > 0).select(F.col("row_id").alias(own))
-    return kept.join(dirty, own, "left_anti").select(*(F.col(f"`{c}`") for c in names))
+        return plain.mapInArrow(_keep(index), plain.schema).toDF(*docs.columns)
+    kept = saved(plain.withColumn("row_id", F.monotonically_increasing_id()), "rows")
+    asked = kept.select("row_id", F.lit(None).cast("long").alias("doc_id"), "text")
+    dirty = _joined(spark, asked, items, span, k, filter_bits, most_bits).where(F.size("spans") > 0).select("row_id")
+    return kept.join(dirty, "row_id", "left_anti").select(*plain.columns).toDF(*docs.columns)
 
 
 def _keep(index):

@@ -10,7 +10,9 @@ chunk products of transition matrices are combined by a prefix scan, so that lon
 text's language is the label with the most expected words, its score that label's share.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; ties go to the first language in
-order; without training texts every text is ``und``; texts of any length are labelled whole.
+order; without training texts every text is ``und``; texts of any length are labelled whole; rows with a null doc_id are
+labelled (their held_out is false) and not learnt from; repeated rows get equal results; extra columns are ignored; an
+empty table gives no row.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -121,7 +123,6 @@ def _chains(words: list[list[int]], labels: list[int], length: int, rng) -> tupl
             pieces.append((text[i : i + n], y))
             i += n
     order = rng.permutation(len(pieces))
-    # neighbours in half of the cases stay with their language: short texts of one language are chains too
     flat = np.concatenate([pieces[i][0] for i in order]) if len(order) else np.zeros(0, np.int64)
     lab = np.concatenate([np.full(len(pieces[i][0]), pieces[i][1]) for i in order]) if len(order) else np.zeros(0, np.int64)
     rows = len(flat) // length
@@ -196,15 +197,20 @@ def learn(texts: list[str], labels: list[str], *, bits: int = 18, epochs: int =
     return m
 
 
-def fit(docs: DataFrame, train: Column, *, texts: int = 300, most_bytes: int = 20_000, languages: int = 64, **how) -> Model:
-    """Learn from about ``texts`` texts (at most twice as many) of at most ``most_bytes`` bytes of each of the ``languages`` most frequent labels, those of least hash."""
-    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_003)).alias("h"))
-    rows = rows.where((F.octet_length("text") <= most_bytes) & (F.length("text") > 0))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not sizes:
+def fit(docs: DataFrame, train: Column, *, texts: int = 300, most_bytes: int = 20_000, **how) -> Model:
+    """Learn every label from about ``texts`` of its texts, those of least hash; of a text of more than ``most_bytes`` characters
+    a run of that length from a place that its hash chooses.  So the sample is bounded by the number of labels."""
+    h = F.xxhash64("doc_id", F.length("text"))
+    rows = docs.where(train & F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").cast("string").alias("lang"), "text", F.pmod(h, F.lit(1_000_003)).alias("h"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    some = rows.join(F.broadcast(sizes), "lang").where(F.col("h") * F.col("n") <= 1_000_003.0 * texts)
+    # equal hashes (repeated rows) do not make the sample longer
+    first = F.row_number().over(Window.partitionBy("lang", "h").orderBy("text"))
+    some = some.withColumn("first", first).where("first = 1")
+    place = F.pmod(F.col("h"), F.greatest(F.length("text") - most_bytes, F.lit(0)) + 1).cast("int") + 1
+    got = some.select(F.substring(F.col("text"), place, F.lit(most_bytes)).alias("text"), "lang", "h").toPandas()
+    if not len(got):
         return Model([], np.zeros((1, 0)), np.zeros((0, 0)), np.zeros(0), 0)
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r[0]), F.lit(int(1_000_003 * min(1.0, texts / r[1]))))))
-    got = rows.where(F.col("h") <= F.coalesce(share[F.col("lang")], F.lit(-1))).limit(2 * texts * len(sizes)).select("text", "lang", "h").toPandas()
     got = got.sort_values(["h", "lang", "text"])
     return learn(got["text"].tolist(), got["lang"].tolist(), **how)
 

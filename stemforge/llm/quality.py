@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
-from .shared import remove, saved
+from .shared import remove, renamed, saved
 
 #: Symbols of the base rules: fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -363,5 +363,5 @@ def quality(docs: DataFrame, **how) -> DataFrame:
 
 def good_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
-    names = [c if c in ("text", "lang", "source") else f"_{i}" for i, c in enumerate(docs.columns)]
-    return verdicts(docs.toDF(*names), **how).where(f"{Q}kept").select(*names).toDF(*docs.columns)
+    plain = renamed(docs, "text", "lang", "source")
+    return verdicts(plain, **how).where(f"{Q}kept").select(*plain.columns).toDF(*docs.columns)

@@ -14,7 +14,8 @@ Files travel as rows of a Parquet table (``content``), which any store that Spar
 survives lost executors.
 
 Defined results: a null text is an empty document (its end id alone); documents of one doc_id lie next to each other,
-those with equal ids in any order; null doc_ids come first; an empty table gives no file and no row.
+those with equal ids in any order (repeated rows are kept, each with a start of its own); null doc_ids come first; extra
+columns, whatever their names, are ignored; texts of any length are encoded whole; an empty table gives no file and no row.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .pack import encoder
-from .shared import scratch
+from .shared import drop, scratch
 
 MAGIC = b"RANSIDS1"
 BITS = 20
@@ -178,43 +179,48 @@ def read_file(t: Table, content: bytes) -> tuple[int, list, np.ndarray, np.ndarr
     return base, [None if z else d for d, z in zip(doc_ids, null.tolist(), strict=True)], sizes, ids
 
 
-def _tokenize(path: str, end_id: int):
+def width(size: int) -> str:
+    """Number type of the ids of a vocabulary of ``size`` in scratch tables: two bytes where they hold every id, else four."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _tokenize(path: str, end_id: int, kind: str):
     def run(source):
         enc = encoder(path)
         for batch in K.batches(source):
             ids, off = enc.encode(batch.column("text"))
-            ids = ids.astype("<u2")
-            tail = np.array([end_id], "<u2").tobytes()
+            ids = ids.astype(kind)
+            tail = np.array([end_id], kind).tobytes()
             raw = [ids[a:b].tobytes() + tail for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             yield pa.record_batch([batch.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "ids"])
 
     return run
 
 
-def _count(size: int):
+def _count(size: int, kind: str):
     def run(source):
         total = np.zeros(size, np.int64)
         for batch in source:
             column = batch.column("ids").cast(pa.large_binary())
             off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             if off[-1] > off[0]:
-                total += np.bincount(np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]].view("<u2"), minlength=size)
+                total += np.bincount(np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]].view(kind), minlength=size)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], ["id", "n"])
 
     return run
 
 
-def _encode(table, file_ids: int):
+def _encode(table, file_ids: int, kind: str):
     def run(source):
         from pyspark import TaskContext
 
-        part, shard, base = TaskContext.get().partitionId(), 0, 0
+        part, shard, base, each = TaskContext.get().partitionId(), 0, 0, np.dtype(kind).itemsize
         docs, raw, n = [], [], 0
 
         def out():
-            ids = np.frombuffer(b"".join(raw), "<u2").astype(np.uint32)
-            sizes = np.array([len(r) // 2 for r in raw], np.int64)
+            ids = np.frombuffer(b"".join(raw), kind).astype(np.uint32)
+            sizes = np.array([len(r) // each for r in raw], np.int64)
             content = write_file(table.value, base, docs, sizes, ids)
             return pa.record_batch([pa.array([part], pa.int64()), pa.array([shard], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([content], pa.binary())], ["part", "shard", "n_ids", "content"])
 
@@ -222,7 +228,7 @@ def _encode(table, file_ids: int):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 docs.append(doc)
                 raw.append(ids)
-                n += len(ids) // 2
+                n += len(ids) // each
                 if n >= file_ids:
                     yield out()
                     shard, base, docs, raw, n = shard + 1, base + n, [], [], 0
@@ -246,25 +252,31 @@ def _decode(table, starts):
     return run
 
 
-def write_ids(spark: SparkSession, docs: DataFrame, path: str, to: str, *, end_id: int = 2, vocabulary: int = 49408, file_ids: int = 1 << 21) -> Table:
+def write_ids(spark: SparkSession, docs: DataFrame, path: str, to: str, *, end_id: int = 2, file_ids: int = 1 << 21) -> Table:
     """Encode every text and write files to ``to``; the shared table is returned and kept beside them (``to`` + "/table").
 
-    Ids are tokenized once, to a table in the shared scratch folder; its counts make the frequency table (at most
-    ``vocabulary`` rows reach the driver); then a range exchange on doc_id puts the documents in order."""
+    Ids are tokenized once, to a table in the shared scratch folder that is removed in the end; its counts make the
+    frequency table (at most a row for each id of the vocabulary reaches the driver); then a range exchange on doc_id puts
+    the documents in order."""
+    vocabulary = max(encoder(path).library.get_vocab_size(with_added_tokens=True), end_id + 1)
+    if vocabulary > 1 << (BITS - 1):
+        raise ValueError(f"{vocabulary} ids do not fit into a table of 2**{BITS}")
+    kind = width(vocabulary)
     tokens = scratch(spark, "ids")
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(path, end_id), "doc_id long, ids binary").write.option("compression", "zstd").parquet(tokens)
-    rows = spark.read.parquet(tokens)
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(path, end_id, kind), "doc_id long, ids binary").write.option("compression", "zstd").parquet(tokens)
+    rows = spark.read.schema("doc_id long, ids binary").parquet(tokens)
     counts = np.zeros(vocabulary, np.int64)
     total = 0
-    for i, n in rows.mapInArrow(_count(vocabulary), "id long, n long").groupBy("id").agg(F.sum("n")).collect():
+    for i, n in rows.mapInArrow(_count(vocabulary, kind), "id long, n long").groupBy("id").agg(F.sum("n")).collect():
         counts[i] = n
         total += n
     table = Table(counts)
     shared = spark.sparkContext.broadcast(table)
     parts = max(1, min(-(-total // file_ids), 100_000))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(_encode(shared, file_ids), "part long, shard long, n_ids long, content binary").write.option("compression", "none").parquet(f"{to}/files")
+    ordered.mapInArrow(_encode(shared, file_ids, kind), "part long, shard long, n_ids long, content binary").write.option("compression", "none").parquet(f"{to}/files")
     spark.createDataFrame([(table.freq.astype("<u4").tobytes(),)], "freq binary").coalesce(1).write.parquet(f"{to}/table")
+    drop(spark, tokens)
     return table
 
 

@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), one of this process, removed at exit."""
+    """The folder of spark.checkpoint.dir, which all executors share; where it is unset, one of this process, removed at exit,
+    in local mode only (what one process writes it can read)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         at = getattr(folder, "own", None)
         if at is None:
             at = folder.own = tempfile.mkdtemp(prefix="stemforge-")
@@ -23,7 +31,19 @@ def folder(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{folder(spark)}/stemforge/{name}-{uuid.uuid4().hex}"
+    at = f"{folder(spark)}/stemforge/{name}-{uuid.uuid4().hex}"
+    _made.append(at)
+    return at
+
+
+@contextmanager
+def swept(spark: SparkSession):
+    """Scratch paths that are made within are removed at the end, but for the last one: the result."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        drop(spark, *_made[before:-1])
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -45,3 +65,8 @@ def drop(spark: SparkSession, *paths: str) -> None:
 def remove(df: DataFrame) -> None:
     """Remove what ``saved`` wrote for df."""
     drop(df.sparkSession, *{f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def renamed(docs: DataFrame, *needed: str) -> DataFrame:
+    """docs with places for names, but for the ``needed`` columns: names of any form pass through Arrow functions so, and clash with none."""
+    return docs.toDF(*(c if c in needed else f"_{i}" for i, c in enumerate(docs.columns)))

@@ -13,7 +13,9 @@ positive s' of its different passages (a passage that is repeated word for word
 
 Defined results: null, empty and word-free texts have no passage and get the score of no evidence; labels other than
 0 and 1 are not learnt from; of several labels of one doc_id the largest counts; without labels of both kinds every
-score is 0; texts of any length are read whole.
+score is 0; texts of any length are read whole; rows with a null doc_id are scored (their held_out is false) and not
+learnt from; repeated rows get equal scores; units of equal certainty are taken in order of their hashes; extra columns,
+whatever their names, are ignored by ``score`` and kept by ``civil_documents``; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .shared import renamed
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_passages int, evidence double"
 PREFIXES = (4, 5, 6, 7)
@@ -283,4 +286,5 @@ def civil_documents(spark: SparkSession, docs: DataFrame, model: Model, *, limit
         for batch, _, _, p in scan(source):
             yield batch.filter(pa.array(p < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = renamed(docs, "text")
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

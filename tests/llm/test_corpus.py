@@ -306,6 +306,53 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(spark, docs, nothing, F.lit(False)).collect()} == {0.0}
 
 
+def test_calibration_is_the_likeliest():
+    """lambda, K and the logistic coefficients against searches over a fine grid."""
+    rng = np.random.default_rng(5)
+    values, p = np.array([-0.25, -1.0, 2.0, 3.5]), np.array([0.9, 0.06, 0.03, 0.01])
+    root = toxicity._lambda(values, p)
+    grid = np.linspace(0.01, 4, 400_001)
+    f = (p[:, None] * np.exp(np.outer(values, grid))).sum(0) - 1
+    assert abs(root - grid[np.flatnonzero(f > 0)[0]]) < 1e-4 and root > 0
+    x = rng.gamma(1.0, 1.0, 400)
+    y = (rng.random(400) < 1 / (1 + np.exp(2 - 1.5 * x))).astype(float)
+    a, b = toxicity._logistic(x, y)
+    loss = lambda a, b: np.logaddexp(0, a + b * x).sum() - y @ (a + b * x) + 1e-2 * (a * a + b * b)
+    assert all(loss(a, b) <= loss(a + d, b + e) for d in (-0.01, 0, 0.01) for e in (-0.01, 0, 0.01))
+
+
+def test_toxicity_score_is_its_formula(spark):
+    """Scores of the fitted model from brute-force segments: Gumbel constants by definition, evidence, logistic."""
+    rng = random.Random(14)
+    rows = [(i, " ".join([*(f"w{rng.randint(0, 60)}" for _ in range(rng.randint(5, 40))), *(["vile", "scum"] * (i % 4 == 0))])) for i in range(240)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    m = toxicity.fit(spark, docs, labels)
+    clean_best, clean_size = [], []
+    want = {}
+    for i, t in rows:
+        w = K.Words(pa.array([t]), K.ALNUM)
+        x = m.weights(w)
+        found = {w.hash[s:e].tobytes(): v for s, e, v in reversed(brute_segments(x))}
+        want[i] = sum(max(0.0, m.scale * v - m.log_k - math.log(len(x))) for v in found.values())
+        if i % 4:
+            clean_best.append(max(found.values(), default=0.0))
+            clean_size.append(len(x))
+    # the likeliest K of P(best < s) = exp(-K n e^(-lambda s))
+    assert abs(m.log_k - math.log(len(clean_best) / sum(n * math.exp(-m.scale * s) for n, s in zip(clean_size, clean_best, strict=True)))) < 1e-9
+    for r in toxicity.score(spark, docs, m, F.lit(False)).collect():
+        assert abs(r.evidence - want[r.doc_id]) < 1e-9 and abs(r.score - 1 / (1 + math.exp(-m.a - m.b * math.log1p(want[r.doc_id])))) < 1e-9
+
+
+def test_toxicity_edges(spark):
+    docs = spark.createDataFrame([(1, "vile " * 60_000, 2.0, "x"), (None, "vile scum", 2.0, "x"), (None, None, 2.0, "x"), (2, "calm", 2.0, "x"), (2, "calm", 2.0, "x")], "doc_id long, text string, score double, `a.b` string")
+    h = np.sort(K.Words(pa.array(["vile scum"]), K.ALNUM).hash)
+    m = toxicity.Model(h, np.full(2, 2.0), np.full(2, 9.0), 0.25, scale=1.0, log_k=0.0, a=-3.0, b=3.0)
+    assert sorted((r.doc_id or 0, r.predicted, r.held_out) for r in toxicity.score(spark, docs, m, Q.remainder(5) == 0).collect())[:2] == [(0, 0, False), (0, 1, False)]
+    kept = toxicity.civil_documents(spark, docs, m)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 2]
+    assert toxicity.score(spark, docs.limit(0), m, F.lit(False)).count() == 0
+
+
 def test_toxicity_of_repeated_words(spark):
     """Words that came before in harmless context, or in an equal passage, count again."""
     unit = {w: K.Words(pa.array([w]), K.ALNUM).hash[0] for w in ("vile", "scum", "filth")}
@@ -339,6 +386,13 @@ def test_lm(spark, head):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_lm_edges(spark):
+    docs = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a b " * 50_000)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_tokens, r.held_out, r.train_tokens) for r in lm.score(spark, docs, F.col("doc_id") == 2).collect())
+    assert got == [(0, 4, False, 12), (1, 4, False, 12), (1, 4, False, 12), (2, 100_001, True, 12)]
+    assert lm.score(spark, docs.limit(0), F.lit(False)).count() == 0
+
+
 def test_lm_without_training(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = lm.score(spark, docs, F.lit(True)).collect()
@@ -499,6 +553,21 @@ def test_forward_backward_is_exact():
             assert np.allclose(got[lo:hi], p / p.sum(1, keepdims=True))
 
 
+def test_langid_learns_every_label(spark):
+    """Ninety labels, one of which has long texts alone; clashing columns, repeated rows and null ids."""
+    rng = random.Random(11)
+    syllable = [[f"{a}{b}{c}" for c in "aeiou"[: 2 + k % 3]] for k, (a, b) in enumerate((a, b) for a in "bcdfghjklm" for b in "npqrstvwx")]
+    text = lambda k, n: " ".join("".join(rng.choice(syllable[k]) for _ in range(3)) for _ in range(n))
+    rows = [(i, text(i % 90, 40 if i % 90 else 9000), f"l{i % 90:02}") for i in range(540)]
+    docs = spark.createDataFrame([(*r, 0.5) for r in [*rows, rows[3], rows[3], (None, rows[4][1], "l04")]], "doc_id long, text string, lang string, score double")
+    m = langid.fit(docs, Q.remainder(4) != 2, bits=15)
+    assert len(m.langs) == 90
+    got = langid.predict(spark, docs, m, Q.remainder(4) == 2).collect()
+    assert len(got) == 543 and sum(r.lang_pred == f"l{r.doc_id % 90:02}" for r in got if r.doc_id is not None and r.held_out) > 0.9 * sum(r.held_out for r in got)
+    assert [r.held_out for r in got if r.doc_id is None] == [False]
+    assert langid.predict(spark, docs.limit(0), m, F.lit(False)).count() == 0
+
+
 def test_langid_without_training(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     m = langid.fit(docs, F.lit(True))
@@ -518,6 +587,22 @@ def test_pipeline(spark, sf):
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == kept and kept
 
 
+@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+def test_registered_queries_run(spark, sf, name):
+    """Every registered query gives a row (op6: at least a piece) of each row of its table, with the contract's columns first."""
+    got = Q.QUERIES[name](spark, sf)
+    first = {
+        "op1_toxicity": "doc_id held_out score predicted", "op2_ngram_jaccard": "doc_id n_shingles component_id", "op3_lm_score": "doc_id held_out n_tokens n_known train_tokens base_score score",
+        "op4_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated", "op5_language_id": "doc_id held_out lang_pred score", "op6_pack": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+        "op7_rans": "doc_id start n_tokens ids_crc32", "op8_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op9_token_counts": "doc_id n_bytes n_tokens over_limit", "op10_html_text": "page_id url text n_chars",
+    }[name].split()
+    assert got.columns[: len(first)] == first
+    key = first[0]
+    ids = sorted(r[0] for r in got.select(key).collect())
+    every = sorted(r[0] for r in Q.table(spark, sf, "pages" if name == "op10_html_text" else "documents").select(key).collect())
+    assert ids == every if name != "op6_pack" else sorted(set(ids)) == sorted(set(every))
+
+
 def test_pipeline_of_nothing(spark, sf):
     docs = spark.createDataFrame([], Q.table(spark, sf, "documents").schema)
     for _, stage in corpus_pipeline.STAGES:

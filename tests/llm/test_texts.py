@@ -151,6 +151,25 @@ def test_packing(spark, tokens, segments, loss):
         assert at <= tokens and len(pieces) <= segments and sum(r.loss_tokens for r in pieces) <= (loss or tokens)
 
 
+def test_packing_of_prompts(spark):
+    """Tokens of prompts bear no loss, and a loss limit below the token limit binds: sequences of answers hold more prompt."""
+    from pyspark.sql import functions as F
+
+    path, rng = public.path("word_bpe_49k.json"), random.Random(3)
+    rows = [(i, " ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randint(1, 90))), rng.choice([0, 5, 20, 200, None])) for i in range(200)] + [(None, "again a row", 1), (7, "again a row", 1), (7, "again a row", 1)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, silent int, length string").repartition(2)
+    got = pack.pack(docs, path, tokens=64, segments=8, loss=24, prompt=F.col("silent")).collect()
+    silent = {i: n or 0 for i, _, n in rows}
+    by_seq = {}
+    for r in got:
+        by_seq.setdefault(r.sequence_id, []).append(r)
+        if r.doc_id != 7:
+            assert r.loss_tokens == max(0, r.start + r.length - max(r.start + 1, silent[r.doc_id]))
+    sums = [tuple(map(sum, zip(*((r.length, 1, r.loss_tokens) for r in pieces), strict=True))) for pieces in by_seq.values()]
+    assert all(t <= 64 and n <= 8 and v <= 24 for t, n, v in sums) and max(v for _, _, v in sums) == 24 and max(t for t, _, _ in sums) > 50
+    assert sum(r.length for r in got) == sum({(r.doc_id, i): r.doc_tokens for i, r in enumerate(got) if r.start == 0}.values())
+
+
 def test_packing_of_nothing(spark):
     assert pack.pack(frame(spark, []), public.path("word_bpe_49k.json")).count() == 0
 
@@ -189,6 +208,28 @@ def test_token_files(spark):
         start += len(ids)
 
 
+def test_token_files_keep_repeats_null_ids_and_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    rows = [(5, "b b"), (5, "a"), (5, "a"), (None, "null id"), (2, "word " * 50_000), (9, None), (9, "")]
+    docs = spark.createDataFrame([(*r, b"x") for r in rows], "doc_id long, text string, ids binary").repartition(3)
+    to = scratch(spark, "test")
+    rans.write_ids(spark, docs, path, to, file_ids=20_000)
+    lib = Tokenizer.from_file(path)
+    ids = lambda t: np.array([*lib.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+    got = sorted(rans.read_ids(spark, to).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, 2, 5, 5, 5, 9, 9] and [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == sorted((i or 0, len(ids(t)), zlib.crc32(ids(t).tobytes())) for i, t in rows)
+
+
+def test_ids_beyond_two_bytes():
+    assert rans.width(49_408) == rans.width(1 << 16) == "<u2" and rans.width((1 << 16) + 1) == "<u4"
+    ids = np.array([70_000, 3, 99_999, 70_000], np.uint32)
+    t = rans.Table(np.bincount(ids, minlength=100_000))
+    assert (rans.read_file(t, rans.write_file(t, 0, [1], np.array([4]), ids))[3] == ids).all()
+
+
 def test_token_files_of_nothing(spark):
     to = scratch(spark, "test")
     rans.write_ids(spark, frame(spark, []), public.path("word_bpe_49k.json"), to)
@@ -240,7 +281,7 @@ def test_decontamination_of_repeats(spark, block):
     items = [("i1", "ab cd " * 400), ("i2", "x " * 500), ("i3", "ab"), (None, "null id here"), ("i1", "second text of the same id with ten words or more in it")]
     docs = ["ab cd " * 600, "cd ab " * 30, "x " * 3000, "y x " * 100, "null id here", "x " * 9 + "y"]
     rows = [(i, t, "q", 1) for i, t in enumerate(docs)] + [(1, docs[1], "q", 1), (None, "x " * 20, "q", 1), (50, None, "q", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, item_id string, n_hit int").repartition(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string, item_id string, `n.hit` int").repartition(3)
     b = spark.createDataFrame(items, "item_id string, text string")
     got = sorted((tuple(r) for r in decontaminate.decontaminate(spark, df, b, block_bytes=block).collect()), key=str)
     want = brute_hits([r[1] for r in rows], [(i, t) for i, t in items if i is not None])
