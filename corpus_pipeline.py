@@ -41,10 +41,14 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The packed pieces; every stage's result is written to the shared folder and read again."""
-    from stemforge.llm.shared import saved
+    """The packed pieces; every stage's result is written to the shared folder and read again, and its scratch tables are removed."""
+    from stemforge.llm.shared import remove, saved, swept
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with swept(spark):
+            docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if name != STAGES[0][0]:
+            remove(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

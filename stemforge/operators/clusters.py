@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 
 import pandas as pd
@@ -10,12 +14,15 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the folder of spark.checkpoint.dir (one of the session's own where it is unset, as in tests)."""
+    """df with its lineage cut in the folder of spark.checkpoint.dir; where it is unset, one of the session's own, in local mode only."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        at = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stemforge-")
+        at = context.getConf().get("spark.checkpoint.dir")
+        if not at:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+            at = tempfile.mkdtemp(prefix="stemforge-")
+            atexit.register(shutil.rmtree, at, True)
         context.setCheckpointDir(f"{at}/stemforge-{uuid.uuid4().hex}")
     return df.checkpoint()
 
