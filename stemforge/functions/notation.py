@@ -97,7 +97,7 @@ def serial_connected(serial: Column) -> Column:
     """The connected parts of a serial structure, in order."""
     n = F.size(serial)
     closed = lambda i: F.size(F.array_intersect(F.slice(serial, 1, i), F.slice(serial, i + 1, n))) == 0
-    cuts = F.filter(F.sequence(F.lit(1), n), closed)
+    cuts = F.when(n > 0, F.filter(F.sequence(F.lit(1), n), closed)).otherwise(F.array().cast("array<int>"))
     return F.transform(cuts, lambda c, k: F.slice(serial, F.when(k == 0, 0).otherwise(F.get(cuts, k - 1)) + 1, c - F.when(k == 0, 0).otherwise(F.get(cuts, k - 1))))
 
 

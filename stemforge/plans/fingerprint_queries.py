@@ -108,7 +108,7 @@ def distance_extremes(spark, sf):
 
 @query(
     "all_pairs_filled",
-    f"""WITH {B.MOTIFS_SQL.replace('FROM lineitem', 'FROM lineitem WHERE l_partkey % 100 = 3')},
+    f"""WITH {B.MOTIFS_SQL},
 size AS (SELECT id, count(*) AS n FROM fp GROUP BY 1),
 shr AS (SELECT a.id AS id1, b.id AS id2, count(*) AS n_both FROM fp a JOIN fp b ON a.code = b.code AND a.id < b.id GROUP BY 1, 2),
 ids AS (SELECT DISTINCT s_suppkey AS id FROM supplier)
@@ -116,7 +116,7 @@ SELECT p.id AS id1, q.id AS id2, round(coalesce(n_both / (x.n + y.n - n_both), 0
 FROM ids p JOIN ids q ON p.id < q.id LEFT JOIN shr ON id1 = p.id AND id2 = q.id LEFT JOIN size x ON x.id = p.id LEFT JOIN size y ON y.id = q.id""",
 )
 def all_pairs_filled(spark, sf):
-    fp = B.motifs(spark, sf).where("code % 100 = 3")
+    fp = B.motifs(spark, sf)
     ids = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")).distinct()
     return rounded(D.all_pairs(ids, D.measures(fp)).select("id1", "id2", "jaccard", "bray_curtis"), "jaccard", "bray_curtis")
 
@@ -143,31 +143,36 @@ def motif_set_compare(spark, sf):
     return rounded(out, "recall", "precision", "jaccard")
 
 
-_SOME = f"{B.MOTIFS_SQL.replace('FROM lineitem', 'FROM lineitem WHERE l_partkey % 40 = 1')}"
-
-
 @query(
     "fill_missing",
-    f"""WITH {_SOME}
+    f"""WITH {B.MOTIFS_SQL}
 SELECT i.id, c.code, coalesce(fp.cnt, 0) AS cnt FROM (SELECT DISTINCT id FROM fp) i CROSS JOIN (SELECT DISTINCT code FROM fp) c LEFT JOIN fp ON fp.id = i.id AND fp.code = c.code""",
 )
 def fill_missing(spark, sf):
-    return P.fill_missing(B.motifs(spark, sf).where("code % 40 = 1"))
+    return P.fill_missing(B.motifs(spark, sf))
 
 
 @query(
     "binary_matrix_long",
-    f"""WITH {_SOME}
+    f"""WITH {B.MOTIFS_SQL}
 SELECT i.id, c.code, CASE WHEN fp.cnt IS NULL THEN 0 ELSE 1 END AS present FROM (SELECT DISTINCT id FROM fp) i CROSS JOIN (SELECT DISTINCT code FROM fp) c LEFT JOIN fp ON fp.id = i.id AND fp.code = c.code""",
 )
 def binary_matrix_long(spark, sf):
-    return P.binary_matrix(B.motifs(spark, sf).where("code % 40 = 1"))
+    return P.binary_matrix(B.motifs(spark, sf))
+
+
+_BRAND_NAMES = [f"Brand#{i}" for i in range(1, 26)]
 
 
-@query("matrix_pivot", f"WITH {B.MOTIFS_SQL}\nSELECT id, {', '.join(f'CAST(coalesce(sum(cnt) FILTER (WHERE code = {c}), 0) AS BIGINT) AS m{c}' for c in (1, 2, 3))} FROM fp WHERE code IN (1, 2, 3) GROUP BY 1")
+@query(
+    "matrix_pivot",
+    f"SELECT l_suppkey AS id, {', '.join(f'CAST(coalesce(sum(1) FILTER (WHERE p_brand = {chr(39)}{b}{chr(39)}), 0) AS BIGINT) AS {chr(34)}{b}{chr(34)}' for b in _BRAND_NAMES)} FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1",
+)
 def matrix_pivot(spark, sf):
-    d = B.motifs(spark, sf).where("code in (1, 2, 3)").withColumn("code", F.concat(F.lit("m"), F.col("code").cast("string")))
-    return P.pivoted(d, ["m1", "m2", "m3"])
+    """A column a brand, over all rows."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("code"))
+    d = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"), "l_partkey").join(p, "l_partkey").groupBy("id", "code").agg(F.count(F.lit(1)).alias("cnt"))
+    return P.pivoted(d, _BRAND_NAMES)
 
 
 @query("motif_index", f"WITH {B.MOTIFS_SQL}\nSELECT code, dense_rank() OVER (ORDER BY code) - 1 AS idx FROM (SELECT DISTINCT CAST(code AS VARCHAR) AS code FROM fp)")
@@ -182,7 +187,7 @@ def bitmap_sizes(spark, sf):
     return bits.groupBy("id").agg(F.sum(F.expr("bitmap_count(bits)")).alias("n"))
 
 
-_PARENTS = "up AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS code, p_brand AS parent FROM part UNION SELECT DISTINCT p_brand, p_type FROM part WHERE p_partkey % 10 = 0)"
+_PARENTS = "up AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS code, p_brand AS parent FROM part UNION SELECT DISTINCT p_brand, p_type FROM part)"
 
 
 @query(
@@ -194,7 +199,7 @@ SELECT id, code, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT id, CAST(code AS V
 )
 def add_parents(spark, sf):
     p = table(spark, sf, "part")
-    up = p.select(F.col("p_partkey").cast("string").alias("code"), F.col("p_brand").alias("parent")).union(p.where("p_partkey % 10 = 0").select("p_brand", "p_type")).distinct()
+    up = p.select(F.col("p_partkey").cast("string").alias("code"), F.col("p_brand").alias("parent")).union(p.select("p_brand", "p_type")).distinct()
     return P.add_parents(B.motifs(spark, sf).withColumn("code", F.col("code").cast("string")), E.ancestors(up))
 
 
@@ -313,16 +318,21 @@ def kmeans_l1(spark, sf):
 
 @query(
     "cooccurrence",
-    """WITH runs AS (SELECT r AS run, vec_id AS id, label % r AS cluster FROM embeddings, (VALUES (2), (3), (5)) t(r) WHERE vec_id < 200)
+    """WITH runs AS (SELECT r AS run, vec_id AS id, label % r AS cluster FROM embeddings, (VALUES (2), (3), (5)) t(r))
 SELECT a.id AS id1, b.id AS id2, count(*) AS together FROM runs a JOIN runs b ON a.run = b.run AND a.cluster = b.cluster AND a.id < b.id GROUP BY 1, 2""",
 )
 def cooccurrence(spark, sf):
-    e = table(spark, sf, "embeddings").where("vec_id < 200")
+    e = table(spark, sf, "embeddings")
     runs = e.select(F.explode(F.array(F.lit(2), F.lit(3), F.lit(5))).alias("run"), F.col("vec_id").alias("id"), "label").select("run", "id", (F.col("label") % F.col("run")).alias("cluster"))
     return C.cooccurrence(runs)
 
 
-@query("consensus_clusters")
+@query(
+    "consensus_clusters",
+    """WITH RECURSIVE runs AS (SELECT r AS run, vec_id AS id, label % r AS cluster FROM embeddings, (VALUES (2), (3), (5)) t(r)),
+own AS (SELECT id, string_agg(cluster, ',' ORDER BY run) AS k FROM runs GROUP BY 1)
+SELECT id, min(id) OVER (PARTITION BY k) AS cluster FROM own""",
+)
 def consensus_clusters(spark, sf):
     e = table(spark, sf, "embeddings")
     runs = e.select(F.explode(F.array(F.lit(2), F.lit(3), F.lit(5))).alias("run"), F.col("vec_id").alias("id"), "label").select("run", "id", (F.col("label") % F.col("run")).alias("cluster"))

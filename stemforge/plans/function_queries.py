@@ -182,13 +182,34 @@ def serial_parts(spark, sf):
     return serials(spark, sf).select("sid", F.size(T.serial_connected(F.col("serial"))).cast("long").alias("parts"))
 
 
-@query("serial_graph_edges")
+_SPANS = f"""{_SERIAL},
+q AS (SELECT sid, serial, unnest(list_distinct(serial)) AS stem FROM s),
+spans AS (SELECT sid, stem, list_position(serial, stem) - 1 AS l, len(serial) - list_position(list_reverse(serial), stem) AS r FROM q)"""
+
+
+@query(
+    "serial_graph_edges",
+    f"""WITH {_SPANS}
+SELECT a.sid, CASE WHEN a.r > b.r THEN 'i' ELSE 'o' END AS e, count(*) AS n FROM spans a JOIN spans b ON a.sid = b.sid AND a.l < b.l AND b.l < a.r GROUP BY 1, 2""",
+)
 def serial_graph_edges(spark, sf):
     g = serials(spark, sf).select("sid", F.explode(T.serial_to_graph(F.col("serial"))).alias("x"))
     return g.groupBy("sid", "x.e").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("brackets_round_trip")
+@query(
+    "brackets_round_trip",
+    f"""WITH RECURSIVE {_SPANS.strip()},
+o AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY l) AS k, count(*) OVER (PARTITION BY sid) AS n FROM spans),
+g AS (SELECT sid, 0 AS k, CAST([[], [], [], []] AS STRUCT(l BIGINT, r BIGINT)[][]) AS used FROM (SELECT DISTINCT sid FROM o)
+  UNION ALL SELECT sid, k, list_transform(used, lambda mine, i: CASE WHEN i = kind THEN list_append(mine, {{'l': l, 'r': r}}) ELSE mine END)
+  FROM (SELECT o.sid, o.k, o.l, o.r, g.used, list_position(list_transform(g.used, lambda mine: len(list_filter(mine, lambda p: p.l < o.l AND o.l < p.r AND p.r < o.r)) = 0), true) AS kind
+    FROM g JOIN o ON o.sid = g.sid AND o.k = g.k + 1) WHERE kind IS NOT NULL AND kind > 0),
+done AS (SELECT g.sid, used, o.n FROM g JOIN o ON o.sid = g.sid AND o.k = g.k AND g.k = o.n),
+c AS (SELECT sid, i, unnest(used[i]) AS p FROM (SELECT sid, used, unnest([1, 2, 3, 4]) AS i FROM done)),
+t AS (SELECT sid, p.l AS place, substr('([{{<', i, 1) AS ch FROM c UNION ALL SELECT sid, p.r, substr(')]}}>', i, 1) FROM c)
+SELECT sid, string_agg(ch, '' ORDER BY place) AS vienna, true AS same FROM t GROUP BY 1""",
+)
 def brackets_round_trip(spark, sf):
     p = serials(spark, sf).select("sid", T.serial_to_pairs(F.col("serial")).alias("p"))
     p = p.withColumn("vienna", T.pairs_to_brackets("p")).where("vienna is not null")
@@ -208,27 +229,71 @@ def enumerate_pairings(spark, sf):
     return E.pairings(spark, 5).groupBy("stems").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("motif_levels")
+@query("motif_parents")
+def motif_parents(spark, sf):
+    return E.motif_table(spark, 5)[1]
+
+
+_CONNECTED = """r AS (SELECT n AS stems, 1 AS p, [0] AS serial, [0] AS "open", 1 AS used FROM range(2, 6) t(n)
+  UNION ALL SELECT stems, p + 1, x.serial, x."open", x.used FROM (SELECT stems, p, unnest(list_concat(
+    CASE WHEN used < stems THEN [{'serial': list_append(serial, used::INT), 'open': list_append("open", used::INT), 'used': used + 1}] ELSE [] END,
+    CASE WHEN p = 2 * stems - 1 OR len("open") > 1 THEN list_transform("open", lambda s: {'serial': list_append(serial, s), 'open': list_filter("open", lambda y: y <> s), 'used': used}) ELSE [] END)) AS x
+    FROM r WHERE p < 2 * stems) q),
+m AS (SELECT stems, serial FROM r WHERE p = 2 * stems AND len("open") = 0 AND used = stems)"""
+
+
+@query(
+    "motif_levels",
+    f"""WITH RECURSIVE {_CONNECTED},
+perm AS (SELECT n, 0 AS k, CAST([] AS BIGINT[]) AS o FROM range(2, 6) t(n) UNION ALL SELECT n, k + 1, list_append(o, x) FROM (SELECT n, k, o, unnest(list_filter(range(n), lambda x: NOT list_contains(o, x))) AS x FROM perm WHERE k < n)),
+spans AS (SELECT stems, serial, list_transform(range(stems), lambda x: list_position(serial, x::INT)) AS l, list_transform(range(stems), lambda x: len(serial) + 1 - list_position(list_reverse(serial), x::INT)) AS r FROM m),
+named AS (SELECT stems, serial, list_aggregate(flatten(list_transform(range(1, stems + 1), lambda i: list_transform(range(i + 1, stems + 1), lambda j:
+    CASE WHEN r[o[i] + 1] < l[o[j] + 1] OR r[o[j] + 1] < l[o[i] + 1] THEN '.' WHEN l[o[i] + 1] < l[o[j] + 1] AND r[o[i] + 1] > r[o[j] + 1] THEN 'i' WHEN l[o[i] + 1] > l[o[j] + 1] AND r[o[i] + 1] < r[o[j] + 1] THEN 'j' ELSE 'o' END))), 'string_agg', '') AS key
+  FROM spans JOIN perm ON perm.n = stems AND perm.k = stems),
+least AS (SELECT stems, serial, min(key) AS key FROM named GROUP BY 1, 2)
+SELECT CAST(stems AS INTEGER) AS n_stems, count(DISTINCT key) AS n, CAST(sum(count(DISTINCT key)) OVER (ORDER BY stems) AS BIGINT) AS total FROM least GROUP BY stems""",
+)
 def motif_levels(spark, sf):
-    return E.level_counts(E.motif_table(spark, 4)[0])
+    """Motifs of two to five stems: as many as there are graphs that no renumbering makes equal."""
+    return E.level_counts(E.motif_table(spark, 5)[0])
 
 
-@query("motif_parents")
-def motif_parents(spark, sf):
-    return E.motif_table(spark, 4)[1]
+_MATCHINGS = """r AS (SELECT n AS stems, 1 AS p, [0] AS serial, [0] AS "open", 1 AS used FROM range(1, 7) t(n)
+  UNION ALL SELECT stems, p + 1, x.serial, x."open", x.used FROM (SELECT stems, p, unnest(list_concat(
+    CASE WHEN used < stems THEN [{'serial': list_append(serial, used::INT), 'open': list_append("open", used::INT), 'used': used + 1}] ELSE [] END,
+    list_transform("open", lambda s: {'serial': list_append(serial, s), 'open': list_filter("open", lambda y: y <> s), 'used': used}))) AS x
+    FROM r WHERE p < 2 * stems) q),
+m AS (SELECT stems, serial FROM r WHERE p = 2 * stems AND len("open") = 0 AND used = stems)"""
+#: A list of stem numbers renumbered by first appearance.
+_RENUMBERED = "list_transform({x}, lambda z: len(list_distinct({x}[1:list_position({x}, z)])) - 1)"
 
 
-@query("grown_structures")
+@query(
+    "grown_structures",
+    f"""WITH RECURSIVE {_MATCHINGS},
+b AS (SELECT stems, serial, list_reverse(serial) AS back FROM m),
+k AS (SELECT stems, array_to_string(serial, ' ') AS a, array_to_string({_RENUMBERED.format(x='back')}, ' ') AS b FROM b)
+SELECT CAST(stems AS INTEGER) AS stems, count(DISTINCT least(a, b)) AS n FROM k GROUP BY 1""",
+)
 def grown_structures(spark, sf):
-    return E.grow_structures(spark, 4).groupBy("stems").agg(F.count(F.lit(1)).alias("n"))
+    return E.grow_structures(spark, 6).groupBy("stems").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("subtracted_structures")
+@query(
+    "subtracted_structures",
+    f"""WITH RECURSIVE {_MATCHINGS.replace('range(1, 7)', 'range(2, 6)')},
+f AS (SELECT serial, list_filter(serial, lambda x: x <> gone) AS rest FROM (SELECT serial, unnest(list_distinct(serial)) AS gone FROM m)),
+c AS (SELECT serial, rest, list_filter(range(1, len(rest) + 1), lambda i: len(list_intersect(rest[1:i], rest[i + 1:])) = 0) AS cuts FROM f),
+p AS (SELECT serial, rest[begin + 1:finish] AS part FROM (SELECT serial, rest, unnest(cuts) AS finish, unnest(list_concat([0], cuts[:-2])) AS begin FROM c))
+SELECT DISTINCT array_to_string(serial, ',') AS serial, array_to_string({_RENUMBERED.format(x='part')}, ',') AS less FROM p WHERE len(part) > 2""",
+)
 def subtracted_structures(spark, sf):
-    from ..functions.notation import serial_from_text
-
-    s = spark.createDataFrame([("0,1,0,2,1,2",), ("0,1,1,2,2,0",), ("0,0,1,1",)], "t string").select(serial_from_text(F.col("t")).alias("serial"))
-    return E.subtract_stem(s).select(F.array_join("serial", ",").alias("serial"), F.array_join("less", ",").alias("less"))
+    """Every structure of two to five stems without one of its stems."""
+    now = grow = spark.sql("select array(0, 0) as serial")
+    for _ in range(4):
+        grow = E.add_stem_all(grow)
+        now = now.unionAll(grow)
+    return E.subtract_stem(now).select(F.array_join("serial", ",").alias("serial"), F.array_join("less", ",").alias("less"))
 
 
 @query("random_structures")

@@ -220,7 +220,21 @@ def stem_dedup_containment(spark, sf):
     return S.drop_contained(B.stems(spark, sf)).select("sid", "v", *R.HALF)
 
 
-@query("stem_dedup_runs")
+@query(
+    "stem_dedup_runs",
+    f"""WITH RECURSIVE {B.STEMS_SQL.strip()},
+o AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY lbegin, rbegin, lbegin - lend, v) AS k FROM stems),
+r AS (SELECT sid, k, v, lbegin, lend, rbegin, rend, true AS kept FROM o WHERE k = 1
+  UNION ALL SELECT o.sid, o.k,
+    CASE WHEN o.lend <= r.lend AND o.rbegin >= r.rbegin AND o.rend <= r.rend AND o.lbegin >= r.lbegin THEN r.v ELSE o.v END,
+    CASE WHEN o.lend <= r.lend AND o.rbegin >= r.rbegin AND o.rend <= r.rend AND o.lbegin >= r.lbegin THEN r.lbegin ELSE o.lbegin END,
+    CASE WHEN o.lend <= r.lend AND o.rbegin >= r.rbegin AND o.rend <= r.rend AND o.lbegin >= r.lbegin THEN r.lend ELSE o.lend END,
+    CASE WHEN o.lend <= r.lend AND o.rbegin >= r.rbegin AND o.rend <= r.rend AND o.lbegin >= r.lbegin THEN r.rbegin ELSE o.rbegin END,
+    CASE WHEN o.lend <= r.lend AND o.rbegin >= r.rbegin AND o.rend <= r.rend AND o.lbegin >= r.lbegin THEN r.rend ELSE o.rend END,
+    NOT (o.lend <= r.lend AND o.rbegin >= r.rbegin AND o.rend <= r.rend AND o.lbegin >= r.lbegin)
+  FROM r JOIN o ON o.sid = r.sid AND o.k = r.k + 1)
+SELECT sid, v, lbegin, lend, rbegin, rend FROM r WHERE kept""",
+)
 def stem_dedup_runs(spark, sf):
     s = B.stems(spark, sf).withColumn("lvienna", F.repeat(F.lit("("), (F.col("lend") - F.col("lbegin") + 1).cast("int")))
     return S.drop_contained_runs(s).select("sid", "v", *R.HALF)
@@ -276,7 +290,22 @@ for _case in _MERGE:
     _merge_query(_case)
 
 
-@query("merged_stems")
+_PAIR_OVER = "(x.a <= y.b AND y.a <= x.b AND x.c <= y.d AND y.c <= x.d AND abs((x.a + x.b + x.c + x.d) - (y.a + y.b + y.c + y.d)) / 4 <= 6)"
+_PAIR_NEAR = f"({_PAIR_OVER} OR (y.a - x.b - 1 BETWEEN 0 AND 4 AND x.c - y.d - 1 BETWEEN 0 AND 4) OR (x.a <= y.a AND y.b <= x.b AND x.c <= y.c AND y.d <= x.d))"
+
+
+@query(
+    "merged_stems",
+    f"""WITH RECURSIVE {B.STEMS_SQL.strip()},
+m AS (SELECT sid, 0 AS step, list_sort(list({{'a': lbegin, 'b': lend, 'c': rbegin, 'd': rend}})) AS s FROM stems GROUP BY sid
+  UNION ALL SELECT sid, step + 1, list_sort(list_append(list_filter(s, lambda z, n: n <> i AND n <> j),
+      {{'a': least(s[i].a, s[j].a), 'b': greatest(s[i].b, s[j].b), 'c': least(s[i].c, s[j].c), 'd': greatest(s[i].d, s[j].d)}}))
+  FROM (SELECT sid, step, s, p.i AS i, p.j AS j FROM (SELECT sid, step, s, (
+      SELECT min({{'i': i, 'j': j}}) FROM (SELECT i, j, s[i] AS x, s[j] AS y FROM range(1, len(s) + 1) t(i), range(1, len(s) + 1) u(j) WHERE i < j) WHERE {_PAIR_NEAR}) AS p FROM m) WHERE p IS NOT NULL)),
+e AS (SELECT sid, arg_max(s, step) AS s FROM m GROUP BY sid)
+SELECT sid, CAST(n - 1 AS INTEGER) AS v, CAST(x.a AS INTEGER) AS lbegin, CAST(x.b AS INTEGER) AS lend, CAST(x.c AS INTEGER) AS rbegin, CAST(x.d AS INTEGER) AS rend
+FROM (SELECT sid, unnest(range(1, len(s) + 1)) AS n, unnest(s) AS x FROM e)""",
+)
 def merged_stems(spark, sf):
     return S.merge_stems(B.stems(spark, sf))
 
@@ -357,7 +386,16 @@ def stem_centers(spark, sf):
     return S.stem_centers(B.stems(spark, sf)).select("sid", "v", "center", "middle")
 
 
-@query("greedy_by_energy")
+@query(
+    "greedy_by_energy",
+    f"""WITH RECURSIVE {B.STEMS_SQL.strip()},
+o AS (SELECT stems.*, row_number() OVER (PARTITION BY sid ORDER BY -o_totalprice, v) AS k FROM stems JOIN orders ON o_orderkey = ok),
+r AS (SELECT sid, k, v, lbegin, lend, rbegin, rend, true AS ok, [{{'a': lbegin, 'b': lend, 'c': rbegin, 'd': rend}}] AS kept FROM o WHERE k = 1
+  UNION ALL SELECT sid, k, v, lbegin, lend, rbegin, rend, good, CASE WHEN good THEN list_append(kept, {{'a': lbegin, 'b': lend, 'c': rbegin, 'd': rend}}) ELSE kept END
+  FROM (SELECT o.sid, o.k, o.v, o.lbegin, o.lend, o.rbegin, o.rend, r.kept, len(list_filter(r.kept, lambda x: o.lbegin <= x.b AND o.lend >= x.a AND o.rbegin <= x.d AND o.rend >= x.c)) = 0 AS good
+    FROM r JOIN o ON o.sid = r.sid AND o.k = r.k + 1))
+SELECT sid, v, lbegin, lend, rbegin, rend FROM r WHERE ok""",
+)
 def greedy_by_energy(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("ok"), (-F.col("o_totalprice")).alias("energy"))
     return S.greedy_by_energy(B.stems(spark, sf).join(o, "ok")).select("sid", "v", *R.HALF)
