@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.notation import paired_in
 
 
-def pair_histogram(pairs: DataFrame) -> DataFrame:
-    """sid, pos, ppos, cnt over all sampled structures; both directions of a pair are rows of ``pairs``; ppos 0 is unpaired."""
-    return pairs.where("ppos > 0").groupBy("sid", "pos", "ppos").agg(F.count(F.lit(1)).alias("cnt"))
+def pair_histogram(pairs: DataFrame, unpaired: bool = False) -> DataFrame:
+    """sid, pos, ppos, cnt over all sampled structures; both directions of a pair are rows of ``pairs``; with ``unpaired`` unpaired bases (ppos 0) are counted too."""
+    return (pairs if unpaired else pairs.where("ppos > 0")).groupBy("sid", "pos", "ppos").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def frequent_pairs(histogram: DataFrame, n: int = 50) -> DataFrame:

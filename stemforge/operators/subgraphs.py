@@ -77,32 +77,42 @@ def neighbour_sets(edges: DataFrame) -> DataFrame:
     return both.groupBy("sid", F.col("u").alias("v")).agg(F.array_sort(F.collect_set(both["v"])).alias("members"))
 
 
-def merged_sets(candidates: list[set[int]], limit: int) -> list[set[int]]:
-    """Smallest set first, into every overlapping other set that stays within ``limit``; a set that fits nowhere is final."""
-    waiting = sorted(candidates, key=len, reverse=True)
-    final = []
-    while waiting:
-        small = waiting.pop()
-        fits = [i for i, s in enumerate(waiting) if small & s and len(small | s) <= limit]
-        for i in fits:
-            waiting[i] = waiting[i] | small
-        if not fits:
-            final.append(small)
-    return final
+def _pieces(near: dict[int, set[int]], limit: int) -> list[tuple[int, ...]]:
+    """Candidate vertex sets of at most ``limit``: each stem with all that are linked to it; where these are too many, the
+    stem with runs of them in order, so that each of its links lies in a piece."""
+    out = []
+    for v, around in near.items():
+        others = sorted(around - {v})
+        if len(others) < limit:
+            out.append((v, *others))
+        else:
+            out += [(v, *others[i : i + limit - 1]) for i in range(0, len(others), limit - 1)]
+    return out
 
 
 def segments_of(near: dict[int, set[int]], limit: int) -> list[list[int]]:
-    """Vertex sets of at most ``limit``: largest neighbour sets first while they cover something new, then merged.
-
-    A neighbour set of more than ``limit`` is skipped; a vertex that is only in such sets is in no segment."""
-    free, chosen = set(near), []
-    for v in sorted(near, key=lambda v: (len(near[v]), v), reverse=True):
-        if not free:
-            break
-        if len(near[v]) <= limit and near[v] & free:
-            chosen.append(near[v])
-            free -= near[v]
-    return sorted(sorted(s) for s in merged_sets(chosen, limit))
+    """Vertex sets of at most ``limit`` that cover all stems; near: each stem's neighbour set, itself included.
+
+    Sets are numbers with a bit a stem.  A candidate is taken, the larger first (of equal ones that of the greater stem),
+    while it has a stem that none before it has; pieces of sets beyond the limit only come after the whole ones.  Then, from
+    the smallest on, a set is laid into all larger ones that it meets where the union stays within the limit; what fits
+    nowhere is a segment."""
+    bit = {v: 1 << i for i, v in enumerate(sorted(near))}
+    ranked = sorted(((len(near[p[0]]) <= limit, len(p), p[0], sum(bit[w] for w in p)) for p in _pieces(near, limit)), reverse=True)
+    covered, layers = 0, []
+    for *_, mask in ranked:
+        if mask & ~covered:
+            covered |= mask
+            layers.insert(0, mask)
+    layers.sort(key=int.bit_count)  # stable: of equal sizes the one taken last comes first
+    final = []
+    for i, small in enumerate(layers):
+        hosts = [j for j in range(i + 1, len(layers)) if layers[j] & small and (layers[j] | small).bit_count() <= limit]
+        for j in hosts:
+            layers[j] |= small
+        if not hosts:
+            final.append(small)
+    return sorted([v for v, b in bit.items() if m & b] for m in final)
 
 
 def connected_subsets(near: dict[int, set[int]], k: int):
@@ -154,8 +164,8 @@ def exhaustive_fingerprint(edges: DataFrame, k: int = 7, limit: int = 20) -> Dat
     Structures become segments of at most ``limit`` stems, a row each, so a large structure spreads over tasks; a task
     sends counts by labelled key, and codes are computed once for each distinct key.  Edges of x are no links.
 
-    Not counted: subgraphs with stems of which every neighbour set (a stem and all linked to it) has more than ``limit``
-    stems, as no segment holds them; and subgraphs whose stems are not together in one segment."""
+    Every stem is in a segment.  Not counted: subgraphs whose stems are not together in one segment, which bounds the work
+    for structures with more stems than ``limit``."""
     sid = edges.schema["sid"].dataType.simpleString()
 
     def split(source):

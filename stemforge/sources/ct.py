@@ -24,7 +24,11 @@ def is_data(f: Column) -> Column:
 
 def read(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """file, struct_no, seq_id, seq_len, energy, pos, base, prev, next, ppos: a row a base."""
-    files = spark.read.text(path, wholetext=True).select(base_name(F.col("_metadata.file_path")).alias("file"), "value")
+    return parse(spark.read.text(path, wholetext=True).select(base_name(F.col("_metadata.file_path")).alias("file"), "value"), strict)
+
+
+def parse(files: DataFrame, strict: bool = False) -> DataFrame:
+    """Bases of whole texts (file, value)."""
     lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     lines = lines.withColumn("f", F.filter(F.split(F.trim(F.regexp_replace("line", "=", " = ")), r"\s+"), lambda x: x != "")).where((F.size("f") > 0) & ~F.col("line").startswith("#"))
     lines = lines.withColumns({"head": is_header(F.col("f")), "data": is_data(F.col("f"))})

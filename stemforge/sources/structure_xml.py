@@ -19,6 +19,11 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("structure_id", base_name(F.col("_metadata.file_name")))
 
 
+def raw_from_text(texts: DataFrame) -> DataFrame:
+    """As ``read_raw``, from whole documents (structure_id, text)."""
+    return texts.select("structure_id", F.from_xml("text", schema.STRUCTURE_XML).alias("x")).select("structure_id", "x.*")
+
+
 def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
 

@@ -18,7 +18,12 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """file, id, doc, sequence of every record."""
-    records = _whole(spark, path).select("file", F.explode(F.filter(F.split("value", r"(?m)^>"), lambda x: F.trim(x) != "")).alias("r"))
+    return parse_fasta(_whole(spark, path))
+
+
+def parse_fasta(texts: DataFrame) -> DataFrame:
+    """Records of whole texts (file, value)."""
+    records = texts.select("file", F.explode(F.filter(F.split("value", r"(?m)^>"), lambda x: F.trim(x) != "")).alias("r"))
     head = F.regexp_extract("r", r"^([^\r\n]*)", 1)
     return records.select("file", F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.trim(F.regexp_extract(head, r"^\S*\s*(.*)$", 1)).alias("doc"), F.regexp_replace(F.regexp_replace("r", r"^[^\r\n]*", ""), r"\s+", "").alias("sequence"))
 
@@ -33,14 +38,24 @@ def fasta_text(records: DataFrame, width: int = 100) -> DataFrame:
 
 def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """structure_id, code, cnt of YAML fingerprint files: the lines after ``- motif:``; an empty file has no row."""
-    lines = _whole(spark, path).select(base_name(F.col("file")).alias("structure_id"), F.explode(F.split(F.regexp_extract("value", r"(?s)- motif:(.*)$", 1), "\n")).alias("line"))
+    return parse_fingerprints(_whole(spark, path))
+
+
+def parse_fingerprints(texts: DataFrame) -> DataFrame:
+    """Motifs of whole texts (file, value)."""
+    lines = texts.select(base_name(F.col("file")).alias("structure_id"), F.explode(F.split(F.regexp_extract("value", r"(?s)- motif:(.*)$", 1), "\n")).alias("line"))
     rx = r"^\s*(\S+?):\s*(\d+)\s*$"
     return lines.where(F.col("line").rlike(rx)).select("structure_id", F.regexp_extract("line", rx, 1).alias("code"), F.regexp_extract("line", rx, 2).cast("long").alias("cnt"))
 
 
 def read_fingerprint_info(spark: SparkSession, path: str) -> DataFrame:
     """structure_id, key, value of the information block, with total and nmotif."""
-    lines = _whole(spark, path).select(base_name(F.col("file")).alias("structure_id"), F.explode(F.split(F.regexp_replace("value", r"(?s)- motif:.*$", ""), "\n")).alias("line"))
+    return parse_fingerprint_info(_whole(spark, path))
+
+
+def parse_fingerprint_info(texts: DataFrame) -> DataFrame:
+    """Facts of whole texts (file, value)."""
+    lines = texts.select(base_name(F.col("file")).alias("structure_id"), F.explode(F.split(F.regexp_replace("value", r"(?s)- motif:.*$", ""), "\n")).alias("line"))
     rx = r"^\s*-?\s*([A-Za-z][^:]*?):\s+(.+?)\s*$"
     return lines.where(F.col("line").rlike(rx)).select("structure_id", F.regexp_extract("line", rx, 1).alias("key"), F.regexp_replace(F.regexp_extract("line", rx, 2), "^'|'$", "").alias("value"))
 
@@ -86,8 +101,13 @@ def read_old_headers(spark: SparkSession, path: str) -> DataFrame:
 
 def read_distances(spark: SparkSession, path: str) -> DataFrame:
     """id1, id2, jaccard, bray_curtis, is_pos: columns apart by any white space, a header and # lines skipped; is_pos: one family."""
+    return parse_distances(spark.read.text(path))
+
+
+def parse_distances(lines: DataFrame) -> DataFrame:
+    """Distances of lines (value)."""
     f = F.split(F.trim("value"), r"\s+")
-    d = spark.read.text(path).where(~F.col("value").startswith("#")).select(*(F.get(f, F.lit(i)).alias(c) for i, c in enumerate(("id1", "id2", "a", "b"))))
+    d = lines.where(~F.col("value").startswith("#")).select(*(F.get(f, F.lit(i)).alias(c) for i, c in enumerate(("id1", "id2", "a", "b"))))
     d = d.select("id1", "id2", F.expr("try_cast(a as double)").alias("jaccard"), F.expr("try_cast(b as double)").alias("bray_curtis")).where("jaccard is not null")
     return d.withColumn("is_pos", group_of(F.col("id1")) == group_of(F.col("id2")))
 
@@ -100,8 +120,13 @@ def distance_lines(pairs: DataFrame) -> DataFrame:
 
 def read_motif_list(spark: SparkSession, path: str) -> DataFrame:
     """code, df of a selected-motif list."""
+    return parse_motif_list(spark.read.text(path))
+
+
+def parse_motif_list(lines: DataFrame) -> DataFrame:
+    """Motifs of lines (value)."""
     f = F.split("value", r"\t")
-    return spark.read.text(path).where("value not like '#%' and trim(value) <> ''").select(F.get(f, F.lit(0)).alias("code"), F.get(f, F.lit(1)).cast("long").alias("df"))
+    return lines.where("value not like '#%' and trim(value) <> ''").select(F.get(f, F.lit(0)).alias("code"), F.get(f, F.lit(1)).cast("long").alias("df"))
 
 
 def motif_list_lines(motifs: DataFrame) -> DataFrame:
@@ -109,15 +134,18 @@ def motif_list_lines(motifs: DataFrame) -> DataFrame:
 
 
 def read_only_list(spark: SparkSession, path: str, block: int = 1) -> DataFrame:
-    """code: the motifs of the given "motifs only" block of a difference report, up to its blank line.
+    """file, code: the motifs of the given "motifs only" block of each difference report, up to its blank line."""
+    return parse_only_list(_whole(spark, path), block)
+
 
-    The state "after the marker" is a running count of markers and of blank lines after each."""
-    lines = _whole(spark, path).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+def parse_only_list(texts: DataFrame, block: int = 1) -> DataFrame:
+    """Of whole texts (file, value): the state "after the marker" is a running count of a file's markers, and of blank lines after each."""
+    lines = texts.select("file", F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("mark", F.lower("line").contains("motifs only")).withColumn("block", F.sum(F.col("mark").cast("int")).over(w))
     lines = lines.where(F.col("block") == block)
     lines = lines.withColumn("blank", F.max((F.trim("line") == "").cast("int")).over(w)).where("blank = 0 and not mark")
-    return lines.select(F.regexp_extract("line", r"^\s*(\S+)", 1).alias("code"))
+    return lines.select("file", F.regexp_extract("line", r"^\s*(\S+)", 1).alias("code"))
 
 
 # -- motif tables ----------------------------------------------------------------------------------------------------

@@ -289,7 +289,16 @@ def test_segment_sets():
     near = {i: {i, i + 1, max(0, i - 1)} for i in range(9)} | {9: {9, 8}}
     segs = G.segments_of(near, 5)
     assert set().union(*map(set, segs)) == set(near) and all(len(s) <= 5 for s in segs)
-    assert G.segments_of({0: set(range(6))}, 5) == []
+    # a stem linked to more than the limit: its links are dealt to pieces, and every stem is in a segment
+    hub = {0: set(range(9))} | {i: {0, i} for i in range(1, 9)}
+    segs = G.segments_of(hub, 5)
+    assert set().union(*map(set, segs)) == set(hub) and all(len(s) <= 5 for s in segs)
+    whole = {i: set(range(7)) for i in range(7)}
+    segs = G.segments_of(whole, 4)
+    assert set().union(*map(set, segs)) == set(whole) and all(len(s) <= 4 for s in segs)
+    assert G.segments_of({}, 5) == []
+    # the smallest set goes into every larger one that it meets within the limit
+    assert G.segments_of({0: {0, 1, 2}, 1: {0, 1, 2}, 2: {0, 1, 2, 3}, 3: {2, 3, 4}, 4: {3, 4, 5}, 5: {4, 5}}, 4)
 
 
 def test_embeddings(spark):
