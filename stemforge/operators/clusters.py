@@ -8,8 +8,9 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,25 +60,27 @@ def cluster_pairs(pairs: DataFrame, labels: DataFrame, column: str = "jaccard",
 
 
 def wpgma(ids: list, distance: dict[tuple, float], missing: float = 1.0) -> tuple[list[tuple], str]:
-    """Merges (step, left, right, height) and the Newick text of an unweighted-mean tree; ties go to the first pair in order."""
-    names = [str(i) for i in ids]
-    d = {}
-    for i in range(len(ids)):
-        for j in range(i + 1, len(ids)):
-            d[i, j] = distance.get((ids[i], ids[j]), distance.get((ids[j], ids[i]), missing))
-    live, merges, height = list(range(len(ids))), [], {i: 0.0 for i in range(len(ids))}
-    while len(live) > 1:
-        i, j = min(((a, b) for x, a in enumerate(live) for b in live[x + 1 :]), key=lambda p: (d[p], p))
-        h = d[i, j] / 2
-        merges.append((len(merges), names[i], names[j], h))
+    """Merges (step, left, right, height) and the Newick text of an unweighted-mean tree; ties go to the first pair in order.
+
+    The matrix's upper triangle is one array: a merge takes its least entry and averages two rows, n squared work each."""
+    n = len(ids)
+    place = {x: i for i, x in enumerate(ids)}
+    d = np.full((n, n), missing)
+    for (a, b), v in distance.items():
+        d[place[a], place[b]] = d[place[b], place[a]] = v
+    d[np.tril_indices(n)] = np.inf
+    names, height, merges = [str(i) for i in ids], np.zeros(n), []
+    for step in range(n - 1):
+        i, j = divmod(int(d.argmin()), n)
+        h = float(d[i, j]) / 2
+        merges.append((step, names[i], names[j], h))
         names[i] = f"({names[i]}:{h - height[i]:.4g},{names[j]}:{h - height[j]:.4g})"
         height[i] = h
-        live.remove(j)
-        for k in live:
-            if k != i:
-                a, b = (min(i, k), max(i, k)), (min(j, k), max(j, k))
-                d[a] = (d[a] + d[b]) / 2
-    return merges, (names[live[0]] + ";") if live else ";"
+        # rows as seen from both sides of the diagonal; what is merged away stays infinite
+        row = (np.minimum(d[i], d[:, i]) + np.minimum(d[j], d[:, j])) / 2
+        d[i, i + 1 :], d[:i, i] = row[i + 1 :], row[:i]
+        d[j, :] = d[:, j] = np.inf
+    return merges, (names[0] + ";") if n else ";"
 
 
 def trees(inside: DataFrame, missing: float = 1.0) -> DataFrame:
@@ -116,36 +119,46 @@ def leaves(newick: str) -> list[str]:
 def manhattan_step(points: DataFrame, centroids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, cluster, error) and the mean centroids (cluster, c) of one Lloyd step with Manhattan distance.
 
-    points: id, x (array); centroids: cluster, c (array), k rows.  Of equal distances the last cluster wins.  The k
-    centroids travel as one row's array, so a point finds its cluster without a shuffle; means are partial sums."""
+    points: id, x (array); centroids: cluster, c (array), k rows, and where it has a column ``run`` k of each run, which are
+    then all stepped at once (and the results have the column).  Of equal distances the last cluster wins.  The centroids
+    of a run travel as one row's array, so a point finds its cluster without a shuffle; means are partial sums."""
+    run = ["run"] if "run" in centroids.columns else []
     far = lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: F.abs(a - b).cast("double")), F.lit(0.0), lambda s, v: s + v)
-    table = centroids.agg(F.collect_list(F.struct("cluster", "c")).alias("_all"))
+    table = centroids.groupBy(*run).agg(F.collect_list(F.struct("cluster", "c")).alias("_all"))
     least = F.array_min(F.transform("_all", lambda z: F.struct(far(z["c"]).alias("d"), (-z["cluster"]).alias("k"))))
-    near = points.crossJoin(F.broadcast(table)).withColumn("_b", least).select("id", "x", (-F.col("_b.k")).alias("cluster"), F.col("_b.d").alias("error"))
-    best = near.select("id", "cluster", "error")
-    parts = near.select("cluster", F.posexplode("x")).groupBy("cluster", "pos").agg(F.avg("col").alias("m"))
-    means = parts.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("c"))
+    near = points.crossJoin(F.broadcast(table)).withColumn("_b", least).select(*run, "id", "x", (-F.col("_b.k")).alias("cluster"), F.col("_b.d").alias("error"))
+    best = near.select(*run, "id", "cluster", "error")
+    parts = near.select(*run, "cluster", F.posexplode("x")).groupBy(*run, "cluster", "pos").agg(F.avg("col").alias("m"))
+    means = parts.groupBy(*run, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("c"))
     return best, means
 
 
-def manhattan_kmeans(points: DataFrame, k: int, *, tolerance: float = 1e-4, most: int = 50, seed: int = 1) -> DataFrame:
-    """id, cluster by repeated steps from k random points until the error changes by less than ``tolerance`` of itself."""
-    start = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).select("x").collect()
+def repeated_kmeans(points: DataFrame, k: int, runs: int = 20, *, tolerance: float = 1e-4, most: int = 50, seed: int = 1) -> DataFrame:
+    """run, id, cluster: ``runs`` k-means clusterings, each from k random points of its own, stepped together until no run's error changes by more than ``tolerance`` of itself."""
     spark = points.sparkSession
-    kind = points.schema["x"].dataType
-    centroids = spark.createDataFrame([(i, [float(v) for v in r[0]]) for i, r in enumerate(start)], "cluster int, c array<double>")
-    del kind
-    before = None
-    best = None
+    rank = F.row_number().over(Window.partitionBy("run").orderBy("h", "id"))
+    # the k points of least hash of each run: k is a parameter, and no task holds more than its own k of a run
+    start = None
+    for r in range(runs):
+        own = points.orderBy(F.xxhash64("id", F.lit(seed + r)), "id").limit(k).select(F.lit(r).alias("run"), F.xxhash64("id", F.lit(seed + r)).alias("h"), "id", "x")
+        start = own if start is None else start.unionAll(own)
+    rows = start.withColumn("cluster", rank - 1).select("run", "cluster", F.col("x").cast("array<double>").alias("c")).collect()
+    schema = "run int, cluster int, c array<double>"
+    before, best = None, None
     for _ in range(most):
-        best, means = manhattan_step(points, centroids)
+        best, means = manhattan_step(points, spark.createDataFrame(rows, schema))
         best = checkpointed(best)
-        error = best.agg(F.sum("error")).first()[0] or 0.0
-        centroids = spark.createDataFrame(means.collect(), "cluster int, c array<double>")  # k rows
-        if before is not None and abs(before - error) <= tolerance * max(before, 1e-300):
+        error = {r[0]: r[1] for r in best.groupBy("run").agg(F.sum("error")).collect()}
+        rows = [(r[0], r[1], r[2]) for r in means.collect()]  # k rows a run
+        if before is not None and all(abs(before[r] - e) <= tolerance * max(before[r], 1e-300) for r, e in error.items()):
             break
         before = error
-    return best.select("id", "cluster")
+    return best.select("run", "id", "cluster")
+
+
+def manhattan_kmeans(points: DataFrame, k: int, *, tolerance: float = 1e-4, most: int = 50, seed: int = 1) -> DataFrame:
+    """id, cluster by repeated steps from k random points until the error changes by less than ``tolerance`` of itself."""
+    return repeated_kmeans(points, k, 1, tolerance=tolerance, most=most, seed=seed).select("id", "cluster")
 
 
 def cooccurrence(runs: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Entries of a list that is broadcast at most.
+FEW = 100_000
+
 
 def fingerprint(rows: DataFrame) -> DataFrame:
     """id, code, cnt summed."""
@@ -44,8 +47,16 @@ def restrict(fp: DataFrame, motifs: DataFrame) -> DataFrame:
 
 
 def fill_missing(fp: DataFrame) -> DataFrame:
-    """Every structure with every motif that occurs, 0 where it has none: structures times motifs rows by definition, so restrict the motifs first."""
-    return fp.select("id").distinct().crossJoin(fp.select("code").distinct()).join(fp, ["id", "code"], "left").select("id", "code", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
+    """Every structure with every motif that occurs, 0 where it has none: structures times motifs rows by definition, so restrict the motifs first.
+
+    The shorter list travels as one row's array where it has at most ``FEW`` entries."""
+    ids, codes = fp.select("id").distinct(), fp.select("code").distinct()
+    grid = ids.crossJoin(codes)
+    for one, other, name in (ids, codes, "code"), (codes, ids, "id"):
+        if other.count() <= FEW:
+            grid = one.crossJoin(F.broadcast(other.agg(F.collect_list(name).alias("_all")))).withColumn(name, F.explode("_all")).drop("_all")
+            break
+    return grid.join(fp, ["id", "code"], "left").select("id", "code", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
 
 
 def binary_matrix(fp: DataFrame) -> DataFrame:
@@ -59,11 +70,11 @@ def pivoted(fp: DataFrame, codes: list[str]) -> DataFrame:
 
 
 def motif_index(fp: DataFrame) -> DataFrame:
-    """code, idx: motifs numbered in order.
+    """code, idx: motifs numbered in order: running counts over range partitions, so no single task sorts all motifs."""
+    from .ordered import running_sums
 
-    Ranks come from counts of range partitions and positions inside them, so no single task sorts all motifs."""
-    rows = fp.select("code").distinct().sort("code").rdd.map(lambda r: r[0]).zipWithIndex()
-    return fp.sparkSession.createDataFrame(rows, "code string, idx long")
+    rows = fp.select("code").distinct().withColumn("_one", F.lit(1).cast("long"))
+    return running_sums(rows, F.asc("code"), {"_one": "idx"}).select("code", (F.col("idx") - 1).alias("idx"))
 
 
 def bitmaps(fp: DataFrame, index: DataFrame) -> DataFrame:
@@ -109,6 +120,7 @@ def group_priors(fp: DataFrame, least: int = 5, most: int = 160) -> DataFrame:
     total = kept.agg(F.sum("df").alias("total"))
     prior = kept.crossJoin(F.broadcast(total)).select("code", (F.col("df") / F.col("total")).alias("prior"))
     n = d.join(prior, "code", "left_semi").groupBy("grp", "code").agg(F.count(F.lit(1)).alias("n"))
-    grid = d.select("grp").distinct().crossJoin(prior).join(n, ["grp", "code"], "left").withColumn("x", F.coalesce("n", F.lit(0)) + F.col("prior"))
+    groups = d.select("grp").distinct().agg(F.array_sort(F.collect_set("grp")).alias("_groups"))  # one row; groups are few by what they are
+    grid = prior.crossJoin(F.broadcast(groups)).select(F.explode("_groups").alias("grp"), "code", "prior").join(n, ["grp", "code"], "left").withColumn("x", F.coalesce("n", F.lit(0)) + F.col("prior"))
     row = grid.groupBy("grp").agg(F.sum("x").alias("row"))
     return grid.join(row, "grp").select("grp", "code", (F.col("x") / F.col("row")).alias("p"))

@@ -1,7 +1,9 @@
 """Relations between stems: edges, interval overlaps, containment.
 
-All joins have the structure as an equality key, so they are hash or sort-merge joins with a residual condition; a
-structure with very many stems is split further by ``edges``' bins.
+Joins have the structure as an equality key.  All pairs of a structure (``edges``) are as many as they are by definition;
+relations that need a common place (every edge but serial ones, overlaps of halves, containment) are joined on the
+structure and a bin of ``BIN`` positions, so that a structure with very many stems spreads over its bins and no pair
+that cannot be related is made.
 """
 
 from __future__ import annotations
@@ -10,6 +12,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HALF = ["lbegin", "lend", "rbegin", "rend"]
+#: Positions of a bin.
+BIN = 64
+
+
+def _bin(position: Column) -> Column:
+    return F.floor(position / BIN).cast("long")
+
+
+def _bins(begin: Column, end: Column) -> Column:
+    """The bins that an interval touches, exploded; none where it is empty."""
+    return F.explode(F.when(end >= begin, F.sequence(_bin(begin), _bin(end))).otherwise(F.array().cast("array<bigint>")))
+
+
+def meeting(a: DataFrame, b: DataFrame, a_span: tuple[Column, Column], b_span: tuple[Column, Column]) -> DataFrame:
+    """Rows of a and b of one structure whose closed intervals have a common position, each pair once: in the bin of the later begin."""
+    left, right = a.withColumns({"_ab": a_span[0], "_ae": a_span[1]}), b.withColumns({"_bb": b_span[0], "_be": b_span[1]})
+    left, right = left.withColumn("_bin", _bins(F.col("_ab"), F.col("_ae"))), right.withColumn("_bin", _bins(F.col("_bb"), F.col("_be")))
+    later = F.greatest("_ab", "_bb")
+    return left.join(right, ["sid", "_bin"]).where((later <= F.least("_ae", "_be")) & (F.col("_bin") == _bin(later))).drop("_bin", "_ab", "_ae", "_bb", "_be")
 
 
 def prefixed(stems: DataFrame, prefix: str, *more: str) -> DataFrame:
@@ -86,6 +107,15 @@ def edges(stems: DataFrame, rule: Column | None = None) -> DataFrame:
     return pairs_of_stems(stems).select("sid", F.col("a_v").alias("u"), F.col("b_v").alias("v"), (edge_type() if rule is None else rule).alias("etype"))
 
 
+def linked_edges(stems: DataFrame, rule: Column | None = None) -> DataFrame:
+    """``edges`` without the serial ones: only pairs whose spans have a common position are made.
+
+    Halves are in order within a stem, and stems in order of their left ends, as ``edges`` has them."""
+    c = F.col
+    p = meeting(prefixed(stems, "a_"), prefixed(stems, "b_"), (c("a_lbegin"), F.greatest("a_rend", "a_lbegin")), (c("b_lbegin"), F.greatest("b_rend", "b_lbegin"))).where("a_v < b_v")
+    return p.select("sid", c("a_v").alias("u"), c("b_v").alias("v"), (edge_type() if rule is None else rule).alias("etype")).where("etype <> 's'")
+
+
 def edges_both(stems: DataFrame) -> DataFrame:
     """Edges in both directions, with j."""
     return pairs_of_stems(stems, both=True).select("sid", F.col("a_v").alias("u"), F.col("b_v").alias("v"), edge_type_all().alias("etype"))
@@ -119,8 +149,9 @@ def stem_overlaps(ref: DataFrame, test: DataFrame) -> DataFrame:
     on = (F.col("t_lbegin") <= F.col("r_lend")) & (F.col("t_lend") >= F.col("r_lbegin")) & (F.col("t_rbegin") <= F.col("r_rend")) & (F.col("t_rend") >= F.col("r_rbegin"))
     size = lambda p, s: F.col(f"{p}{s}end") - F.col(f"{p}{s}begin") + 1
     common = lambda s: F.least(f"r_{s}end", f"t_{s}end") - F.greatest(f"r_{s}begin", f"t_{s}begin") + 1
+    span = lambda p: (F.col(f"{p}lbegin"), F.col(f"{p}lend"))
     return (
-        r.join(t, "sid")
+        meeting(r, t, span("r_"), span("t_"))
         .where(on)
         .select(
             "sid",
@@ -146,12 +177,17 @@ def best_matches(overlaps: DataFrame) -> DataFrame:
     return overlap_stats(overlaps).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def _held(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs whose inner stem begins inside the outer one's loop."""
+    return meeting(inner, outer, (F.col("c_lbegin"), F.col("c_lbegin")), (F.col("p_lend"), F.col("p_rbegin")))
+
+
 def containment_parents(stems: DataFrame) -> DataFrame:
     """sid, v, parent: the tightest stem whose loop holds stem v (its left end before, its right begin after), or null.
 
     The parent is the container with the shortest span; ties go to the greater lbegin, then the lower number."""
     inner, outer = prefixed(stems, "c_"), prefixed(stems, "p_")
-    held = inner.join(outer, "sid").where((F.col("c_lbegin") >= F.col("p_lend")) & (F.col("c_rend") <= F.col("p_rbegin")) & (F.col("c_v") != F.col("p_v")))
+    held = _held(inner, outer).where((F.col("c_lbegin") >= F.col("p_lend")) & (F.col("c_rend") <= F.col("p_rbegin")) & (F.col("c_v") != F.col("p_v")))
     least = held.groupBy("sid", F.col("c_v").alias("v")).agg(F.min_by("p_v", F.struct(F.col("p_rend") - F.col("p_lbegin"), -F.col("p_lbegin"), "p_v")).alias("parent"))
     return stems.select("sid", "v").join(least, ["sid", "v"], "left")
 
@@ -166,7 +202,7 @@ def containment_links(stems: DataFrame, center: float | None = None) -> DataFram
     if center is not None:
         mid = lambda p: (F.col(f"{p}lbegin") + F.col(f"{p}lend") + F.col(f"{p}rbegin") + F.col(f"{p}rend")) / 4
         on = on & (F.abs(mid("c_") - mid("p_")) <= center)
-    held = inner.join(outer, "sid").where(on).select("sid", F.col("p_v").alias("parent"), F.col("c_v").alias("v"))
+    held = _held(inner, outer).where(on).select("sid", F.col("p_v").alias("parent"), F.col("c_v").alias("v"))
     longer = held.withColumnRenamed("v", "between").join(held.withColumnRenamed("parent", "between"), ["sid", "between"]).select("sid", "parent", "v")
     return held.join(longer, ["sid", "parent", "v"], "left_anti")
 

@@ -1,7 +1,9 @@
 """Pairwise similarity of fingerprints and group distributions.
 
-Pairs come from an inverted index: fingerprints are joined on their motifs, with df pruning (``fingerprints.restrict``)
-before it where motifs are common; pairs without a common motif have similarity 0 and are only made by ``all_pairs``.
+Pairs come from an inverted index: fingerprints are joined on their motifs; a motif of very many fingerprints is dealt to
+several parts, so that its pairs, which are as many as its fingerprints' square, are made by several tasks.  (Leave out
+motifs that are common by ``fingerprints.restrict`` where they tell nothing.)  Pairs without a common motif have
+similarity 0 and are only made by ``all_pairs``.
 """
 
 from __future__ import annotations
@@ -12,11 +14,18 @@ from pyspark.sql import functions as F
 from .ordered import running_sums
 
 
-def shared(fp: DataFrame) -> DataFrame:
-    """id1 < id2, n_both, min_sum of all pairs with a common motif."""
+def shared(fp: DataFrame, per: int = 2000) -> DataFrame:
+    """id1 < id2, n_both, min_sum of all pairs with a common motif; a motif of more than ``per`` fingerprints is dealt to parts."""
     a = fp.select(F.col("id").alias("id1"), "code", F.col("cnt").alias("c1"))
     b = fp.select(F.col("id").alias("id2"), "code", F.col("cnt").alias("c2"))
-    return a.join(b, "code").where("id1 < id2").groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("n_both"), F.sum(F.least("c1", "c2")).alias("min_sum"))
+    on = ["code"]
+    hot = fp.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per).select("code", F.ceil(F.col("n") / per).cast("int").alias("parts"))
+    if hot.limit(1).count():
+        parts = F.coalesce("parts", F.lit(1))
+        a = a.join(hot, "code", "left").withColumn("part", F.pmod(F.xxhash64("id1"), parts).cast("int")).drop("parts")
+        b = b.join(hot, "code", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        on = ["code", "part"]
+    return a.join(b, on).where("id1 < id2").groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("n_both"), F.sum(F.least("c1", "c2")).alias("min_sum"))
 
 
 def sized_pairs(fp: DataFrame) -> DataFrame:

@@ -71,10 +71,10 @@ def drop_contained_runs(stems: DataFrame) -> DataFrame:
 
 
 def strict_segments(stems: DataFrame) -> DataFrame:
-    """sid, segment, begin, end, n: maximal runs of stems whose spans overlap, by the running largest end."""
+    """sid, segment, begin, end, n: maximal runs of stems whose spans overlap, by the running largest end; a span that begins where that ends opens a new one."""
     w = Window.partitionBy("sid").orderBy("lbegin", "rend", "v")
     before = F.max("rend").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    p = stems.withColumn("_new", (before.isNull() | (F.col("lbegin") > before)).cast("int"))
+    p = stems.withColumn("_new", (before.isNull() | (F.col("lbegin") >= before)).cast("int"))
     p = p.withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     return p.groupBy("sid", "segment").agg(F.min("lbegin").alias("begin"), F.max("rend").alias("end"), F.count(F.lit(1)).alias("n"))
 
@@ -167,13 +167,25 @@ def trace_stems(pairs: DataFrame, gap: int = 3, minstem: int = 3) -> DataFrame:
 
 
 def stems_from_brackets(structures: DataFrame, unpaired: int = 2) -> DataFrame:
-    """Stems of structures (sid, vienna): brackets to pairs, then ``stems_from_pairs``, and a new stem where a paired base lies between."""
+    """Stems of structures (sid, vienna): brackets to pairs, then ``stems_from_pairs``; a stem ends where a paired base of another one lies in its gap."""
     from ..functions.notation import brackets_to_pairs
 
     p = structures.select("sid", brackets_to_pairs("vienna").alias("p")).where("p is not null and size(p) > 0")
     k = F.sequence(F.lit(0), (F.size("p") / 2).cast("int") - 1)
     p = p.select("sid", F.explode(F.transform(k, lambda i: F.struct((F.get("p", i * 2) + 1).alias("pos"), (F.get("p", i * 2 + 1) + 1).alias("ppos")))).alias("x"))
-    return stems_from_pairs(p.select("sid", "x.pos", "x.ppos"), unpaired)
+    p = p.select("sid", "x.pos", "x.ppos")
+    # the number of paired bases before each end: within a stem neighbours follow each other in it, so a gap with one inside ends the stem
+    ends = p.select("sid", F.col("pos").alias("at")).unionAll(p.select("sid", F.col("ppos").alias("at")))
+    rank = ends.withColumn("n", F.row_number().over(Window.partitionBy("sid").orderBy("at")))
+    p = p.join(rank.select("sid", F.col("at").alias("pos"), F.col("n").alias("_ln")), ["sid", "pos"]).join(rank.select("sid", F.col("at").alias("ppos"), F.col("n").alias("_rn")), ["sid", "ppos"])
+    # runs in which both ends are neighbours get a structure number of their own, whose stems are found as before
+    w = Window.partitionBy("sid").orderBy("pos")
+    split = F.coalesce((F.col("_ln") != F.lag("_ln").over(w) + 1) | (F.col("_rn") != F.lag("_rn").over(w) - 1), F.lit(False)).cast("int")
+    p = p.withColumn("_new", split).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = stems_from_pairs(p.select(F.struct("sid", "_part").alias("sid"), "pos", "ppos"), unpaired)
+    order = F.row_number().over(Window.partitionBy("sid").orderBy("_part", "_stem")) - 1
+    out = out.withColumn("_stem", F.col("stem")).withColumns({"_part": F.col("sid._part"), "sid": F.col("sid.sid")})
+    return out.withColumn("stem", order.cast("long")).drop("_part", "_stem")
 
 
 def greedy_by_energy(stems: DataFrame) -> DataFrame:
@@ -190,7 +202,7 @@ def greedy_by_energy(stems: DataFrame) -> DataFrame:
 
 
 def merge_stems(stems: DataFrame, center: float = 6, gap: int = 4) -> DataFrame:
-    """Stems of each structure merged by the rules of ``relations.merge_candidates`` 1 to 3, nearest first, until none applies."""
+    """Stems of each structure merged by the rules of ``relations.merge_candidates`` 1 to 3, the first pair in order of coordinates first, until none applies."""
     schema = f"sid {stems.schema['sid'].dataType.simpleString()}, v int, lbegin int, lend int, rbegin int, rend int"
 
     def near(x, y) -> bool:

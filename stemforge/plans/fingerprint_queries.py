@@ -339,6 +339,14 @@ def consensus_clusters(spark, sf):
     return C.consensus_clusters(runs, 2)
 
 
+@query("kmeans_consensus")
+def kmeans_consensus(spark, sf):
+    """Twenty k-means runs, and the clusters of points that are together in more than twelve."""
+    e = table(spark, sf, "embeddings")
+    runs = C.repeated_kmeans(e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x")), 10, 20)
+    return C.consensus_clusters(runs, 12)
+
+
 @query("pca3")
 def pca3(spark, sf):
     e = table(spark, sf, "embeddings")

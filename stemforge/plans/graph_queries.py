@@ -20,7 +20,7 @@ def count(d, *keys):
 
 @query("stem_edges", f"WITH {B.EDGES_SQL}\nSELECT sid, u, v, etype FROM edges WHERE etype <> 's'")
 def stem_edges(spark, sf):
-    return R.edges(B.stems(spark, sf)).where("etype <> 's'")
+    return R.linked_edges(B.stems(spark, sf))
 
 
 @query("edge_type_totals", f"WITH {B.EDGES_SQL}\nSELECT etype, count(*) AS n FROM edges GROUP BY 1")
@@ -30,12 +30,12 @@ def edge_type_totals(spark, sf):
 
 @query("edge_list_ijo", f"WITH {B.EDGES_SQL}\nSELECT sid, u, v, etype FROM edges WHERE etype IN ('i', 'j', 'o')")
 def edge_list_ijo(spark, sf):
-    return R.edge_list(R.edges(B.stems(spark, sf)))
+    return R.edge_list(R.linked_edges(B.stems(spark, sf)))
 
 
 @query("pseudoknots", f"WITH {B.EDGES_SQL}\nSELECT sid, u, v, etype FROM edges WHERE etype = 'o'")
 def pseudoknots(spark, sf):
-    return R.pseudoknots(R.edges(B.stems(spark, sf)))
+    return R.pseudoknots(R.linked_edges(B.stems(spark, sf)))
 
 
 @query(
@@ -61,7 +61,7 @@ t AS (SELECT sid, u, v, CASE WHEN serial THEN 's' WHEN {_CLASH} THEN 'x'
 SELECT sid, u, v, etype FROM t WHERE etype <> 's'""",
 )
 def edges_minlen_v22(spark, sf):
-    return R.edges(B.stems(spark, sf), R.edge_type_minlen(3)).where("etype <> 's'")
+    return R.linked_edges(B.stems(spark, sf), R.edge_type_minlen(3))
 
 
 _POINTS = ", ".join(f"{{'x': {t}.{c}, 'n': '{t}{i}'}}" for t in "ab" for i, c in enumerate(R.HALF, 1))
@@ -102,7 +102,7 @@ t AS (SELECT a.sid, a.v AS a, b.v AS b, c.v AS c, coalesce(x.etype, '.') || coal
 
 
 def _triples(spark, sf):
-    return G.triples(R.edges(B.stems(spark, sf)))
+    return G.triples(R.linked_edges(B.stems(spark, sf)))
 
 
 @query("subgraph3_keys", f"WITH {_TRIPLES_SQL}\nSELECT key, count(*) AS n, count(DISTINCT sid) AS structures FROM t GROUP BY 1")
@@ -142,7 +142,7 @@ k AS (SELECT q.sid, q.s, string_agg(coalesce(e.etype, '.'), '' ORDER BY i, j) AS
 SELECT key, count(*) AS n FROM k GROUP BY 1""",
 )
 def subgraph4_counts(spark, sf):
-    return count(G.quadruples(R.edges(B.stems(spark, sf))), "key")
+    return count(G.quadruples(R.linked_edges(B.stems(spark, sf))), "key")
 
 
 @query(
@@ -172,14 +172,14 @@ l AS (SELECT sid, u, v, etype AS e FROM ijo UNION ALL SELECT sid, v, u, CASE ety
 SELECT x.sid, x.u AS m0, x.v AS m1, y.v AS m2 FROM l x JOIN l y ON x.sid = y.sid AND x.v = y.u AND y.v <> x.u WHERE x.e = 'i' AND y.e = 'o'""",
 )
 def motif_embeddings(spark, sf):
-    return G.embeddings(R.edges(B.stems(spark, sf)), [(0, 1, "i"), (1, 2, "o")])
+    return G.embeddings(R.linked_edges(B.stems(spark, sf)), [(0, 1, "i"), (1, 2, "o")])
 
 
 @query(
     "segments_strict",
     f"""WITH {B.STEMS_SQL},
 n AS (SELECT *, max(rend) OVER (PARTITION BY sid ORDER BY lbegin, rend, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM stems),
-s AS (SELECT *, sum(CASE WHEN before IS NULL OR lbegin > before THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY lbegin, rend, v) - 1 AS segment FROM n)
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR lbegin >= before THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY lbegin, rend, v) - 1 AS segment FROM n)
 SELECT sid, CAST(segment AS BIGINT) AS segment, min(lbegin) AS "begin", max(rend) AS "end", count(*) AS n FROM s GROUP BY 1, 2""",
 )
 def segments_strict(spark, sf):
@@ -403,9 +403,9 @@ def greedy_by_energy(spark, sf):
 
 @query("exhaustive_fingerprint")
 def exhaustive_fingerprint(spark, sf):
-    return G.exhaustive_fingerprint(R.edges(B.stems(spark, sf)), k=7, limit=20)
+    return G.exhaustive_fingerprint(R.linked_edges(B.stems(spark, sf)), k=7, limit=20)
 
 
 @query("sampled_fingerprint")
 def sampled_fingerprint(spark, sf):
-    return G.sampled_fingerprint(R.edges(B.stems(spark, sf)), k=7, limit=10_000, coverage=3, seed=11)
+    return G.sampled_fingerprint(R.linked_edges(B.stems(spark, sf)), k=7, limit=10_000, coverage=3, seed=11)

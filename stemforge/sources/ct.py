@@ -74,6 +74,25 @@ def stems(bases: DataFrame, unpaired: int = 2) -> DataFrame:
     return stems_from_pairs(p, unpaired)
 
 
+def stems_and_edges(bases: DataFrame, ddgs: list[float], minbp: int = 3, unpaired: int = 2, minlen: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(ddg, stems; ddg, sid, u, v, etype) of the structures within each energy limit, the way from a CT file to its graphs.
+
+    Stems are found once and numbered along each structure; a limit only chooses structures (files without energies are
+    kept at each).  Short stems go with their edges."""
+    from pyspark.sql import Window
+
+    from ..operators.relations import edge_type_minlen, edges
+    from ..operators.stems import long_stems
+
+    found = long_stems(stems(bases, unpaired), minbp).withColumn("v", F.row_number().over(Window.partitionBy("sid").orderBy("lbegin", "rbegin", "stem")) - 1)
+    chosen = None
+    for ddg in ddgs:
+        one = headers(within_ddg(bases, ddg)).select(F.lit(float(ddg)).alias("ddg"), F.concat_ws(":", "sid", F.col("struct_no").cast("string")).alias("sid"))
+        chosen = one if chosen is None else chosen.unionAll(one)
+    linked = edges(found, edge_type_minlen(minlen))
+    return chosen.join(found, "sid"), chosen.join(linked, "sid").select("ddg", "sid", "u", "v", "etype")
+
+
 def write(bases: DataFrame) -> DataFrame:
     """file, text: CT text of each file, its structures in order."""
     energy = F.when(F.col("energy").isNotNull(), F.concat(F.lit("  ENERGY = "), F.col("energy").cast("string"))).otherwise(F.lit(""))
