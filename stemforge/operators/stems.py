@@ -201,14 +201,21 @@ def greedy_by_energy(stems: DataFrame) -> DataFrame:
     return stems.groupBy("sid").applyInPandas(run, stems.schema)
 
 
-def merge_stems(stems: DataFrame, center: float = 6, gap: int = 4) -> DataFrame:
-    """Stems of each structure merged by the rules of ``relations.merge_candidates`` 1 to 3, the first pair in order of coordinates first, until none applies."""
+def merge_stems(stems: DataFrame, center: float = 6, gap: int = 4, rules: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """Stems of each structure merged by the ``rules`` of ``relations.merge_candidates``, the first pair in order of coordinates first, until none applies."""
     schema = f"sid {stems.schema['sid'].dataType.simpleString()}, v int, lbegin int, lend int, rbegin int, rend int"
 
     def near(x, y) -> bool:
-        over = x[0] <= y[1] and y[0] <= x[1] and x[2] <= y[3] and y[2] <= x[3]
-        nested = 0 <= y[0] - x[1] - 1 <= gap and 0 <= x[2] - y[3] - 1 <= gap
-        return over and abs(sum(x) - sum(y)) / 4 <= center or nested or all((x[i] <= y[i] and y[i + 1] <= x[i + 1]) for i in (0, 2))
+        left, right = x[0] <= y[1] and y[0] <= x[1], x[2] <= y[3] and y[2] <= x[3]
+        lgap, rgap = y[0] - x[1] - 1, x[2] - y[3] - 1
+        holds = {
+            1: lambda: all(x[i] <= y[i] and y[i + 1] <= x[i + 1] for i in (0, 2)) or all(y[i] <= x[i] and x[i + 1] <= y[i + 1] for i in (0, 2)),
+            2: lambda: left and right and abs(sum(x) - sum(y)) / 4 <= center,
+            3: lambda: 0 <= lgap <= gap and 0 <= rgap <= gap,
+            4: lambda: left and not right and abs(rgap) <= gap or right and not left and abs(lgap) <= gap,
+            5: lambda: not left and not right and x[2] <= y[1] and y[0] <= x[3],
+        }
+        return any(holds[r]() for r in rules)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(map(tuple, p[["lbegin", "lend", "rbegin", "rend"]].astype(int).to_numpy().tolist()))
@@ -225,3 +232,27 @@ def merge_stems(stems: DataFrame, center: float = 6, gap: int = 4) -> DataFrame:
         return pd.DataFrame([(p["sid"].iloc[0], k, *r) for k, r in enumerate(rows)], columns=["sid", "v", "lbegin", "lend", "rbegin", "rend"])
 
     return stems.groupBy("sid").applyInPandas(run, schema)
+
+
+def merge_only_children(stems: DataFrame, gap: int = 3) -> DataFrame:
+    """sid, v, lbegin, lend, rbegin, rend, n: each stem of the containment forest taken together with its only child, that one's only child and so on, while both gaps are at most ``gap`` bases.
+
+    v is the outermost stem of such a chain, n its stems.  A chain's links are followed by jumps of doubling length."""
+    from .clusters import checkpointed
+    from .relations import containment_parents
+
+    p = containment_parents(stems).where("parent is not null")
+    only = p.join(p.groupBy("sid", "parent").agg(F.count(F.lit(1)).alias("children")).where("children = 1"), ["sid", "parent"]).select("sid", "v", "parent")
+    side = lambda x, *c: stems.select("sid", F.col("v").alias(x), *(F.col(n).alias(f"{x}_{n}") for n in c))
+    close = only.join(side("v", "lbegin", "rend"), ["sid", "v"]).join(side("parent", "lend", "rbegin"), ["sid", "parent"])
+    close = close.where((F.col("v_lbegin") - F.col("parent_lend") - 1 <= gap) & (F.col("parent_rbegin") - F.col("v_rend") - 1 <= gap))
+    top = checkpointed(stems.select("sid", "v").join(close.select("sid", "v", "parent"), ["sid", "v"], "left").select("sid", "v", F.coalesce("parent", "v").alias("top")))
+    while True:
+        up = top.select("sid", F.col("v").alias("top"), F.col("top").alias("higher"))
+        new = checkpointed(top.join(up, ["sid", "top"]).select("sid", "v", "top", "higher"))
+        moved = new.where("top <> higher").limit(1).count()
+        top = new.select("sid", "v", F.col("higher").alias("top"))
+        if not moved:
+            break
+    rows = stems.join(top, ["sid", "v"])
+    return rows.groupBy("sid", F.col("top").alias("v")).agg(F.min("lbegin").alias("lbegin"), F.max("lend").alias("lend"), F.min("rbegin").alias("rbegin"), F.max("rend").alias("rend"), F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,7 @@ j or o edge.  There are few distinct keys, so subgraphs are counted by key befor
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import pandas as pd
@@ -308,5 +309,74 @@ def frequent_codes(counts: DataFrame, support: int) -> DataFrame:
     return counts.groupBy("code").agg(F.countDistinct("sid").alias("support")).where(F.col("support") >= support)
 
 
+def _edge_codes(sets: DataFrame) -> DataFrame:
+    """sets (edges: sorted array of u, v, e) with the code of each: vertices are renumbered in order, and a code is computed once for each distinct form."""
+    order = F.array_sort(F.array_distinct(F.flatten(F.transform("edges", lambda x: F.array(x["u"], x["v"])))))
+    at = lambda v: (F.array_position("_order", v) - 1).cast("string")
+    form = F.array_join(F.transform("edges", lambda x: F.concat(at(x["u"]), x["e"], at(x["v"]))), " ")
+    keyed = sets.withColumn("_order", order).withColumn("form", form).drop("_order")
+
+    def run(source):
+        for p in source:
+            graphs = [[(int(a), int(b), e) for a, e, b in re.findall(r"(\d+)([ijo])(\d+)", f)] for f in p["form"]]
+            yield pd.DataFrame({"form": p["form"], "code": [canonical_code(g) for g in graphs]})
+
+    codes = keyed.select("form").distinct().mapInPandas(run, "form string, code string")
+    return keyed.join(codes, "form").drop("form")
+
+
+def grown_patterns(edges: DataFrame, support: int, max_edges: int = 3) -> DataFrame:
+    """code, n_edges, support of all connected patterns of up to ``max_edges`` edges that are in at least ``support`` structures.
+
+    Patterns grow by an edge: places of a frequent pattern are joined with the edges at their stems, and only those of
+    patterns that are frequent again go on (a pattern is in no more structures than any part of it).  A place is a set of
+    edges, so a pattern is any part of a structure, with or without the other edges between its stems."""
+    from .clusters import checkpointed
+
+    e = edges.where("etype in ('i', 'j', 'o')").select("sid", F.least("u", "v").cast("int").alias("u"), F.greatest("u", "v").cast("int").alias("v"), F.when(F.col("u") < F.col("v"), F.col("etype")).otherwise(F.translate("etype", "ij", "ji")).alias("e")).where("u <> v")
+    one = F.struct("u", "v", "e")
+    ends = e.select("sid", F.explode(F.array("u", "v")).alias("w"), one.alias("x"))
+    now, out = e.select("sid", F.array(one).alias("edges")), None
+    for n in range(1, max_edges + 1):
+        coded = checkpointed(_edge_codes(now))
+        good = coded.groupBy("code").agg(F.countDistinct("sid").alias("support")).where(F.col("support") >= support)
+        found = good.select("code", F.lit(n).alias("n_edges"), "support")
+        out = found if out is None else out.unionAll(found)
+        if n < max_edges:
+            places = coded.join(good.select("code"), "code", "left_semi").select("sid", "edges")
+            more = places.withColumn("w", F.explode(F.array_distinct(F.flatten(F.transform("edges", lambda x: F.array(x["u"], x["v"])))))).join(ends, ["sid", "w"])
+            now = more.where(~F.array_contains("edges", F.col("x"))).select("sid", F.array_sort(F.concat("edges", F.array("x"))).alias("edges")).distinct()
+    return out
+
+
+def extended_sets(sets: DataFrame) -> DataFrame:
+    """sid, v, members: each neighbour set (as ``neighbour_sets``) with those of its greater members."""
+    more = sets.select("sid", "v", F.explode("members").alias("u")).where("u > v").join(sets.select("sid", F.col("v").alias("u"), F.col("members").alias("others")), ["sid", "u"])
+    union = sets.select("sid", "v", "members").unionAll(more.select("sid", "v", F.col("others").alias("members")))
+    return union.select("sid", "v", F.explode("members").alias("m")).groupBy("sid", "v").agg(F.array_sort(F.collect_set("m")).alias("members"))
+
+
+def common_members(sets: DataFrame) -> DataFrame:
+    """sid, u < v, members: what the neighbour sets of two stems that are in each other's have in common."""
+    pair = sets.select("sid", F.col("v").alias("u"), F.col("members").alias("a"), F.explode("members").alias("v")).where("u < v")
+    return pair.join(sets.select("sid", "v", F.col("members").alias("b")), ["sid", "v"]).select("sid", "u", "v", F.array_sort(F.array_intersect("a", "b")).alias("members"))
+
+
+def disjoint_sets(sets: DataFrame, most_common: int = 0) -> DataFrame:
+    """The sets of each structure, the larger first and then in order of v, that have at most ``most_common`` members in common with every one kept before (order matters: one function a structure)."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        kept: list[set] = []
+        rows = []
+        for i in sorted(range(len(p)), key=lambda i: (-len(p["members"].iloc[i]), p["v"].iloc[i])):
+            mine = set(p["members"].iloc[i])
+            if all(len(mine & k) <= most_common for k in kept):
+                kept.append(mine)
+                rows.append(i)
+        return p.iloc[sorted(rows)]
+
+    return sets.groupBy("sid").applyInPandas(run, sets.schema)
+
+
 def code_of_graph(edges: list[tuple[int, int, str]]) -> str | None:
     return canonical_code(edges)

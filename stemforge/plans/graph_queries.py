@@ -11,7 +11,7 @@ from ..operators import relations as R
 from ..operators import stems as S
 from ..operators import subgraphs as G
 from . import bindings as B
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 
 def count(d, *keys):
@@ -155,6 +155,65 @@ def vset_sizes(spark, sf):
     return G.neighbour_sets(R.edges(B.stems(spark, sf))).select("sid", "v", F.size("members").cast("long").alias("n"))
 
 
+_NEAR = f"""{B.EDGES_SQL},
+n AS (SELECT sid, u, v FROM edges WHERE etype <> 's' UNION SELECT sid, v, u FROM edges WHERE etype <> 's' UNION SELECT sid, u, u FROM edges UNION SELECT sid, v, v FROM edges)"""
+
+
+def _near(spark, sf):
+    return G.neighbour_sets(R.edges(B.stems(spark, sf)))
+
+
+def _joined(d, *keys):
+    return d.select(*keys, F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query(
+    "vset_extended",
+    f"""WITH {_NEAR},
+x AS (SELECT sid, u AS v, v AS m FROM n UNION SELECT a.sid, a.u, b.v FROM n a JOIN n b ON b.sid = a.sid AND b.u = a.v AND a.v > a.u)
+SELECT sid, v, string_agg(m, ',' ORDER BY m) AS members FROM x GROUP BY 1, 2""",
+)
+def vset_extended(spark, sf):
+    return _joined(G.extended_sets(_near(spark, sf)), "sid", "v")
+
+
+@query(
+    "vset_common",
+    f"""WITH {_NEAR}
+SELECT a.sid, a.u, a.v, string_agg(x.v, ',' ORDER BY x.v) AS members FROM n a JOIN n x ON x.sid = a.sid AND x.u = a.u JOIN n y ON y.sid = a.sid AND y.u = a.v AND y.v = x.v WHERE a.u < a.v GROUP BY 1, 2, 3""",
+)
+def vset_common(spark, sf):
+    return _joined(G.common_members(_near(spark, sf)), "sid", "u", "v")
+
+
+@query(
+    "vset_disjoint",
+    f"""WITH RECURSIVE {_NEAR.strip()},
+o AS (SELECT sid, v, m, row_number() OVER (PARTITION BY sid ORDER BY len(m) DESC, v) AS k FROM (SELECT sid, u AS v, list(v ORDER BY v) AS m FROM n GROUP BY 1, 2)),
+r AS (SELECT sid, k, v, m, true AS ok, m AS taken FROM o WHERE k = 1
+  UNION ALL SELECT sid, k, v, m, good, CASE WHEN good THEN list_concat(taken, m) ELSE taken END FROM (SELECT o.sid, o.k, o.v, o.m, r.taken, len(list_intersect(r.taken, o.m)) = 0 AS good FROM r JOIN o ON o.sid = r.sid AND o.k = r.k + 1))
+SELECT sid, v, array_to_string(m, ',') AS members FROM r WHERE ok""",
+)
+def vset_disjoint(spark, sf):
+    return _joined(G.disjoint_sets(_near(spark, sf)), "sid", "v")
+
+
+_SHAPES = ", ".join(f"('{a}{b}', '{G.code_of_graph([(0, 1, a), (0, 2, b)])}')" for a, b in ("ii", "ij", "io", "jj", "jo", "oo"))
+
+
+@query(
+    "grown_patterns",
+    f"""WITH {B.IJO_SQL},
+l AS (SELECT sid, u, v, etype AS e FROM ijo UNION ALL SELECT sid, v, u, translate(etype, 'ij', 'ji') FROM ijo),
+shapes(key, code) AS (VALUES {_SHAPES}),
+p AS (SELECT 1 AS n_edges, CASE etype WHEN 'o' THEN '0o1.' ELSE '0i1.' END AS code, sid FROM ijo
+  UNION ALL SELECT 2, code, x.sid FROM l x JOIN l y ON x.sid = y.sid AND x.u = y.u AND x.v < y.v JOIN shapes ON key = least(x.e || y.e, y.e || x.e))
+SELECT code, n_edges, count(DISTINCT sid) AS support FROM p GROUP BY 1, 2 HAVING count(DISTINCT sid) >= 20""",
+)
+def grown_patterns(spark, sf):
+    return G.grown_patterns(R.linked_edges(B.stems(spark, sf)), 20, 2)
+
+
 @query(
     "induced_edges",
     f"""WITH {B.IJO_SQL}
@@ -310,6 +369,29 @@ def merged_stems(spark, sf):
     return S.merge_stems(B.stems(spark, sf))
 
 
+_LEFT, _RIGHT = "(x.a <= y.b AND y.a <= x.b)", "(x.c <= y.d AND y.c <= x.d)"
+_PAIR_ANY = f"({_PAIR_NEAR} OR (y.a <= x.a AND x.b <= y.b AND y.c <= x.c AND x.d <= y.d) OR ({_LEFT} AND NOT {_RIGHT} AND abs(x.c - y.d - 1) <= 4) OR ({_RIGHT} AND NOT {_LEFT} AND abs(y.a - x.b - 1) <= 4) OR (NOT {_LEFT} AND NOT {_RIGHT} AND x.c <= y.b AND y.a <= x.d))"
+
+
+@query("merged_stems_all_rules", ORACLES["merged_stems"].replace(_PAIR_NEAR, _PAIR_ANY))
+def merged_stems_all_rules(spark, sf):
+    return S.merge_stems(B.stems(spark, sf), rules=(1, 2, 3, 4, 5))
+
+
+@query(
+    "merged_only_children",
+    f"""WITH RECURSIVE {B.STEMS_SQL.strip()},
+q AS (SELECT c.sid, c.v, p.v AS parent, c.lbegin - p.lend - 1 AS lgap, p.rbegin - c.rend - 1 AS rgap, row_number() OVER (PARTITION BY c.sid, c.v ORDER BY p.rend - p.lbegin, -p.lbegin, p.v) AS k
+  FROM stems c JOIN stems p ON c.sid = p.sid AND c.lbegin >= p.lend AND c.rend <= p.rbegin AND c.v <> p.v),
+o AS (SELECT *, count(*) OVER (PARTITION BY sid, parent) AS children FROM q WHERE k = 1),
+up AS (SELECT sid, v, parent FROM o WHERE children = 1 AND lgap <= 12 AND rgap <= 12),
+r AS (SELECT sid, v, v AS top FROM stems s WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.sid = s.sid AND up.v = s.v) UNION ALL SELECT up.sid, up.v, r.top FROM r JOIN up ON up.sid = r.sid AND up.parent = r.v)
+SELECT sid, r.top AS v, min(lbegin) AS lbegin, max(lend) AS lend, min(rbegin) AS rbegin, max(rend) AS rend, count(*) AS n FROM r JOIN stems USING (sid, v) GROUP BY 1, 2""",
+)
+def merged_only_children(spark, sf):
+    return S.merge_only_children(B.stems(spark, sf), gap=12)
+
+
 @query("pair_histogram", f"WITH {B.HISTOGRAM_SQL}\nSELECT sid, pos, ppos, count(*) AS cnt FROM pairs GROUP BY 1, 2, 3")
 def pair_histogram(spark, sf):
     return S.pair_histogram(B.sampled_pairs(spark, sf))

@@ -16,6 +16,7 @@ from stemforge.operators import fingerprints as P
 from stemforge.operators import relations as R
 from stemforge.operators import similarity as D
 from stemforge.operators import stems as S
+from stemforge.operators import subgraphs as G
 
 STEM = "sid string, v int, lbegin int, lend int, rbegin int, rend int"
 
@@ -208,6 +209,38 @@ def test_brackets_end_stems_at_other_pairs(spark):
     assert [r.stem for r in S.stems_from_brackets(split).orderBy("stem").collect()] == [0, 1, 2]
 
 
+def test_relations_and_their_classes(spark):
+    """The 70 orders of two stems' ends fall into 23 classes under exchange and reading from the other end."""
+    keys = []
+    for at in itertools.combinations(range(8), 4):
+        n = {"a": 0, "b": 0}
+        word = ""
+        for i in range(8):
+            who = "a" if i in at else "b"
+            n[who] += 1
+            word += f"{who}{n[who]}"
+        keys.append((word,))
+    got = spark.createDataFrame(keys, "k string").select(R.overlap_class(F.col("k")).alias("c")).collect()
+    assert len(keys) == 70 and len({r.c for r in got}) == 23
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_grown_patterns(spark, seed):
+    """Every connected set of up to three edges of small graphs, its code, and the structures that have it."""
+    rng = random.Random(seed)
+    rows = [(s, u, v, rng.choice("ijosx")) for s in "abcdef" for u in range(5) for v in range(u + 1, 5) if rng.random() < 0.7]
+    got = {(r.code, r.n_edges): r.support for r in G.grown_patterns(spark.createDataFrame(rows, "sid string, u int, v int, etype string"), 2, 3).collect()}
+    have: dict = {}
+    for s in "abcdef":
+        mine = [r[1:] for r in rows if r[0] == s and r[3] in "ijo"]
+        for n in (1, 2, 3):
+            for part in itertools.combinations(mine, n):
+                code = C.canonical_code(part)
+                if code is not None and code.count(".") == n:
+                    have.setdefault((code, n), set()).add(s)
+    assert got == {k: len(v) for k, v in have.items() if len(v) >= 2} and any(n == 3 for _, n in got)
+
+
 def test_random_structures_are_even(spark):
     """All 15 matchings of three stems come about equally often, and equal seeds give equal rows."""
     rows = [tuple(r.pairs) for r in E.random_structures(spark, 3000, 3, seed=5).collect()]
