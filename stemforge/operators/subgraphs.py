@@ -6,6 +6,7 @@ j or o edge.  There are few distinct keys, so subgraphs are counted by key befor
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 from collections import Counter
@@ -204,30 +205,38 @@ def sampled_fingerprint(edges: DataFrame, k: int = 7, limit: int = 10_000, cover
 
     def one(name, rows: list[tuple[int, int, str]], codes: dict[str, str | None]) -> Counter:
         near, types = _graph(rows)
-        barred: dict[int, set[int]] = {}
-        for u, v, e in rows:
-            if e == "x":
-                barred.setdefault(u, set()).add(v)
-                barred.setdefault(v, set()).add(u)
-        rng = random.Random(f"{seed}:{name}")
         vertices, counts = sorted(near), Counter()
+        bit = {v: 1 << i for i, v in enumerate(vertices)}
+        linked = [sum(bit[w] for w in near[v]) for v in vertices]
+        barred = [0] * len(vertices)
+        for u, v, e in rows:
+            if e == "x" and u in bit and v in bit:
+                barred[bit[u].bit_length() - 1] |= bit[v]
+                barred[bit[v].bit_length() - 1] |= bit[u]
+        draw = random.Random(f"{seed}:{name}").random
+        border: dict[int, list[int]] = {}  # of a set of stems, those that may join it; sets come again and again
+        code_of: dict[int, str | None] = {}
         for n in range(limit if vertices else 0):
-            chosen = {rng.choice(vertices)}
-            out = set().union(*(barred.get(v, set()) for v in chosen))
-            while len(chosen) < k:
-                border = sorted({w for v in chosen for w in near[v]} - chosen - out)
-                if not border:
+            chosen, size = 1 << int(draw() * len(vertices)), 1
+            while size < k:
+                joins = border.get(chosen)
+                if joins is None:
+                    inside = [i for i in range(len(vertices)) if chosen >> i & 1]
+                    free = functools.reduce(int.__or__, (linked[i] for i in inside)) & ~chosen & ~functools.reduce(int.__or__, (barred[i] for i in inside))
+                    joins = border[chosen] = [1 << i for i in range(free.bit_length()) if free >> i & 1]
+                if not joins:
                     break
-                w = rng.choice(border)
-                chosen.add(w)
-                out |= barred.get(w, set())
-            if len(chosen) < 4:
+                chosen |= joins[int(draw() * len(joins))]
+                size += 1
+            if size < 4:
                 continue
-            key = _labelled(chosen, types)
-            if key not in codes:
-                codes[key] = code_of_key(key)
-            if codes[key] is not None:
-                counts[codes[key]] += 1
+            if chosen not in code_of:
+                key = _labelled((v for v in vertices if chosen & bit[v]), types)
+                if key not in codes:
+                    codes[key] = code_of_key(key)
+                code_of[chosen] = codes[key]
+            if code_of[chosen] is not None:
+                counts[code_of[chosen]] += 1
             if n % 100 == 99 and counts and min(counts.values()) >= coverage:
                 break
         return counts
