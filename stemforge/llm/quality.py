@@ -328,9 +328,11 @@ def estimate(rows: DataFrame, *, h: float = 0.5, steps: int = 30, prior: float =
 def _averaged(own: DataFrame, sizes: DataFrame, prior: float) -> DataFrame:
     """(grp, wide, state): a group's estimate with ``prior`` rows of its language's, a language's with as many of the mean of all."""
     each = own.join(sizes, "grp").select("grp", "lang", "wide", "size", "est")
-    mean = each.where("wide").agg(F.array(*(F.sum(F.col("est")[i] * F.col("size")) / F.sum("size") for i in range(P + len(PAIRS)))).alias("wider"))
+    # one row of 27 numbers, null where there is no group at all
+    mean = each.where("wide").agg(*(F.sum(F.col("est")[i] * F.col("size")) / F.sum("size") for i in range(P + len(PAIRS)))).first()
+    wider = F.array(*(F.lit(float(v or 0.0)) for v in mean))
     with_prior = F.zip_with("est", "wider", lambda a, b: (a * F.col("size") + b * prior) / (F.col("size") + prior))
-    langs = each.where("wide").join(F.broadcast(mean)).select("grp", "lang", "wide", with_prior.alias("est"))
+    langs = each.where("wide").withColumn("wider", wider).select("grp", "lang", "wide", with_prior.alias("est"))
     groups = each.where("not wide").join(langs.select("lang", F.col("est").alias("wider")), "lang").select("grp", "lang", "wide", with_prior.alias("est"))
 
     def run(source):
