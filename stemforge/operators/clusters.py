@@ -116,43 +116,48 @@ def leaves(newick: str) -> list[str]:
     return re.findall(r"(?<=[(,])([^(),:;]+)(?=[:,)])", newick)
 
 
-def manhattan_step(points: DataFrame, centroids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, cluster, error) and the mean centroids (cluster, c) of one Lloyd step with Manhattan distance.
+def _nearest(points: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(run,) id, x, cluster, error: each point's nearest centroid; of equal distances the last cluster wins.
 
-    points: id, x (array); centroids: cluster, c (array), k rows, and where it has a column ``run`` k of each run, which are
-    then all stepped at once (and the results have the column).  Of equal distances the last cluster wins.  The centroids
-    of a run travel as one row's array, so a point finds its cluster without a shuffle; means are partial sums."""
+    The centroids of a run travel as one row's array, so a point finds its cluster without a shuffle."""
     run = ["run"] if "run" in centroids.columns else []
     far = lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: F.abs(a - b).cast("double")), F.lit(0.0), lambda s, v: s + v)
     table = centroids.groupBy(*run).agg(F.collect_list(F.struct("cluster", "c")).alias("_all"))
     least = F.array_min(F.transform("_all", lambda z: F.struct(far(z["c"]).alias("d"), (-z["cluster"]).alias("k"))))
-    near = points.crossJoin(F.broadcast(table)).withColumn("_b", least).select(*run, "id", "x", (-F.col("_b.k")).alias("cluster"), F.col("_b.d").alias("error"))
-    best = near.select(*run, "id", "cluster", "error")
-    parts = near.select(*run, "cluster", F.posexplode("x")).groupBy(*run, "cluster", "pos").agg(F.avg("col").alias("m"))
-    means = parts.groupBy(*run, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("c"))
-    return best, means
+    return points.crossJoin(F.broadcast(table)).withColumn("_b", least).select(*run, "id", "x", (-F.col("_b.k")).alias("cluster"), F.col("_b.d").alias("error"))
+
+
+def manhattan_step(points: DataFrame, centroids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, cluster, error) and the mean centroids (cluster, c) of one Lloyd step with Manhattan distance.
+
+    points: id, x (array); centroids: cluster, c (array), k rows.  Of equal distances the last cluster wins; means are
+    partial sums."""
+    near = _nearest(points, centroids)
+    parts = near.select("cluster", F.posexplode("x")).groupBy("cluster", "pos").agg(F.avg("col").alias("m"))
+    means = parts.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("c"))
+    return near.select("id", "cluster", "error"), means
 
 
 def repeated_kmeans(points: DataFrame, k: int, runs: int = 20, *, tolerance: float = 1e-4, most: int = 50, seed: int = 1) -> DataFrame:
-    """run, id, cluster: ``runs`` k-means clusterings, each from k random points of its own, stepped together until no run's error changes by more than ``tolerance`` of itself."""
+    """run, id, cluster: ``runs`` k-means clusterings, each from k random points of its own (those of least hash), all stepped
+    at once, a job a step, until no run's error changes by more than ``tolerance`` of itself."""
     spark = points.sparkSession
-    rank = F.row_number().over(Window.partitionBy("run").orderBy("h", "id"))
-    # the k points of least hash of each run: k is a parameter, and no task holds more than its own k of a run
-    start = None
-    for r in range(runs):
-        own = points.orderBy(F.xxhash64("id", F.lit(seed + r)), "id").limit(k).select(F.lit(r).alias("run"), F.xxhash64("id", F.lit(seed + r)).alias("h"), "id", "x")
-        start = own if start is None else start.unionAll(own)
-    rows = start.withColumn("cluster", rank - 1).select("run", "cluster", F.col("x").cast("array<double>").alias("c")).collect()
-    schema = "run int, cluster int, c array<double>"
-    before, best = None, None
+    each = points.select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "id", "x")
+    rank = F.row_number().over(Window.partitionBy("run").orderBy(F.xxhash64("id", F.lit(seed) + F.col("run")), "id"))
+    start = each.withColumn("rank", rank).where(F.col("rank") <= k).select("run", (F.col("rank") - 1).alias("cluster"), F.col("x").cast("array<double>").alias("c"))
+    rows = [tuple(r) for r in start.collect()]  # k rows a run
+    if not rows:
+        return points.select(F.lit(0).alias("run"), "id", F.lit(0).alias("cluster"))
+    size, before, best = len(rows[0][2]), None, None
     for _ in range(most):
-        best, means = manhattan_step(points, spark.createDataFrame(rows, schema))
-        best = checkpointed(best)
-        error = {r[0]: r[1] for r in best.groupBy("run").agg(F.sum("error")).collect()}
-        rows = [(r[0], r[1], r[2]) for r in means.collect()]  # k rows a run
+        best = _nearest(points, spark.createDataFrame(rows, "run int, cluster int, c array<double>"))
+        means = best.groupBy("run", "cluster").agg(F.array(*(F.avg(F.col("x")[i]) for i in range(size))).alias("c"), F.sum("error").alias("error")).collect()
+        error: dict[int, float] = {}
+        for r in means:
+            error[r.run] = error.get(r.run, 0.0) + r.error
         if before is not None and all(abs(before[r] - e) <= tolerance * max(before[r], 1e-300) for r, e in error.items()):
             break
-        before = error
+        before, rows = error, [(r.run, r.cluster, r.c) for r in means]
     return best.select("run", "id", "cluster")
 
 
