@@ -119,6 +119,7 @@ def test_matching_sets_always_meet(n):
             assert 100 * both >= percent * (len(x) + len(y) - both)
             common = np.sort(rng.choice(x, len(x) * (trial % 5) // 5, replace=False))
             assert len(np.intersect1d(ngram_join.signatures(x, percent, common), ngram_join.signatures(y, percent, common)))
+            assert len(np.intersect1d(ngram_join.signatures(x, percent, common, False), ngram_join.signatures(y, percent, common, False)))  # nearly surely
 
 
 @pytest.mark.parametrize("seed", range(6))
