@@ -1,8 +1,9 @@
 """The corpus pipeline: whole documents through five stages, each on all that its predecessor kept.
 
-Quality rules and toxicity drop the documents that they reject, the n-gram join keeps the least doc_id of each group of
-near duplicates (five words, Jaccard 0.8; pairs of large texts at the very threshold with a chance of 1 - 1e-5), decontamination drops documents that share ten words with the benchmark, and
-packing returns the pieces of sequences.  All but the last return the columns of documents.
+Quality rules and toxicity drop the documents that they reject, the n-gram join keeps one document of each group of near
+duplicates (five words, Jaccard 0.8; a pair of large texts at the very threshold is missed with a chance below 1e-5),
+decontamination drops documents that share ten words with the benchmark, and packing returns the pieces of sequences.  All
+but the last return the columns of documents.
 """
 
 from __future__ import annotations
