@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import decode_dfs
@@ -112,9 +112,21 @@ def parse_distances(lines: DataFrame) -> DataFrame:
     return d.withColumn("is_pos", group_of(F.col("id1")) == group_of(F.col("id2")))
 
 
+def three_decimals(x: Column) -> Column:
+    """x as ``%.3f`` of C and Python writes it: its binary value rounded, exact halves to even (Java rounds its shortest decimals).
+
+    1000 x is formed without error as the sum of two numbers, so a half and what lies beside it are told apart."""
+    upper = x * 134217729.0 - (x * 134217729.0 - x)  # the upper 26 bits
+    a, b = upper * 1000, (x - upper) * 1000
+    s = a + b
+    rest = (a - (s - (s - a))) + (b - (s - a))
+    n = F.when((s - F.floor(s) == 0.5) & (rest != 0), s + F.signum(rest) / 2).otherwise(F.rint(s))
+    return F.format_string("%.3f", F.when(F.abs(x) < 1e9, n / 1000).otherwise(x))
+
+
 def distance_lines(pairs: DataFrame) -> DataFrame:
     """value: tab-separated rows with three decimals."""
-    three = lambda c: F.format_string("%.3f", F.col(c))
+    three = lambda c: three_decimals(F.col(c))
     return pairs.select(F.concat_ws("\t", F.col("id1").cast("string"), F.col("id2").cast("string"), three("jaccard"), three("bray_curtis")).alias("value"))
 
 

@@ -122,6 +122,14 @@ def test_distances(spark, tmp_path):
     assert got == [("tRNA.a.fpt", "tRNA.c.fpt", 1.0, 0.971, True), ("tRNA.a.fpt", "tmRNA.b.fpt", 0.019, 0.986, False)]
 
 
+def test_decimals_are_those_of_the_binary_value(spark):
+    from pyspark.sql import functions as F
+
+    xs = [a / b for b in range(1, 500) for a in range(0, b + 1, 1 + b // 40)] + [0.0225, 0.0075, 0.0625, 0.1875, 0.0005, 1e-300, 1 / 3, 123456.0625, 7e8 + 0.0625, 1e15, -0.0625, -0.0225]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", tables.three_decimals(F.col("x")).alias("t")).collect()
+    assert len(got) == len(xs) and not [r for r in got if r.t != f"{r.x:.3f}"]
+
+
 def test_fasta(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">one first doc\nACG\nU\n>two\nacgn\n\n")
     assert [tuple(r) for r in tables.read_fasta(spark, f"{tmp_path}/*.fa").orderBy("id").collect()] == [("x.fa", "one", "first doc", "ACGU"), ("x.fa", "two", "", "acgn")]
