@@ -434,6 +434,11 @@ def traced_stems(spark, sf):
     return S.trace_stems(S.frequent_pairs(pair_histogram(spark, sf), 2), gap=3, minstem=3)
 
 
+def _rounded_energy(name: str):
+    """Six decimals; a negative zero stays one, as in SQL."""
+    return F.when(F.col(name) == 0, F.col(name)).otherwise(F.round(name, 6)).alias(name)
+
+
 @query(
     "ct_energy_takewhile",
     """WITH s AS (SELECT user_id AS sid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS struct_no, -value AS energy FROM events),
@@ -447,7 +452,7 @@ def ct_energy_takewhile(spark, sf):
     e = table(spark, sf, "events")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
     s = e.select(F.col("user_id").alias("sid"), n.alias("struct_no"), (-F.col("value")).alias("energy"))
-    return S.energy_takewhile(s, 40.0).select("sid", "struct_no", F.round("energy", 6).alias("energy"))
+    return S.energy_takewhile(s, 40.0).select("sid", "struct_no", _rounded_energy("energy"))
 
 
 @query(
@@ -456,7 +461,7 @@ def ct_energy_takewhile(spark, sf):
 )
 def first_energy(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("sid"), F.col("event_id").alias("struct_no"), (-F.col("value")).alias("energy"))
-    return S.first_energy(e).select("sid", F.round("mfe", 6).alias("mfe"))
+    return S.first_energy(e).select("sid", _rounded_energy("mfe"))
 
 
 @query(

@@ -199,6 +199,14 @@ def test_traced_stems(spark):
     assert got[0].lvienna == "(((.(" and got[0].rvienna in (").)))", "))))." , ")).))", ").))" )
 
 
+def test_energies_at_the_limit(spark):
+    """The limit is the first energy and one number, not two added in turn."""
+    mfe = [-i / 100 for i in range(0, 6000, 3)]
+    rows = [(i, k, e) for i, m in enumerate(mfe) for k, e in enumerate((m, round(m + 40.01, 2)))]
+    got = {(r.sid, r.struct_no) for r in S.energy_takewhile(spark.createDataFrame(rows, "sid long, struct_no long, energy double"), 40.0).collect()}
+    assert got == {(i, k) for i, k, e in rows if not e > mfe[i] + 40.01}
+
+
 def test_segments_and_mountain(spark):
     s = stems(spark, [(1, 2, 9, 10), (4, 4, 5, 5), (12, 13, 20, 21)])
     assert [(r.begin, r.end, r.n) for r in S.strict_segments(s).orderBy("segment").collect()] == [(1, 10, 2), (12, 21, 1)]
