@@ -15,10 +15,14 @@ from pyspark.sql import types as T
 _OPEN, _CLOSE = "([{<", ")]}>"
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value made once: an expression inside a lambda is evaluated for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def serial_canonical(serial: Column) -> Column:
     """Stems renumbered by first appearance."""
-    seen = F.array_distinct(serial)
-    return F.transform(serial, lambda x: (F.array_position(seen, x) - 1).cast("int"))
+    return _let(serial, lambda s: _let(F.array_distinct(s), lambda seen: F.transform(s, lambda x: (F.array_position(seen, x) - 1).cast("int"))))
 
 
 def serial_reverse(serial: Column) -> Column:
@@ -43,36 +47,32 @@ def serial_to_pairs(serial: Column) -> Column:
 
 
 def _pair_structs(pairs: Column) -> Column:
-    n = (F.size(pairs) / 2).cast("int")
-    each = lambda k: F.struct(F.least(F.get(pairs, k * 2), F.get(pairs, k * 2 + 1)).alias("l"), F.greatest(F.get(pairs, k * 2), F.get(pairs, k * 2 + 1)).alias("r"))
-    return F.when(n > 0, F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), each))).otherwise(F.array().cast("array<struct<l:int,r:int>>"))
+    n = lambda q: (F.size(q) / 2).cast("int")
+    each = lambda q: lambda k: F.struct(F.least(F.get(q, k * 2), F.get(q, k * 2 + 1)).alias("l"), F.greatest(F.get(q, k * 2), F.get(q, k * 2 + 1)).alias("r"))
+    return _let(pairs, lambda q: F.when(n(q) > 0, F.array_sort(F.transform(F.sequence(F.lit(0), n(q) - 1), each(q)))).otherwise(F.array().cast("array<struct<l:int,r:int>>")))
 
 
 def pairs_canonical(pairs: Column) -> Column:
     """Coordinates compressed to ranks, stems in order of their left ends."""
-    order = F.array_sort(pairs)
-    rank = lambda x: (F.array_position(order, x) - 1).cast("int")
-    return F.flatten(F.transform(_pair_structs(pairs), lambda p: F.array(rank(p["l"]), rank(p["r"]))))
+    rank = lambda order, x: (F.array_position(order, x) - 1).cast("int")
+    return _let(pairs, lambda q: _let(F.array_sort(q), lambda order: F.flatten(F.transform(_pair_structs(q), lambda p: F.array(rank(order, p["l"]), rank(order, p["r"]))))))
 
 
 def pairs_to_serial(pairs: Column) -> Column:
     """The number of the stem that has an end at each coordinate."""
-    p = _pair_structs(pairs)
-    left, right = F.transform(p, lambda x: x["l"]), F.transform(p, lambda x: x["r"])
-    at = lambda c: F.when(F.array_contains(left, c), F.array_position(left, c)).otherwise(F.array_position(right, c))
-    return F.transform(F.array_sort(pairs), lambda c: (at(c) - 1).cast("int"))
+    sides = lambda p: F.struct(F.transform(p, lambda x: x["l"]).alias("l"), F.transform(p, lambda x: x["r"]).alias("r"))
+    at = lambda z, c: F.when(F.array_contains(z["l"], c), F.array_position(z["l"], c)).otherwise(F.array_position(z["r"], c))
+    return _let(pairs, lambda q: _let(_let(_pair_structs(q), sides), lambda z: F.transform(F.array_sort(q), lambda c: (at(z, c) - 1).cast("int"))))
 
 
 def pairs_reverse(pairs: Column) -> Column:
     """The structure read from its other end."""
-    top = F.array_max(pairs)
-    return pairs_canonical(F.transform(pairs, lambda x: top - x))
+    return pairs_canonical(_let(pairs, lambda q: _let(F.array_max(q), lambda top: F.transform(q, lambda x: top - x))))
 
 
 def pairs_duplicate(pairs: Column) -> Column:
     """Two copies side by side."""
-    p = pairs_canonical(pairs)
-    return F.concat(p, F.transform(p, lambda x: x + F.size(p)))
+    return _let(pairs_canonical(pairs), lambda p: F.concat(p, F.transform(p, lambda x: x + F.size(p))))
 
 
 def pairs_push(pairs: Column, left: Column, right: Column) -> Column:
@@ -89,16 +89,16 @@ def pairs_connected(pairs: Column) -> Column:
 
 def pairs_depth(pairs: Column) -> Column:
     """Number of stems that span each position from 0 to the last end, both ends included."""
-    p = _pair_structs(pairs)
-    return F.transform(F.sequence(F.lit(0), F.array_max(pairs)), lambda c: F.size(F.filter(p, lambda x: (x["l"] <= c) & (c <= x["r"]))))
+    over = lambda p, c: F.size(F.filter(p, lambda x: (x["l"] <= c) & (c <= x["r"])))
+    return _let(pairs, lambda q: _let(_pair_structs(q), lambda p: F.transform(F.sequence(F.lit(0), F.array_max(q)), lambda c: over(p, c))))
 
 
 def serial_connected(serial: Column) -> Column:
     """The connected parts of a serial structure, in order."""
-    n = F.size(serial)
-    closed = lambda i: F.size(F.array_intersect(F.slice(serial, 1, i), F.slice(serial, i + 1, n))) == 0
-    cuts = F.when(n > 0, F.filter(F.sequence(F.lit(1), n), closed)).otherwise(F.array().cast("array<int>"))
-    return F.transform(cuts, lambda c, k: F.slice(serial, F.when(k == 0, 0).otherwise(F.get(cuts, k - 1)) + 1, c - F.when(k == 0, 0).otherwise(F.get(cuts, k - 1))))
+    closed = lambda s: lambda i: F.size(F.array_intersect(F.slice(s, 1, i), F.slice(s, i + 1, F.size(s)))) == 0
+    cuts = lambda s: F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(1), F.size(s)), closed(s))).otherwise(F.array().cast("array<int>"))
+    before = lambda at, k: F.when(k == 0, 0).otherwise(F.get(at, k - 1))
+    return _let(serial, lambda s: _let(cuts(s), lambda at: F.transform(at, lambda c, k: F.slice(s, before(at, k) + 1, c - before(at, k)))))
 
 
 def serial_to_graph(serial: Column) -> Column:
@@ -107,12 +107,11 @@ def serial_to_graph(serial: Column) -> Column:
 
 def pairs_to_graph(pairs: Column, serial_edges: bool = False) -> Column:
     """Edges of all stems i < j in order of left ends: i (inside), o (overlapping), and s where asked for."""
-    p = _pair_structs(pairs)
-    e = lambda a, b: F.when(a["r"] < b["l"], "s").when(a["r"] > b["r"], "i").otherwise("o")
-    edge = lambda a, i, b, j: F.struct(i.cast("int").alias("v0"), j.cast("int").alias("v1"), e(a, b).alias("e"))
-    rows = F.transform(p, lambda a, i: F.filter(F.transform(p, lambda b, j: edge(a, i, b, j)), lambda x: x["v1"] > x["v0"]))
-    flat = F.flatten(rows)
-    return flat if serial_edges else F.filter(flat, lambda x: x["e"] != "s")
+    kind = lambda a, b: F.when(a["r"] < b["l"], "s").when(a["r"] > b["r"], "i").otherwise("o")
+    edge = lambda a, b: F.struct(a["j"].alias("v0"), b["j"].alias("v1"), kind(a, b).alias("e"))
+    after = lambda p, a: F.filter(p, lambda b: (b["j"] > a["j"]) & (F.lit(serial_edges) | (b["l"] <= a["r"])))
+    numbered = F.transform(_pair_structs(pairs), lambda x, j: F.struct(x["l"].alias("l"), x["r"].alias("r"), j.cast("int").alias("j")))
+    return _let(numbered, lambda p: F.flatten(F.transform(p, lambda a: F.transform(after(p, a), lambda b: edge(a, b)))))
 
 
 def parse_brackets(text: str | None) -> list[int] | None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,23 @@ def test_serial_and_pairs(spark):
     assert one(spark, T.serial_from_text(F.lit("1 2 2 3 3 4 4 1"))) == [1, 2, 2, 3, 3, 4, 4, 1]
 
 
+def test_long_structures(spark):
+    """Depths and edges of 120 stems against loops: what a lambda needs is made once and not for each element (minutes otherwise)."""
+    rng = random.Random(5)
+    serial = [i % 120 for i in range(240)]
+    rng.shuffle(serial)
+    ends = sorted((serial.index(s), 239 - serial[::-1].index(s)) for s in set(serial))
+    df = spark.createDataFrame([(serial,)] * 50, "serial array<int>")
+    p = T.serial_to_pairs(F.col("serial"))
+    start = time.time()
+    got = df.select(T.pairs_depth(p).alias("d"), T.pairs_to_graph(p).alias("e"), T.pairs_to_graph(p, True).alias("s")).distinct().collect()
+    assert len(got) == 1 and time.time() - start < 60
+    assert got[0].d == [sum(l <= c <= r for l, r in ends) for c in range(240)]  # noqa: E741
+    kind = lambda a, b: "s" if a[1] < b[0] else "i" if a[1] > b[1] else "o"
+    every = [(i, j, kind(ends[i], ends[j])) for i in range(120) for j in range(i + 1, 120)]
+    assert [tuple(x) for x in got[0].s] == every and [tuple(x) for x in got[0].e] == [x for x in every if x[2] != "s"]
+
+
 @pytest.mark.parametrize("pairs,code", [([0, 1, 2, 3], ""), ([0, 2, 1, 3], "0o1."), ([0, 3, 1, 2], "0i1."), ([0, 5, 1, 2, 3, 4], "0i1.0i2.")])
 def test_pair_graphs(spark, pairs, code):
     assert one(spark, K.human_encode(T.pairs_to_graph(lit(*pairs)))) == code
