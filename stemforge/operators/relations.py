@@ -16,21 +16,21 @@ HALF = ["lbegin", "lend", "rbegin", "rend"]
 BIN = 64
 
 
-def _bin(position: Column) -> Column:
+def bin_of(position: Column) -> Column:
     return F.floor(position / BIN).cast("long")
 
 
-def _bins(begin: Column, end: Column) -> Column:
+def bins_of(begin: Column, end: Column) -> Column:
     """The bins that an interval touches, exploded; none where it is empty."""
-    return F.explode(F.when(end >= begin, F.sequence(_bin(begin), _bin(end))).otherwise(F.array().cast("array<bigint>")))
+    return F.explode(F.when(end >= begin, F.sequence(bin_of(begin), bin_of(end))).otherwise(F.array().cast("array<bigint>")))
 
 
 def meeting(a: DataFrame, b: DataFrame, a_span: tuple[Column, Column], b_span: tuple[Column, Column]) -> DataFrame:
     """Rows of a and b of one structure whose closed intervals have a common position, each pair once: in the bin of the later begin."""
     left, right = a.withColumns({"_ab": a_span[0], "_ae": a_span[1]}), b.withColumns({"_bb": b_span[0], "_be": b_span[1]})
-    left, right = left.withColumn("_bin", _bins(F.col("_ab"), F.col("_ae"))), right.withColumn("_bin", _bins(F.col("_bb"), F.col("_be")))
+    left, right = left.withColumn("_bin", bins_of(F.col("_ab"), F.col("_ae"))), right.withColumn("_bin", bins_of(F.col("_bb"), F.col("_be")))
     later = F.greatest("_ab", "_bb")
-    return left.join(right, ["sid", "_bin"]).where((later <= F.least("_ae", "_be")) & (F.col("_bin") == _bin(later))).drop("_bin", "_ab", "_ae", "_bb", "_be")
+    return left.join(right, ["sid", "_bin"]).where((later <= F.least("_ae", "_be")) & (F.col("_bin") == bin_of(later))).drop("_bin", "_ab", "_ae", "_bb", "_be")
 
 
 def prefixed(stems: DataFrame, prefix: str, *more: str) -> DataFrame:

@@ -247,3 +247,21 @@ def test_random_structures_are_even(spark):
     n = [rows.count(p) for p in set(rows)]
     assert len(n) == 15 and min(n) > 140 and max(n) < 260
     assert rows == [tuple(r.pairs) for r in E.random_structures(spark, 3000, 3, seed=5).collect()]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stems_at_each_position(spark, seed):
+    """Sets of stems over positions against a walk along them; a stem of very many positions costs no row each."""
+    rng = random.Random(seed)
+    rows = [(s, v, b := rng.randint(0, 150), b + rng.choice([0, 1, 5, 70, 200])) for s in range(4) for v in range(rng.randint(1, 9))] + [(9, 0, 0, 2 * 10**8), (9, 1, 5, 6)]
+    want, close = set(), {9: [0, 5, 7]}
+    for s in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == s]
+        last = ""
+        for pos in close.get(s) or range(-1, 400):
+            now = ",".join(str(v) for v in sorted(v for _, v, b, e in mine if b <= pos <= e))
+            if now and now != last:
+                want.add((s, pos, now))
+            last = now
+    df = spark.createDataFrame(rows, "sid long, v long, lbegin long, rend long")
+    assert {tuple(r) for r in S.stems_per_position(df).collect()} == want
