@@ -265,3 +265,27 @@ def test_stems_at_each_position(spark, seed):
             last = now
     df = spark.createDataFrame(rows, "sid long, v long, lbegin long, rend long")
     assert {tuple(r) for r in S.stems_per_position(df).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ids_that_are_together(spark, seed):
+    """Co-occurrence and consensus against loops, with ids alike in all runs, ids without a run and ids in two clusters of one."""
+    rng = random.Random(seed)
+    n, k = 60, 5
+    kinds = [[rng.randint(0, 2) for _ in range(k)] for _ in range((6, 60, 6, 6)[seed])]
+    own = {i: {(r, c) for r, c in enumerate(rng.choice(kinds))} for i in range(n)} | {99: {(0, 77)}}
+    if seed > 1:
+        own[7] = {(0, 1)}
+        own[8] = own[8] | {(1, 0), (1, 1), (1, 2)}
+    runs = spark.createDataFrame([(r, i, c) for i, x in own.items() for r, c in x], "run int, id long, cluster int")
+    want = {(i, j): len(own[i] & own[j]) for i in own for j in own if i < j and own[i] & own[j]}
+    rows = U.cooccurrence(runs).collect()
+    assert len(rows) == len(want) and {(r.id1, r.id2): r.together for r in rows} == want
+    for least in ((2,), (3,), (1, 5), (2,))[seed]:
+        name = {i: i for p in want for i in p}
+        for _ in name:
+            for (i, j), t in want.items():
+                if t > least:
+                    name[i] = name[j] = min(name[i], name[j])
+        rows = U.consensus_clusters(runs, least).collect()
+        assert len(rows) == len(name) and {r.id: r.cluster for r in rows} == name
