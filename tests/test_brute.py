@@ -289,3 +289,41 @@ def test_ids_that_are_together(spark, seed):
                     name[i] = name[j] = min(name[i], name[j])
         rows = U.consensus_clusters(runs, least).collect()
         assert len(rows) == len(name) and {r.id: r.cluster for r in rows} == name
+
+
+def one_matrix(ids, distance, missing=1.0):
+    """The tree by one matrix of all ids and a look at all of it for each merge."""
+    n, place = len(ids), {x: i for i, x in enumerate(ids)}
+    d = np.full((n, n), missing)
+    for (a, b), v in distance.items():
+        d[place[a], place[b]] = d[place[b], place[a]] = v
+    d[np.tril_indices(n)] = np.inf
+    names, height, merges = [str(i) for i in ids], np.zeros(n), []
+    for step in range(n - 1):
+        i, j = divmod(int(d.argmin()), n)
+        h = float(d[i, j]) / 2
+        merges.append((step, names[i], names[j], h))
+        names[i] = f"({names[i]}:{h - height[i]:.4g},{names[j]}:{h - height[j]:.4g})"
+        height[i] = h
+        row = (np.minimum(d[i], d[:, i]) + np.minimum(d[j], d[:, j])) / 2
+        d[i, i + 1 :], d[:i, i] = row[i + 1 :], row[:i]
+        d[j, :] = d[:, j] = np.inf
+    return merges, names[0] + ";"
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_trees_by_parts(seed):
+    """Trees of connected parts against one matrix: ties, parts without a link, distances at and beyond the missing one."""
+    rng = random.Random(seed)
+    n, groups = rng.randint(2, 60), rng.randint(1, 6)
+    some = (0.1, 0.2, 0.25, 0.5, 1.0, 0.9999999999999999) + ((1.5,) if seed % 5 == 0 else ())
+    d = {(a, b): rng.choice([*some, rng.random()]) for a, b in itertools.combinations(range(n), 2) if a % groups == b % groups and rng.random() < 0.6}
+    assert U.wpgma(list(range(n)), d) == one_matrix(list(range(n)), d)
+
+
+def test_tree_of_many_parts():
+    """Forty thousand ids in pairs: one matrix would take 12.8 GB."""
+    ids = list(range(40_000))
+    a = np.arange(0, 40_000, 2)
+    merges, text = U.wpgma_of(ids, a, a + 1, np.full(20_000, 0.5))
+    assert len(merges) == 39_999 and merges[0][1:] == ("0", "1", 0.25) and merges[-1][3] == 0.5 and text.count("(") == 39_999
