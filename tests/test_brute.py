@@ -327,3 +327,20 @@ def test_tree_of_many_parts():
     a = np.arange(0, 40_000, 2)
     merges, text = U.wpgma_of(ids, a, a + 1, np.full(20_000, 0.5))
     assert len(merges) == 39_999 and merges[0][1:] == ("0", "1", 0.25) and merges[-1][3] == 0.5 and text.count("(") == 39_999
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_filled_rows(spark, seed, monkeypatch):
+    """Every id with every motif, across blocks; ids without a name and repeated rows are kept, and no row of the grid is shuffled."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(P, "BLOCK", 4)
+    rows = [(rng.choice([1, 2, 3, 4, 5, None]), c, rng.randint(1, 9)) for c in range(21) for _ in range(rng.randint(1, 4))]
+    df = spark.createDataFrame(rows, "id long, code long, cnt long")
+    want = []
+    for i in {r[0] for r in rows}:
+        for c in {r[1] for r in rows}:
+            want += [(i, c, n) for x, y, n in rows if i is not None and (x, y) == (i, c)] or [(i, c, 0)]
+    out = P.fill_missing(df)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan.split("Generate")[0]
