@@ -11,6 +11,8 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,27 +211,98 @@ def manhattan_step(points: DataFrame, centroids: DataFrame) -> tuple[DataFrame,
     return near.select("id", "cluster", "error"), means
 
 
+def _matrix(x: pa.Array, size: int) -> np.ndarray:
+    """Rows of an array column as numbers, null and missing elements as NaN."""
+    long = pc.fill_null(pc.list_value_length(x), 0).to_numpy()
+    flat = x.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    if (long == size).all():
+        return flat.reshape(-1, size)
+    out = np.full((len(x), max(size, int(long.max(initial=0)))), np.nan)
+    row = np.repeat(np.arange(len(x)), long)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(long) - long, long)] = flat
+    out[long > size, 0] = np.nan  # as a missing element: no distance
+    return out[:, :size]
+
+
+def _near(x: np.ndarray, rows: list[tuple]) -> list[tuple]:
+    """(run, place of each point's nearest centroid among ``rows``, distance), of centroids (run, cluster, c) in order; of equal distances the last wins.
+
+    Distances are summed element by element, in order, as SQL sums them."""
+    far = np.zeros((len(rows), len(x)))
+    for i, c in enumerate(np.array([r[2] for r in rows], float).T):
+        far += np.abs(x[:, i] - c[:, None])
+    run = np.array([r[0] for r in rows])
+    out = []
+    for r in np.unique(run).tolist():
+        at = np.flatnonzero(run == r)
+        best = at[len(at) - 1 - far[at[::-1]].argmin(axis=0)]
+        out.append((r, best, far[best, np.arange(len(x))]))
+    return out
+
+
+def _step(rows: list[tuple], points: int = 1000):
+    """Of each task's points (id, x): run, cluster, count and sum of each element, error."""
+
+    def run(source):
+        size = len(rows[0][2])
+        n, total, error = np.zeros((len(rows), size), np.int64), np.zeros((len(rows), size)), np.zeros(len(rows))
+        for batch in source:
+            whole = _matrix(batch.column("x"), size)
+            for x in (whole[i : i + points] for i in range(0, len(whole), points)):
+                there = ~np.isnan(x)
+                for _, best, d in _near(x, rows):
+                    order = np.argsort(best, kind="stable")
+                    first = np.flatnonzero(np.diff(best[order], prepend=-1))
+                    at = best[order][first]
+                    n[at] += np.add.reduceat(there[order].astype(np.int64), first)
+                    total[at] += np.add.reduceat(np.where(there, x, 0.0)[order], first)
+                    error[at] += np.add.reduceat(np.nan_to_num(d)[order], first)
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array(n.tolist()), pa.array(total.tolist()), pa.array(error)], ["run", "cluster", "n", "total", "error"])
+
+    return run
+
+
+def _assign(rows: list[tuple], points: int = 1000):
+    """id, and each run's cluster."""
+
+    def run(source):
+        size, cluster = len(rows[0][2]), np.array([r[1] for r in rows], np.int32)
+        for batch in source:
+            whole = _matrix(batch.column("x"), size)
+            parts = [np.stack([cluster[best] for _, best, _ in _near(whole[i : i + points], rows)], axis=1) for i in range(0, len(whole), points)]
+            for i, part in enumerate(parts):
+                every = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]), pa.array(part.reshape(-1)))
+                yield pa.record_batch([batch.column("id").slice(i * points, len(part)), every], ["id", "clusters"])
+
+    return run
+
+
 def repeated_kmeans(points: DataFrame, k: int, runs: int = 20, *, tolerance: float = 1e-4, most: int = 50, seed: int = 1) -> DataFrame:
     """run, id, cluster: ``runs`` k-means clusterings, each from k random points of its own (those of least hash), all stepped
-    at once, a job a step, until no run's error changes by more than ``tolerance`` of itself."""
-    spark = points.sparkSession
+    at once, a job a step, until no run's error changes by more than ``tolerance`` of itself.
+
+    Tasks measure arrays of points and return sums; a point with a null element (or NaN) has no distance and gets the last cluster."""
     each = points.select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "id", "x")
     rank = F.row_number().over(Window.partitionBy("run").orderBy(F.xxhash64("id", F.lit(seed) + F.col("run")), "id"))
     start = each.withColumn("rank", rank).where(F.col("rank") <= k).select("run", (F.col("rank") - 1).alias("cluster"), F.col("x").cast("array<double>").alias("c"))
-    rows = [tuple(r) for r in start.collect()]  # k rows a run
+    rows = sorted((tuple(r) for r in start.collect()), key=lambda r: r[:2])  # k rows a run
     if not rows:
         return points.select(F.lit(0).alias("run"), "id", F.lit(0).alias("cluster"))
-    size, before, best = len(rows[0][2]), None, None
+    plain, before = points.select("id", F.col("x").cast("array<double>").alias("x")), None
     for _ in range(most):
-        best = _nearest(points, spark.createDataFrame(rows, "run int, cluster int, c array<double>"))
-        means = best.groupBy("run", "cluster").agg(F.array(*(F.avg(F.col("x")[i]) for i in range(size))).alias("c"), F.sum("error").alias("error")).collect()
-        error: dict[int, float] = {}
-        for r in means:
+        used, n, total, error = rows, {}, {}, {}
+        for r in plain.mapInArrow(_step(rows), "run int, cluster int, n array<long>, total array<double>, error double").toLocalIterator():
+            key = r.run, r.cluster
+            n[key], total[key] = n.get(key, 0) + np.array(r.n), total.get(key, 0.0) + np.array(r.total)
             error[r.run] = error.get(r.run, 0.0) + r.error
         if before is not None and all(abs(before[r] - e) <= tolerance * max(before[r], 1e-300) for r, e in error.items()):
             break
-        before, rows = error, [(r.run, r.cluster, r.c) for r in means]
-    return best.select("run", "id", "cluster")
+        before = error
+        rows = [(*key, (total[key] / n[key]).tolist()) for key in sorted(n) if n[key].all()] or rows
+    kind = points.schema["id"].dataType.simpleString()
+    names = sorted({r[0] for r in used})
+    best = plain.mapInArrow(_assign(used), f"id {kind}, clusters array<int>")
+    return best.select("id", F.posexplode("clusters").alias("_at", "cluster")).select(F.array(*map(F.lit, names))[F.col("_at")].alias("run"), "id", "cluster")
 
 
 def manhattan_kmeans(points: DataFrame, k: int, *, tolerance: float = 1e-4, most: int = 50, seed: int = 1) -> DataFrame:
@@ -268,11 +341,47 @@ def cooccurrence(runs: DataFrame) -> DataFrame:
     return first.join(F.broadcast(two), "like2").where("id1 < id2").select("id1", "id2", "together")
 
 
+def _band_links(least: int):
+    """Rows (key, like, own) sorted by key -> links (id1, id2) that connect all likes of a key whose own have more than ``least`` equal elements."""
+
+    def run(source):
+        now, held = None, []
+
+        def out():
+            like = pa.concat_arrays([b.column("like") for b in held])
+            own = np.concatenate([b.column("own").flatten().to_numpy().reshape(b.num_rows, -1) for b in held])
+            todo, a, b = np.arange(len(like)), [], []
+            while len(todo) > 1:
+                near, todo = [todo[0]], todo[1:]
+                while near and len(todo):  # what one link reaches is not looked at again
+                    i = near.pop()
+                    hit = (own[todo] == own[i]).sum(axis=1) > least
+                    found, todo = todo[hit], todo[~hit]
+                    a += [i] * len(found)
+                    b += found.tolist()
+                    near += found.tolist()
+            return pa.record_batch([like.take(pa.array(x, pa.int64())) for x in (a, b)], ["id1", "id2"])
+
+        for batch in source:
+            key = batch.column("key").to_numpy()
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)]).tolist()
+            for i, j in zip(first, [*first[1:], len(key)], strict=True):
+                if key[i] != now:
+                    if held:
+                        yield out()
+                    now, held = key[i], []
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield out()
+
+    return run
+
+
 def consensus_clusters(runs: DataFrame, least: int) -> DataFrame:
     """Clusters of ids that share a cluster in more than ``least`` runs; ids without any common cluster are left out.
 
     Two ids that are together in more than ``least`` of R runs are apart in fewer than R - least, so of that many bands of runs
-    one agrees as a whole: kinds of ids meet by band, and only those that meet are counted.  (Where an id has no or several
+    one agrees as a whole: kinds of ids meet by band, only those that meet are compared, and what is linked already is not.  (Where an id has no or several
     clusters in a run all pairs are counted.)"""
     ids, kinds = _alike(runs)
     names = sorted(r[0] for r in kinds.select("run").distinct().collect())
@@ -280,12 +389,11 @@ def consensus_clusters(runs: DataFrame, least: int) -> DataFrame:
     bands = len(names) - least
     if plain and 0 < bands <= len(names):
         at = F.create_map(*(F.lit(x) for i, r in enumerate(names) for x in (r, i % bands)))
-        own = kinds.groupBy("like").agg(F.array_sort(F.collect_list(F.struct("run", "cluster"))).alias("_own"))
-        keys = kinds.withColumn("_band", at[F.col("run")]).groupBy("like", "_band").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("run", "cluster")))).alias("_key"))
-        met = keys.withColumnRenamed("like", "like1").join(keys.withColumnRenamed("like", "like2"), ["_band", "_key"]).where("like1 < like2").select("like1", "like2").distinct()
-        met = met.join(own.select(F.col("like").alias("like1"), F.col("_own").alias("_a")), "like1").join(own.select(F.col("like").alias("like2"), F.col("_own").alias("_b")), "like2")
-        same = met.select(F.col("like1").alias("id1"), F.col("like2").alias("id2"), F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x).alias("n"))
-        pairs = same.where(F.col("n") > least).select("id1", "id2")
+        own = kinds.groupBy("like").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "cluster"))), lambda s: F.xxhash64(s["cluster"])).alias("own"))
+        keys = kinds.withColumn("_band", at[F.col("run")]).groupBy("like", "_band").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("run", "cluster")))).alias("key"))
+        kind = runs.schema["id"].dataType.simpleString()
+        met = keys.join(own, "like").select("key", "like", "own").repartition("key").sortWithinPartitions("key")
+        pairs = met.mapInArrow(_band_links(least), f"id1 {kind}, id2 {kind}")
     else:
         pairs = _together(kinds, kinds).where((F.col("together") > least) & (F.col("like1") < F.col("like2"))).select(F.col("like1").alias("id1"), F.col("like2").alias("id2"))
     # a kind's own ids are together wherever they have a cluster; one that is alone stays so unless its kind meets another in some run

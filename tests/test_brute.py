@@ -354,3 +354,21 @@ def test_trees_keep_links_only(spark, sf, monkeypatch):
     monkeypatch.setattr(U, "checkpointed", lambda df: kept.append(write(df)) or kept[-1])
     Q.cluster_trees(spark, sf)
     assert kept and all(x.where("jaccard <= 0.175").count() == 0 for x in kept if "jaccard" in x.columns)
+
+
+def test_kmeans_points_and_links():
+    """Of equal distances the last cluster wins, points with a null have none; links of alike ids are as few as connect them."""
+    import pyarrow as pa
+
+    x = U._matrix(pa.array([[0.0, 0.0], [1.0, 0.0], None, [2.0, None], [5.0]]), 2)
+    (run, best, far), (other, best2, _) = U._near(x, [(0, 0, [0.0, 0.0]), (0, 1, [2.0, 0.0]), (3, 4, [1.0, 1.0])])
+    assert (run, other, best.tolist(), best2.tolist()) == (0, 3, [0, 1, 1, 1, 1], [2] * 5)
+    assert far[:2].tolist() == [0.0, 1.0] and np.isnan(far[2:]).all()
+    own = [[1, 1, 1], [1, 1, 2], [1, 2, 2], [7, 8, 9]] * 20
+    rows = pa.record_batch([pa.array([5] * 80 + [6]), pa.array(range(81)), pa.array([*own, [1, 1, 1]])], ["key", "like", "own"])
+    got = [b.to_pydict() for b in U._band_links(1)(iter([rows.slice(0, 30), rows.slice(30)]))]
+    up = list(range(81))
+    for b in got:
+        for i, j in zip(b["id1"], b["id2"], strict=True):
+            up = [min(up[i], up[j]) if v in (up[i], up[j]) else v for v in up]
+    assert sum(len(b["id1"]) for b in got) == 59 + 19 and up == [i if i == 80 else 3 if i % 4 == 3 else 0 for i in range(81)]
