@@ -344,9 +344,9 @@ def _segments(entries: dict[int, int], bits: int, bits_each: float) -> dict[int,
 
 
 def _filter(rows: DataFrame, segment: dict[int, int], bits: int, kinds) -> Filter:
-    """The filter in one place, from the rows (kind, bucket, bits)."""
+    """The filter in one place, from the saved rows (kind, bucket, bits): they are filled in parallel, and only read one partition after another."""
     words = {kind: np.zeros(segment[kind] << bits, U) for kind in kinds}
-    for kind, bucket, part in rows.toLocalIterator():
+    for kind, bucket, part in rows.toLocalIterator(prefetchPartitions=True):
         words[kind][bucket * segment[kind] : (bucket + 1) * segment[kind]] |= np.frombuffer(part, "<u8")
     return Filter(words, segment, bits)
 
@@ -536,7 +536,9 @@ def train(spark: SparkSession, rows: DataFrame, *, head: int = 1 << 20, most_bit
     sieve = None
     if 64 * segment[2] << bits <= most_bits:
         there = pairs.select("kind", "bucket", "keys", F.lit(b"").alias("counts"), F.lit(b"").alias("sums")).mapInArrow(_present(segment), "kind int, bucket int, bits binary")
+        there = saved(there, "sieve")
         sieve = _filter(there, segment, bits, (2,))
+        remove(there)
     sieve = spark.sparkContext.broadcast(sieve)
     triples = counted(sieve)
     sieve.unpersist()
@@ -555,7 +557,9 @@ def train(spark: SparkSession, rows: DataFrame, *, head: int = 1 << 20, most_bit
     segments = settled.mapInArrow(_fill(segment), "kind int, bucket int, bits binary")
     held = None
     if 64 * sum(segment.values()) << bits <= most_bits:
+        segments = saved(segments, "segments")
         held = _filter(segments, segment, bits, LEAST)
+        remove(segments)
     else:
         rows = _look(rows, segments, segment, bits)
 

@@ -420,6 +420,14 @@ def test_lm_edges(spark):
     assert lm.score(spark, docs.limit(0), F.lit(False)).count() == 0
 
 
+def test_lm_filter_is_filled_in_parallel(spark, monkeypatch):
+    """What the driver reads one partition after another is a saved table: nothing is computed there."""
+    read, real = [], lm._filter
+    monkeypatch.setattr(lm, "_filter", lambda rows, *how: read.append(rows._jdf.queryExecution().toString()) or real(rows, *how))
+    lm.score(spark, spark.createDataFrame([(i, f"a b c{i % 7} d") for i in range(60)], "doc_id long, text string"), F.lit(False)).collect()
+    assert len(read) == 2 and not any("MapInArrow" in plan for plan in read)
+
+
 def test_lm_without_training(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = lm.score(spark, docs, F.lit(True)).collect()
