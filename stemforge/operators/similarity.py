@@ -8,9 +8,14 @@ similarity 0 and are only made by ``all_pairs``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from .clusters import checkpointed
 from .ordered import running_sums
 
 
@@ -63,6 +68,97 @@ def all_pairs(ids: DataFrame, pairs: DataFrame, bray_curtis_empty: float = 1.0)
     return grid.join(pairs, ["id1", "id2"], "left").withColumns(zero | {"bray_curtis": F.coalesce("bray_curtis", F.lit(bray_curtis_empty))})
 
 
+def _packed(source, least: int = 100_000):
+    """Rows (at, code, c), ordered by code -> blocks of whole codes: how many rows each has, and these rows' places and counts."""
+    held, rows = [], 0
+
+    def out(table: pa.Table) -> pa.RecordBatch:
+        code = table["code"].combine_chunks().dictionary_encode().indices.to_numpy()
+        size = np.diff(np.append(np.flatnonzero(np.diff(code, prepend=-1)), len(code)))
+        c = table["c"].to_numpy()
+        c = c.astype("u1" if c.max() < 256 else "<i8")
+        return pa.record_batch([pa.array([x.tobytes()]) for x in (size.astype("<i4"), table["at"].to_numpy().astype("<i4"), c)], ["size", "at", "c"])
+
+    for batch in source:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= least:
+            table = pa.Table.from_batches(held)
+            last = pc.index(table["code"], table["code"][rows - 1]).as_py()  # the last code may go on
+            if last:
+                yield out(table.slice(0, last))
+            held, rows = table.slice(last).to_batches(), rows - last
+    if rows:
+        yield out(pa.Table.from_batches(held))
+
+
+def _stripes(ids: pa.Array, per: int, many: np.ndarray, total: np.ndarray, bray_curtis_empty: float):
+    """Rows (stripe, size, at, c), a stripe's blocks together -> the measures of all pairs whose first id is in the stripe."""
+    n = len(ids)
+
+    def run(source):
+        now = both = least = None
+
+        def out():
+            for i in range(now * per, min(n, now * per + per)):
+                for j in range(i + 1, n, 10_000):
+                    to = slice(j, min(n, j + 10_000))
+                    x, m, t = both[i - now * per, to], many[i] + many[to], total[i] + total[to]
+                    some = x > 0
+                    part = lambda a, b, none=0.0: np.divide(a, b, out=np.full(len(x), none), where=some)  # noqa: B023, E731
+                    bray = np.where(some, 1 - part(2 * x, m), bray_curtis_empty)
+                    measures = part(x, m - x), part(x, np.minimum(many[i], many[to])), part(2 * least[i - now * per, to], t), bray
+                    yield pa.record_batch([pa.repeat(ids[i], len(x)), ids.slice(j, len(x)), *map(pa.array, measures)], PAIRS)
+
+        for batch in source:
+            for k, stripe in enumerate(batch.column("stripe").to_pylist()):
+                if stripe != now:
+                    if now is not None:
+                        yield from out()
+                    now, both, least = stripe, np.zeros((per, n), np.int64), np.zeros((per, n), np.int64)
+                size, at = (np.frombuffer(batch.column(c)[k].as_buffer(), "<i4") for c in ("size", "at"))
+                c = batch.column("c")[k].as_buffer()
+                c = np.frombuffer(c, "u1" if len(at) == c.size else "<i8").astype(np.int64)
+                start = np.cumsum(size) - size
+                mine = np.flatnonzero((at >= now * per) & (at < now * per + per))
+                code = np.searchsorted(start, mine, "right") - 1
+                for some in np.array_split(np.arange(len(mine)), 1 + (int(size[code].sum()) >> 22)):
+                    times = size[code[some]]
+                    x = np.repeat(mine[some], times)
+                    y = np.repeat(start[code[some]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                    cell = (at[x] - now * per).astype(np.int64) * n + at[y]
+                    np.add.at(both.reshape(-1), cell, 1)
+                    np.add.at(least.reshape(-1), cell, np.minimum(c[x], c[y]))
+        if now is not None:
+            yield from out()
+
+    return run
+
+
+PAIRS = ["id1", "id2", "jaccard", "overlap", "count_similarity", "bray_curtis"]
+
+
+def every_pair(ids: DataFrame, fp: DataFrame, bray_curtis_empty: float = 1.0, cells: int = 16_000_000) -> DataFrame:
+    """As ``all_pairs`` of ``measures(fp)``, made in place: fingerprints are packed once, by motif, and each task counts the pairs of
+    a stripe of first ids in arrays of about ``cells`` (or one id's) while it reads them all; no pair is shuffled.
+
+    The result has n(n-1)/2 rows, and the work grows as they do; the ids and their sizes are held in one place."""
+    spark = ids.sparkSession
+    size = fp.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("s"))
+    order = ids.where("id is not null").distinct().join(size, "id", "left").orderBy("id").select("id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "s"))).toArrow()
+    n, name, kind = order.num_rows, order["id"].combine_chunks(), ids.schema["id"].dataType
+    places = spark.createDataFrame(pa.table({"at": pa.array(np.arange(n, dtype=np.int32)), "id": name}), StructType([StructField("at", IntegerType()), StructField("id", kind)]))
+    rows = fp.where("code is not null").join(F.broadcast(places), "id").select("at", "code", F.col("cnt").cast("long").alias("c"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = checkpointed(rows.repartition(parts, "code").sortWithinPartitions("code").mapInArrow(_packed, "size binary, at binary, c binary"))
+    per = max(1, min(cells // max(n, 1), -(-n // parts)))
+    each = spark.range(0, -(-n // per), 1, max(1, -(-n // per))).select(F.col("id").cast("int").alias("stripe"))
+    # an empty block, so that a stripe without motifs has its rows too
+    blocks = packed.unionAll(spark.createDataFrame([(bytearray(), bytearray(), bytearray())], packed.schema)).coalesce(1)
+    run = _stripes(name, per, order["n"].to_numpy(), order["s"].to_numpy(), bray_curtis_empty)
+    return each.hint("shuffle_replicate_nl").crossJoin(blocks).mapInArrow(run, StructType([StructField(c, kind if i < 2 else DoubleType()) for i, c in enumerate(PAIRS)]))
+
+
 def labelled(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs with is_pos: both ids of one group (id, grp)."""
     one = groups.select(F.col("id").alias("id1"), F.col("grp").alias("g1"))

@@ -104,6 +104,19 @@ def test_trees(spark):
     assert [(r.cluster, r.n) for r in t] == [(1, 3), (7, 2)]
 
 
+def test_every_pair(spark):
+    """Pairs made in place equal those of the joins, in stripes of any width, and nothing is shuffled after the fingerprints are packed."""
+    rows = [(i, c, 1 + (i * c) % 5) for i in range(1, 30) for c in range(40) if (i * 7 + c * c) % 11 < 3]
+    fp = spark.createDataFrame([*rows, (None, 1, 2), (99, 1, 2)], "id long, code long, cnt long")
+    ids = spark.createDataFrame([(i,) for i in [*range(1, 34), 5, None]], "id long")
+    want = sorted(map(tuple, D.all_pairs(ids.distinct(), D.measures(fp)).collect()))
+    for cells in (1, 70, 1 << 20):
+        got = D.every_pair(ids, fp, cells=cells)
+        assert sorted(map(tuple, got.collect())) == want
+        assert "Exchange hashpartitioning" not in got._jdf.queryExecution().toString()
+    assert len(want) == 33 * 32 // 2 and D.every_pair(ids.limit(0), fp).count() == 0
+
+
 def test_kmeans(spark):
     rows = [(i, [float(i % 2 * 10 + i * 0.01), 0.0]) for i in range(20)]
     got = {r.id: r.cluster for r in L.manhattan_kmeans(spark.createDataFrame(rows, "id long, x array<double>"), 2, seed=3).collect()}
