@@ -10,8 +10,9 @@ for a context the sum of the held counts of its continuations, bit by bit (twelv
 back by probing: levels one after another until one is missing, bits each.  An n-gram has four bits of one 64-bit word a
 key.  Each bucket has a segment of its own, and every segment has ``bits_each`` bits a key whatever the corpus, so the
 share of errors (about 1 % of probes at 12 bits) does not grow with the input.  A filter of at most ``most_bits`` bits is
-broadcast.  A larger one is never in one place: the distinct n-grams of each chunk of texts are sent to their buckets,
-read there from the bucket's segment, and the answers return to the chunk.  Both ways give the same scores.
+broadcast.  Of a larger one, only the pairs' first level and the words are (while they fit): the distinct pairs of each
+chunk of texts that pass the first level, and the triples whose two pairs do, are sent as names of 48 bits (all that the
+filter looks at) to groups of buckets, read there, and the answers meet the chunk's texts.  Both ways give the same scores.
 
 Score: P(w | context) = t q(w) / m + (1 - t k / m) P(w | shorter context), where q is the n-gram's quantised count, k the
 sum of q over the context's held continuations, m the larger of k and the context's own quantised count, and t the share
@@ -43,6 +44,8 @@ U = np.uint64
 END = U(0x5EED0FE4D0000001)
 LEAST = {1: 1, 2: 2, 3: 2}
 LEVELS = 96
+#: The part of the filter that holds the first level of pairs: the sieve of triples and of what is asked.
+FIRST = 4
 #: Bits of a key that name the word; the others name its context.
 WORD = U(28)
 
@@ -70,7 +73,8 @@ class Tokens:
         self.start = np.zeros(len(self.hash), bool)
         self.start[self.first[:-1]] = True
         self.pair = key_of(self.before(self.hash, END), self.hash)
-        self.triple = key_of(K.mix(self.before(self.pair, END)), self.hash)
+        self.pair_name = name(self.pair, 2)
+        self.triple = key_of(self.before(self.pair_name, name(END, 2)), self.hash)
         self.row = np.repeat(np.arange(rows), self.count)
 
     def before(self, x: np.ndarray, at_start) -> np.ndarray:
@@ -122,14 +126,16 @@ def merge_counts(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _by_bucket(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     """(bucket, begin, end) of sorted bucket numbers."""
-    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    if not len(bucket):
+        return []
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     return list(zip(bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True))
 
 
 BLOCK = "kind int, bucket int, block binary"
 
 
-def _count(bits: int, sieve=None, batch_tokens: int = 1_500_000):
+def _count(bits: int, sieve=None, batch_tokens: int = 3_000_000):
     """Blocks (kind, bucket, block) of words and pairs; with ``sieve`` (a broadcast filter of the held pairs, or of None) of triples."""
 
     def run(source):
@@ -158,7 +164,7 @@ def _count(bits: int, sieve=None, batch_tokens: int = 1_500_000):
             else:
                 ok = ~t.start
                 if sieve.value is not None:
-                    pair = sieve.value.has(2, t.pair, 1)
+                    pair = sieve.value.has(FIRST, t.pair_name, 1)
                     ok &= pair & t.before(pair, False)
                 held[3].append(t.triple[ok])
             size += len(t.hash)
@@ -252,6 +258,10 @@ def _settle(source):
 
 
 DIGITS = 12
+#: (salt, first bit, end) of a sum's bits: those of a range are only read where an entry says that the sum reaches it, so an error seldom adds a high bit.
+RANGES = (200, 0, 3), (199, 3, DIGITS), (201, DIGITS, 20), (198, 20, 32), (197, 32, 48)
+#: Masks of four bits of a word.
+_MASKS = np.bitwise_or.reduce(U(1) << np.random.Generator(np.random.PCG64(20240602)).random((1 << 14, 64)).argpartition(4, axis=1)[:, :4].astype(U), axis=1)
 
 
 def _rounded(total: np.ndarray) -> np.ndarray:
@@ -261,66 +271,74 @@ def _rounded(total: np.ndarray) -> np.ndarray:
 
 
 def _sum_entries(key: np.ndarray, total: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """(keys, salt) of the entries of sums: 200 there is one, 201 it has more than DIGITS bits, 202 + i its bit i."""
+    """(keys, salt) of the entries of sums: their salt for each range of RANGES that they reach, and 202 + i for bit i."""
     key, total = key[total > 0], _rounded(total[total > 0])
-    out = [(key, 200), (key[total >= 1 << DIGITS], 201)]
+    out = [(key[total >= 1 << lo], salt) for salt, lo, _ in RANGES]
     return out + [(key[(total >> i) & 1 == 1], 202 + i) for i in range(int(total.max(initial=0)).bit_length())]
 
 
 @dataclass
 class Filter:
-    """The Bloom filter, in segments: one for each kind and bucket, so that buckets fill theirs independently."""
+    """The Bloom filter, in segments: one for each part and bucket, so that buckets fill theirs independently.
 
-    words: dict[int, np.ndarray]  # by kind, all its segments
+    A part is a kind, less the first level of pairs, or ``FIRST``, which is that level; n-grams are looked up by name."""
+
+    words: dict[int, np.ndarray]  # by part, all its segments or those of as many buckets as a power of two
     segment: dict[int, int]  # 64-bit words of a segment
     bits: int
 
     @staticmethod
-    def spot(key: np.ndarray, salt: int, segment: int) -> tuple[np.ndarray, np.ndarray]:
-        """Place within a segment (below 2**32 words) and four bits there."""
-        h = K.mix(key ^ U((salt * 0x9E3779B97F4A7C15 + 0x51ED270B) % 2**64))
-        mask = U(1) << (h & U(63))
-        for i in (6, 12, 18):
-            mask |= U(1) << ((h >> U(i)) & U(63))
-        return (((h >> U(32)) * U(segment)) >> U(32)).astype(np.int64), mask
-
-    def has(self, kind: int, key: np.ndarray, salt: int, base: np.ndarray | int | None = None) -> np.ndarray:
-        """Whether the entries (key, salt) are held; ``base``: where their segments begin."""
+    def spot(x: np.ndarray, salt: int, segment: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place within a segment (below 2**32 words) and four bits there, of the 48 leading bits of names."""
+        h = ((x >> U(16)) ^ U((salt * 0x9E3779B97F4A7C15 + 0x51ED270B) % 2**64)) * U(0xD6E8FEB86659FD93)
+        at = ((h >> U(32)) * U(segment)) >> U(32)
+        return at.view(np.int64), _MASKS[((h ^ (h >> U(32))) & U(len(_MASKS) - 1)).view(np.int64)]
+
+    def has(self, part: int, x: np.ndarray, salt: int, base: np.ndarray | int | None = None) -> np.ndarray:
+        """Whether the entries (x, salt) are held; ``base``: where their segments begin."""
         if base is None:
-            base = self.base(kind, key)
-        at, mask = self.spot(key, salt, self.segment[kind])
-        return (self.words[kind][base + at] & mask) == mask
+            base = self.base(part, x)
+        at, mask = self.spot(x, salt, self.segment[part])
+        return (self.words[part][base + at] & mask) == mask
 
-    def base(self, kind: int, key: np.ndarray) -> np.ndarray | int:
-        return (name(key, kind) >> U(64 - self.bits)).astype(np.int64) * self.segment[kind] if len(self.words[kind]) > self.segment[kind] else 0
+    def base(self, part: int, x: np.ndarray) -> np.ndarray:
+        buckets = len(self.words[part]) // self.segment[part]
+        return ((x >> U(64 - self.bits)) & U(buckets - 1)).view(np.int64) * self.segment[part]
 
-    def levels(self, kind: int, key: np.ndarray) -> np.ndarray:
+    def levels(self, kind: int, x: np.ndarray) -> np.ndarray:
         """Levels of n-grams: probes go on until one fails."""
-        lev = np.zeros(len(key), np.int64)
-        live, j = np.arange(len(key)), 0
+        lev = np.zeros(len(x), np.int64)
+        live, j = np.arange(len(x)), 0
+        if kind == 2:
+            live, j = np.flatnonzero(self.has(FIRST, x, 1)), 1
+            lev[live] = 1
+        some = x[live]
+        base = self.base(kind, some)
         while len(live) and j < LEVELS - 1:
             j += 1
-            live = live[self.has(kind, key[live], j)]
+            on = self.has(kind, some, j, base)
+            live, some, base = live[on], some[on], base[on]
             lev[live] = j
         return lev
 
-    def sums(self, kind: int, key: np.ndarray) -> np.ndarray:
+    def sums(self, kind: int, x: np.ndarray) -> np.ndarray:
         """Sums of the held counts after contexts."""
-        out = np.zeros(len(key), np.int64)
-        live = np.flatnonzero(self.has(kind, key, 200))
-        some = key[live]
-        big = np.flatnonzero(self.has(kind, some, 201))
-        for i in range(DIGITS):
-            out[live] |= self.has(kind, some, 202 + i).astype(np.int64) << i
-        for i in range(DIGITS, 48 if len(big) else 0):
-            out[live[big]] |= self.has(kind, some[big], 202 + i).astype(np.int64) << i
+        out = np.zeros(len(x), np.int64)
+        live, some, base = np.arange(len(x)), x, self.base(kind, x)
+        for salt, lo, hi in RANGES:
+            on = self.has(kind, some, salt, base)
+            live, some, base = live[on], some[on], base[on]
+            if not len(live):
+                break
+            for i in range(lo, hi):
+                out[live] |= self.has(kind, some, 202 + i, base).astype(np.int64) << i
         return out
 
-    def entry(self, kind: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def entry(self, kind: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Levels, and the sums after the n-grams that have one."""
-        lev = self.levels(kind, key)
-        total, some = np.zeros(len(key), np.int64), np.flatnonzero(lev)
-        total[some] = self.sums(kind, key[some])
+        lev = self.levels(kind, x)
+        total, some = np.zeros(len(x), np.int64), np.flatnonzero(lev)
+        total[some] = self.sums(kind, x[some])
         return lev, total
 
 
@@ -330,7 +348,8 @@ def _fill(segment: dict[int, int]):
             for kind, bucket, *columns in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "keys", "counts", "sums")), strict=True):
                 key, n, total = (np.frombuffer(c, "<u8") for c in columns)
                 key, lev, word = key.astype(U), level(n.astype(np.int64), kind) if len(n) else np.zeros(0, np.int64), np.zeros(segment[kind], U)
-                entries = [(key[lev >= j], j) for j in range(1, int(lev.max(initial=0)) + 1)] + _sum_entries(key, total.astype(np.int64))
+                key = name(key, kind)
+                entries = [(key[lev >= j], j) for j in range(2 if kind == 2 else 1, int(lev.max(initial=0)) + 1)] + _sum_entries(key, total.astype(np.int64))
                 for k, salt in entries:
                     np.bitwise_or.at(word, *Filter.spot(k, salt, segment[kind]))
                 yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([word.astype("<u8").tobytes()], pa.binary())], ["kind", "bucket", "bits"])
@@ -339,13 +358,13 @@ def _fill(segment: dict[int, int]):
 
 
 def _segments(entries: dict[int, int], bits: int, bits_each: float) -> dict[int, int]:
-    """64-bit words of a segment of each kind."""
-    return {kind: int(entries.get(kind, 0) * bits_each / (64 << bits)) + 4 for kind in LEAST}
+    """64-bit words of a segment of each part."""
+    return {part: int(entries.get(part, 0) * bits_each / (64 << bits)) + 16 for part in (*LEAST, FIRST)}
 
 
-def _filter(rows: DataFrame, segment: dict[int, int], bits: int, kinds) -> Filter:
-    """The filter in one place, from the saved rows (kind, bucket, bits): they are filled in parallel, and only read one partition after another."""
-    words = {kind: np.zeros(segment[kind] << bits, U) for kind in kinds}
+def _filter(rows: DataFrame, segment: dict[int, int], bits: int, parts) -> Filter:
+    """Parts of the filter in one place, from the saved rows (kind, bucket, bits): they are filled in parallel, and only read one partition after another."""
+    words = {part: np.zeros(segment[part] << bits, U) for part in parts}
     for kind, bucket, part in rows.toLocalIterator(prefetchPartitions=True):
         words[kind][bucket * segment[kind] : (bucket + 1) * segment[kind]] |= np.frombuffer(part, "<u8")
     return Filter(words, segment, bits)
@@ -353,7 +372,8 @@ def _filter(rows: DataFrame, segment: dict[int, int], bits: int, kinds) -> Filte
 
 @dataclass
 class Model:
-    filter: Filter | None  # None: it is not in one place
+    filter: Filter  # the parts of it that are in one place
+    asked: bool  # whether others are not, and chunks are looked up
     tokens: int
     types: int
     mass: float  # sum of the words' quantised counts
@@ -361,17 +381,34 @@ class Model:
     head_key: np.ndarray  # sorted
     head_count: np.ndarray
     tail: bool  # whether trained words beyond the head exist
+    memo: tuple[np.ndarray, ...] | None = None  # words looked up before, a place for each value of 20 bits: word, level, sum
+
+    def word(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Levels of words, and the sums after them."""
+        if self.memo is None:
+            self.memo = np.zeros(1 << 20, U), np.zeros(1 << 20, np.uint8), np.zeros(1 << 20, np.int64)
+            self.memo[0][0] = U(1 << 63)  # no word of this place
+        at = (key >> U(44)).view(np.int64)
+        miss = np.flatnonzero(self.memo[0][at] != key)
+        lev, total = self.memo[1][at].astype(np.int64), self.memo[2][at]
+        if len(miss):
+            new, back = np.unique(key[miss], return_inverse=True)
+            got = self.filter.entry(1, new)
+            lev[miss], total[miss] = (x[back] for x in got)
+            at, first = np.unique(new >> U(44), return_index=True)
+            for x, y in zip(self.memo, (new, *got), strict=True):
+                x[at.view(np.int64)] = y[first]
+        return lev, total
 
     def look(self, t: Tokens) -> tuple[np.ndarray, ...]:
         """Of each token: the levels of its word, pair and triple, and the sums after its word and its pair."""
         f = self.filter
-        word, back = np.unique(t.hash, return_inverse=True)
-        word = [x[back] for x in f.entry(1, word)]
-        pair, back = np.unique(t.pair, return_inverse=True)
+        word = self.word(t.hash)
+        pair, back = np.unique(t.pair_name, return_inverse=True)
         pair = [x[back] for x in f.entry(2, pair)]
         triple = np.zeros(len(t.hash), np.int64)
         some = np.flatnonzero((pair[0] > 0) & (t.before(pair[1], 0) > 0))
-        triple[some] = f.levels(3, t.triple[some])
+        triple[some] = f.levels(3, name(t.triple[some], 3))
         return word[0], pair[0], triple, word[1], pair[1]
 
     def score(self, t: Tokens, seen: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -389,106 +426,138 @@ class Model:
             p = np.where(total > 0, share * np.minimum(q, total) / most + (1 - share * total / most) * p, p)
         return np.log10(np.maximum(p, 1e-300))
 
+    def names(self, tokens: list[Tokens], kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """What is asked of a chunk's words, pairs or triples: the places of those asked, and their names' 48 leading bits."""
+        if kind == 1:
+            at, x = None, [t.hash for t in tokens] if 1 not in self.filter.words else []
+        else:
+            held = [self.filter.has(FIRST, t.pair_name, 1) if FIRST in self.filter.words else np.ones(len(t.hash), bool) for t in tokens]
+            if kind == 3:
+                held = [h & t.before(h, False) for h, t in zip(held, tokens, strict=True)]
+            at = np.flatnonzero(np.concatenate(held))
+            x = [t.pair_name[h] if kind == 2 else name(t.triple[h], 3) for h, t in zip(held, tokens, strict=True)]
+        x = np.concatenate([*x, np.zeros(0, U)]) >> U(16)
+        return np.arange(len(x)) if at is None else at, x
+
     def tokens_of(self, source):
         """(batch, tokens, what ``look`` gives) of texts, or of chunks that ``_look`` has looked up."""
-        if self.filter is not None:
+        if not self.asked:
             for batch in K.batches(source):
                 t = Tokens(batch.column("text"))
                 yield batch, t, self.look(t)
             return
-        for chunk in source:
-            for i in range(chunk.num_rows):
-                parts = pa.ipc.open_stream(chunk.column("texts")[i].as_buffer()).read_all().to_batches()
-                held = [Tokens(b.column("text")) for b in parts]
-                seen = [[], [], []], [[], []]
-                for kind, of in enumerate((lambda t: t.hash, lambda t: t.pair, lambda t: t.triple)):
-                    keys = np.concatenate([of(t) for t in held])
-                    back = np.unique(K.mix(keys), return_inverse=True)[1] if kind else np.unique(keys, return_inverse=True)[1]
-                    answer = chunk.column(("words", "pairs", "triples")[kind])[i].as_py()
-                    x = np.frombuffer(answer, np.dtype([("level", "u1"), ("sum", "<u4")])) if kind < 2 else np.frombuffer(answer, np.dtype([("level", "u1")]))
-                    seen[0][kind] = x["level"].astype(np.int64)[back]
-                    if kind < 2:
-                        seen[1][kind] = x["sum"].astype(np.int64)[back]
-                seen[0][2][seen[0][1] == 0] = 0  # a triple is held with its pair only
-                lo = 0
-                for batch, t in zip(parts, held, strict=True):
-                    hi = lo + len(t.hash)
-                    yield batch, t, tuple(x[lo:hi] for x in (*seen[0], *seen[1]))
-                    lo = hi
-
-
-def _ask(bits: int, chunk_tokens: int = 1_500_000):
-    """Of each chunk of texts: its batches as an Arrow stream (kind 0, bucket -1), and the distinct keys of its words (1), pairs (2) and triples (3) by bucket."""
-
-    def run(source):
-        from pyspark import TaskContext
+        for texts, *answers in _gather(source):
+            held = [Tokens(b.column("text")) for b in texts]
+            n = sum(len(t.hash) for t in held)
+            seen = np.zeros((5, n), np.int64)  # levels of words, pairs and triples, and the sums after words and pairs
+            for kind, answer in zip(LEAST, answers, strict=True):
+                if kind == 1 and 1 in self.filter.words:
+                    seen[0], seen[3] = self.word(np.concatenate([t.hash for t in held]))
+                    continue
+                at, x = self.names(held, kind)
+                new, back = np.unique(x, return_inverse=True)
+                if len(new) != len(answer[0]):
+                    raise ValueError("a chunk of texts is not the one that was looked up: its rows have changed between two readings")
+                seen[kind - 1, at] = answer[0][back]
+                if kind < 3:
+                    seen[kind + 2, at] = answer[1][back]
+            seen[2, seen[1] == 0] = 0  # a triple is held with its pair only
+            lo = 0
+            for batch, t in zip(texts, held, strict=True):
+                hi = lo + len(t.hash)
+                yield batch, t, tuple(seen[:, lo:hi])
+                lo = hi
+
+
+BLOCKS = "chunk long, kind int, bucket int, at int, block binary"
+_BLOCKS = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("at", pa.int32()), ("block", pa.binary())])
+
+
+def _chunks(source, chunk_bytes: int = 12 << 20):
+    """(first row_id, batches) of texts of about ``chunk_bytes`` together: the same at each reading."""
+    held, size = [], 0
+    for batch in K.batches(source):
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= chunk_bytes:
+            yield held[0].column("row_id")[0].as_py(), held
+            held, size = [], 0
+    if held:
+        yield held[0].column("row_id")[0].as_py(), held
+
+
+def _texts(source):
+    """Of each chunk its batches as Arrow streams (kind 0)."""
+    for number, held in _chunks(source):
+        for i, batch in enumerate(held):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(batch)
+            yield pa.record_batch([[number], [0], [0], [i], [sink.getvalue().to_pybytes()]], schema=_BLOCKS)
 
-        chunk = TaskContext.get().partitionId() << 32
-        held: list[tuple[pa.RecordBatch, Tokens]] = []
-        size = 0
 
-        def out():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0][0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                for batch, _ in held:
-                    stream.write_batch(batch)
-            cols = [-1], [0], [sink.getvalue().to_pybytes()]
-            for kind, keys in (1, [t.hash for _, t in held]), (2, [t.pair for _, t in held]), (3, [t.triple for _, t in held]):
-                key = np.unique(np.concatenate(keys))
-                at = name(key, kind)
-                order = np.argsort(at, kind="stable")  # in order of names, so that the buckets' answers follow each other
-                for b, lo, hi in _by_bucket((at[order] >> U(64 - bits)).astype(np.int64)):
-                    cols[0].append(b)
-                    cols[1].append(kind)
-                    cols[2].append(key[order[lo:hi]].astype("<u8").tobytes())
-            return pa.record_batch([pa.array([chunk] * len(cols[0]), pa.int64()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["chunk", "bucket", "kind", "block"])
+def _ask(model, power: int):
+    """Of each chunk the distinct names of its words, pairs and triples that must be asked, six bytes each, in order, by 2**power groups of buckets."""
 
-        for batch in K.batches(source):
-            held.append((batch, Tokens(batch.column("text"))))
-            size += len(held[-1][1].hash)
-            if size >= chunk_tokens:
-                yield out()
-                held, size, chunk = [], 0, chunk + 1
-        if held:
-            yield out()
+    def run(source):
+        for number, held in _chunks(source):
+            tokens, rows = [Tokens(b.column("text")) for b in held], []
+            for kind in LEAST:
+                x = np.unique(model.value.names(tokens, kind)[1])
+                low = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                rows += [(number, kind, b, 0, low[lo:hi].tobytes()) for b, lo, hi in _by_bucket((x >> U(48 - power)).astype(np.int64))]
+            if rows:
+                yield pa.record_batch(list(map(list, zip(*rows, strict=True))), schema=_BLOCKS)
 
     return run
 
 
-def _answer(segment: dict[int, int], bits: int):
-    """Rows sorted by (kind, bucket, chunk), a bucket's segment (chunk -1) before its keys -> levels of the keys, and the sums after them."""
+def _answer(segment: dict[int, int], bits: int, power: int):
+    """Rows sorted by (kind, bucket, chunk), a group's segments (chunk -1) before what is asked -> levels of the names, and the sums after them, byte by byte."""
+    each = 1 << (bits - power)
 
     def run(source):
         now, f = None, None
         for batch in source:
-            cols = [], [], [], []
-            for chunk, bucket, kind, block in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "kind")), batch.column("block"), strict=True):
+            rows = []
+            for chunk, kind, bucket, at, block in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "bucket", "at")), batch.column("block"), strict=True):
                 block = block.as_buffer()
                 if (kind, bucket) != now:
-                    now, f = (kind, bucket), Filter({kind: np.zeros(segment[kind], U)}, segment, bits)
+                    parts = (kind, FIRST) if kind == 2 else (kind,)
+                    now, f = (kind, bucket), Filter({p: np.zeros(segment[p] * each, U) for p in parts}, segment, bits)
                 if chunk < 0:
-                    f = Filter({kind: np.frombuffer(block, "<u8").astype(U)}, segment, bits)
+                    part, at = (FIRST, at - each) if at >= each else (kind, at)
+                    f.words[part][at * segment[part] : (at + 1) * segment[part]] = np.frombuffer(block, "<u8")
                     continue
-                key = np.frombuffer(block, "<u8").astype(U)
+                x = np.zeros((len(block) // 6, 8), np.uint8)
+                x[:, 2:] = np.frombuffer(block, np.uint8).reshape(-1, 6)
+                x = x.view("<u8")[:, 0].astype(U)
                 if kind == 3:
-                    got = f.levels(3, key).astype(np.uint8)
+                    got = f.levels(3, x).astype(np.uint8).tobytes()
                 else:
-                    got = np.zeros(len(key), np.dtype([("level", "u1"), ("sum", "<u4")]))
-                    got["level"], total = f.entry(kind, key)
-                    got["sum"] = np.minimum(total, 2**32 - 1)
-                for col, x in zip(cols, (chunk, bucket, kind, got.tobytes()), strict=True):
-                    col.append(x)
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["chunk", "bucket", "kind", "block"])
+                    lev, total = f.entry(kind, x)
+                    got = lev.astype(np.uint8).tobytes() + total.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+                rows.append((chunk, kind, bucket, 0, got))
+            if rows:
+                yield pa.record_batch(list(map(list, zip(*rows, strict=True))), schema=_BLOCKS)
 
     return run
 
 
 def _gather(source):
-    """Rows sorted by (chunk, kind, bucket) -> a row a chunk: its texts, and the answers for its words, pairs and triples in order of their names."""
+    """Rows sorted by (chunk, kind, bucket, at) -> of each chunk: its batches, and of its words, pairs and triples the levels and sums in order of names."""
     now, held = None, [[], [], [], []]
 
     def out():
-        return pa.record_batch([pa.array([b"".join(x)], pa.binary()) for x in held], ["texts", "words", "pairs", "triples"])
+        texts = [b for t in held[0] for b in pa.ipc.open_stream(t).read_all().to_batches()]
+        answers = []
+        for kind in LEAST:
+            planes = [np.frombuffer(b, np.uint8).reshape(1 if kind == 3 else 7, -1) for b in held[kind]]
+            planes = np.concatenate([*planes, np.zeros((1 if kind == 3 else 7, 0), np.uint8)], axis=1)
+            total = np.zeros((planes.shape[1], 8), np.uint8)
+            total[:, : len(planes) - 1] = planes[1:].T
+            answers.append((planes[0].astype(np.int64), total.view("<i8")[:, 0]))
+        return texts, *answers
 
     for batch in source:
         for chunk, kind, block in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "block")), strict=True):
@@ -501,23 +570,29 @@ def _gather(source):
         yield out()
 
 
-def _look(rows: DataFrame, segments: DataFrame, segment: dict[int, int], bits: int) -> DataFrame:
-    """A saved row for each chunk of ``rows``, with what the filter's segments hold of its n-grams."""
-    block = "chunk long, bucket int, kind int, block binary"
-    asked = saved(rows.mapInArrow(_ask(bits), block), "asked")
-    field = segments.select(F.lit(-1).cast("long").alias("chunk"), "bucket", "kind", F.col("bits").alias("block"))
-    sent = field.unionAll(asked.where("kind > 0")).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk")
-    answers = sent.mapInArrow(_answer(segment, bits), block)
-    back = answers.unionAll(asked.where("kind = 0")).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
-    out = saved(back.mapInArrow(_gather, "texts binary, words binary, pairs binary, triples binary"), "looked-up")
-    remove(asked)
-    return out
-
-
-def train(spark: SparkSession, rows: DataFrame, *, head: int = 1 << 20, most_bits: int = 1 << 31, bits_each: float = 12.0, block_bytes: int = 2 << 20) -> tuple[Model, DataFrame, DataFrame]:
+def _look(rows: DataFrame, model: Model, segments: DataFrame, segment: dict[int, int], bits: int, group_bytes: int) -> DataFrame:
+    """The blocks of each chunk of ``rows`` together: its texts, and what the filter's segments hold of its n-grams."""
+    largest = max(8 * segment[3], 8 * (segment[2] + segment[FIRST]), 0 if 1 in model.filter.words else 8 * segment[1]) << bits
+    power = int(np.clip(np.ceil(np.log2(largest / group_bytes)), 0, bits))
+    each = 1 << (bits - power)
+    first = F.col("kind") == FIRST
+    field = segments.select(
+        F.lit(-1).cast("long").alias("chunk"),
+        F.when(first, 2).otherwise(F.col("kind")).alias("kind"),
+        F.floor(F.col("bucket") / each).cast("int").alias("bucket"),
+        (F.col("bucket") % each + F.when(first, each).otherwise(0)).cast("int").alias("at"),
+        F.col("bits").alias("block"),
+    )
+    asked = rows.mapInArrow(_ask(rows.sparkSession.sparkContext.broadcast(model), power), BLOCKS)
+    sent = field.unionAll(asked).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk")
+    answers = sent.mapInArrow(_answer(segment, bits, power), BLOCKS)
+    return answers.unionAll(rows.mapInArrow(_texts, BLOCKS)).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket", "at")
+
+
+def train(spark: SparkSession, rows: DataFrame, *, head: int = 1 << 20, most_bits: int = 1 << 31, bits_each: float = 12.0, block_bytes: int = 8 << 20, group_bytes: int = 16 << 20) -> tuple[Model, DataFrame, DataFrame]:
     """The model learnt from the rows (row_id, doc_id, held_out, text) without held_out, the saved table of words (keys,
     counts) that its tail join reads, and what ``Model.tokens_of`` reads of the rows: these or, where the filter has more
-    than ``most_bits`` bits, their saved chunks."""
+    than ``most_bits`` bits, their chunks, looked up in groups of segments of about ``group_bytes``."""
     texts = rows.where(~F.col("held_out")).select("text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(size, 1) / block_bytes)), 3, 20))
@@ -532,14 +607,14 @@ def train(spark: SparkSession, rows: DataFrame, *, head: int = 1 << 20, most_bit
     pairs = short.where("kind = 2 and part = 0")
     sums = {r[0]: r[1:] for r in short.where("part = 0").groupBy("kind").agg(F.sum("types"), F.sum("total"), F.sum(F.octet_length("keys") / 8)).collect()}
     types, tokens = (int(v or 0) for v in sums.get(1, (0, 0, 0))[:2])
-    segment = _segments({2: int(sums.get(2, (0, 0, 0))[2] or 0)}, bits, bits_each)
-    sieve = None
-    if 64 * segment[2] << bits <= most_bits:
-        there = pairs.select("kind", "bucket", "keys", F.lit(b"").alias("counts"), F.lit(b"").alias("sums")).mapInArrow(_present(segment), "kind int, bucket int, bits binary")
-        there = saved(there, "sieve")
-        sieve = _filter(there, segment, bits, (2,))
+    held_pairs = int(sums.get(2, (0, 0, 0))[2] or 0)
+    segment = _segments({FIRST: held_pairs}, bits, bits_each)
+    first = None
+    if 64 * segment[FIRST] << bits <= most_bits:
+        there = saved(pairs.select("bucket", "keys").mapInArrow(_first_level(segment), "kind int, bucket int, bits binary"), "sieve")
+        first = _filter(there, segment, bits, (FIRST,))
         remove(there)
-    sieve = spark.sparkContext.broadcast(sieve)
+    sieve = spark.sparkContext.broadcast(first)
     triples = counted(sieve)
     sieve.unpersist()
     every = short.select("kind", "bucket", "part", "keys", "counts").unionAll(triples.select("kind", "bucket", "part", "keys", "counts"))
@@ -553,15 +628,18 @@ def train(spark: SparkSession, rows: DataFrame, *, head: int = 1 << 20, most_bit
     for kind, pos, n, followed in at:
         by[kind][:, pos] = n, followed
     share = {kind: np.minimum(by[kind][1] / np.maximum(by[kind][0], 1), 0.99) for kind in (1, 2)}
+    entries |= {2: entries.get(2, 0) - held_pairs, FIRST: held_pairs}
     segment = _segments(entries, bits, bits_each)
-    segments = settled.mapInArrow(_fill(segment), "kind int, bucket int, bits binary")
-    held = None
-    if 64 * sum(segment.values()) << bits <= most_bits:
-        segments = saved(segments, "segments")
-        held = _filter(segments, segment, bits, LEAST)
-        remove(segments)
-    else:
-        rows = _look(rows, segments, segment, bits)
+    fits = lambda parts: 64 * sum(segment[p] for p in parts) << bits <= most_bits
+    part = "kind int, bucket int, bits binary"
+    here = next(p for p in ((1, 2, 3), (1,), ()) if not p or fits((*p, FIRST)))
+    held = Filter({}, segment, bits)
+    if here:
+        there = saved((settled if len(here) == 3 else settled.where("kind = 1")).mapInArrow(_fill(segment), part), "segments")
+        held = _filter(there, segment, bits, here)
+        remove(there)
+    if first is not None:
+        held.words |= first.words
 
     words = settled.where("kind = 1").select("keys", "counts")
     least = _head_floor(words, head)
@@ -569,18 +647,23 @@ def train(spark: SparkSession, rows: DataFrame, *, head: int = 1 << 20, most_bit
     key = np.concatenate([np.frombuffer(r[0], "<u8") for r in top] or [np.zeros(0, "<u8")]).astype(U)
     n = np.concatenate([np.frombuffer(r[1], "<i8") for r in top] or [np.zeros(0, "<i8")])
     order = np.argsort(key)
-    return Model(held, tokens, types, float(by[1][0].sum()), share, key[order], n[order], least > 1), settled, rows
+    model = Model(held, len(here) < 3, tokens, types, float(by[1][0].sum()), share, key[order], n[order], least > 1)
+    if model.asked:
+        segments = settled.where("kind > 1" if 1 in here else "true").mapInArrow(_fill(segment), part)
+        segments = segments.unionAll(settled.where("kind = 2").select("bucket", "keys").mapInArrow(_first_level(segment), part))
+        rows = _look(rows, model, segments, segment, bits, group_bytes)
+    return model, settled, rows
 
 
-def _present(segment: dict[int, int]):
-    """Filter segments that hold the least level of the keys alone."""
+def _first_level(segment: dict[int, int]):
+    """Filter segments of the first level of pairs."""
 
     def run(source):
         for batch in source:
-            for kind, bucket, keys in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "keys")), strict=True):
-                word = np.zeros(segment[kind], U)
-                np.bitwise_or.at(word, *Filter.spot(np.frombuffer(keys, "<u8").astype(U), 1, segment[kind]))
-                yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([word.astype("<u8").tobytes()], pa.binary())], ["kind", "bucket", "bits"])
+            for bucket, keys in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys")), strict=True):
+                word = np.zeros(segment[FIRST], U)
+                np.bitwise_or.at(word, *Filter.spot(name(np.frombuffer(keys, "<u8").astype(U), 2), 1, segment[FIRST]))
+                yield pa.record_batch([pa.array([FIRST], pa.int32()), pa.array([bucket], pa.int32()), pa.array([word.astype("<u8").tobytes()], pa.binary())], ["kind", "bucket", "bits"])
 
     return run
 
@@ -683,6 +766,6 @@ def score(spark: SparkSession, docs: DataFrame, held_out: Column, **how) -> Data
         found = asked.join(tail, "key", "left").groupBy("row_id").agg(F.sum(F.col("times") * (F.log10(n + 1.0) - floor)).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"))
         scored = scored.drop("keys", "times").join(found, "row_id", "left")
         base, known = base + F.coalesce("more", F.lit(0.0)), known + F.coalesce("more_known", F.lit(0)).cast("long")
-    else:
+    elif not model.asked:
         remove(settled)
     return scored.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -448,6 +448,24 @@ def small_corpus(n=200, seed=12):
     return [(i, " ".join(rng.choice(["the", "of", "and", f"w{int(rng.paretovariate(0.7)) % 40}"]) for _ in range(rng.randint(0, 60)))) for i in range(n)]
 
 
+def test_lm_asks_by_groups(spark, monkeypatch):
+    """What a larger filter is asked goes to a few groups of segments, not to each bucket: the words and the pairs' first level stay in one place while they fit."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 500}" for _ in range(rng.randint(0, 300)))) for i in range(300)] + [(300, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    asked, real = [], lm._look
+    monkeypatch.setattr(lm, "_look", lambda rows, *how: asked.append(real(rows, *how)) or asked[-1])
+    get = lambda **how: sorted((r.doc_id, r.score) for r in lm.score(spark, docs, Q.remainder(7) == 2, block_bytes=1 << 10, **how).collect())
+    want = get()
+    for most_bits, group_bytes, kinds in (5 << 17, 16 << 20, {0, 2, 3}), (1 << 12, 16 << 20, {0, 1, 2, 3}), (1 << 12, 1 << 12, {0, 1, 2, 3}):
+        got = get(most_bits=most_bits, group_bytes=group_bytes)
+        assert [i for i, _ in got] == [i for i, _ in want] and max(abs(a[1] - b[1]) for a, b in zip(got, want, strict=True)) < 1e-9
+        blocks = asked.pop().select("chunk", "kind", "bucket").collect()
+        assert {r.kind for r in blocks} == kinds
+        if group_bytes == 16 << 20:
+            assert {r.bucket for r in blocks} == {0} and len(blocks) == len({r.chunk for r in blocks}) * len(kinds)
+
+
 def brute_lm(train):
     """log10 P(token | two before) by dictionaries: quantised counts of words, of pairs and triples seen twice or more."""
     grams = [collections.Counter() for _ in range(4)]
