@@ -104,6 +104,19 @@ def test_trees(spark):
     assert [(r.cluster, r.n) for r in t] == [(1, 3), (7, 2)]
 
 
+def test_fingerprint_tree(spark):
+    """The tree of fingerprints equals the tree of their pairs as rows, by one and by several parts, and no join makes pairs."""
+    kinds = [("1 one", 0), ("2 parts", 1000)]
+    for _, apart in kinds:
+        rows = [(i, c + apart * (i % 3), 1 + c % 4) for i in range(1, 60) for c in range(50) if (i * 7 + c * c) % 13 < 3]
+        fp = spark.createDataFrame([*rows, (None, 1, 2), (70, None, 2), (71, -1, 2), (3, None, 1)], "id long, code long, cnt long")
+        want = L.trees(D.to_distance(D.measures(fp)).withColumn("cluster", F.lit(1)))
+        got = L.fingerprint_tree(fp)
+        assert got.schema.simpleString() == want.schema.simpleString() and got.collect() == want.collect()
+        assert "Join Inner, (code" not in got._jdf.queryExecution().toString()
+    assert L.fingerprint_tree(fp.where("id is null or id > 69")).collect() == []
+
+
 def test_every_pair(spark):
     """Pairs made in place equal those of the joins, in stripes of any width, and nothing is shuffled after the fingerprints are packed."""
     rows = [(i, c, 1 + (i * c) % 5) for i in range(1, 30) for c in range(40) if (i * 7 + c * c) % 11 < 3]
