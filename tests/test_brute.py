@@ -346,6 +346,18 @@ def test_filled_rows(spark, seed, monkeypatch):
     assert "LeftOuter" not in plan.split("Generate")[0]
 
 
+@pytest.mark.parametrize("make", [P.fill_missing, P.binary_matrix])
+def test_grid_is_made_block_by_block(spark, monkeypatch, make):
+    """Each task makes one block of motifs after another, for all its structures: what it writes repeats few motifs."""
+    monkeypatch.setattr(P, "BLOCK", 4)
+    monkeypatch.setattr(P, "TILES", 4)
+    fp = spark.createDataFrame([(i, c, 1 + i % 3) for i in range(30) for c in range(16) if (i + c) % 5 == 0], "id long, code long, cnt long")
+    parts = [[r.code // 4 for r in x] for x in make(fp).rdd.glom().collect() if x]
+    assert sum(map(len, parts)) == 30 * 16
+    for p in parts:
+        assert sum(a != b for a, b in zip(p, p[1:])) == len(set(p)) - 1
+
+
 def test_trees_keep_links_only(spark, sf, monkeypatch):
     """Of all pairs only the links above the threshold are written to disk."""
     from stemforge.plans import fingerprint_queries as Q
